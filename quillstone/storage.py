@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +48,17 @@ def release(spark: SparkSession) -> None:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, so that their Python finds it wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_quillstone_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="quillstone-")) / "quillstone_package.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for module in sorted(root.rglob("*.py")):
+            archive.write(module, module.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._quillstone_shipped = True
