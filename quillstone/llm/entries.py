@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from quillstone.llm import exact_dedup
+from quillstone.llm import decontaminate, exact_dedup
 
 
 def queries() -> dict:
-    return {"op8_exact_dedup": exact_dedup.op8_exact_dedup}
+    return {
+        "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {
+        "op8_exact_dedup": exact_dedup.OP8_SQL,
+        "op9_decontaminate": decontaminate.OP9_SQL,
+    }
