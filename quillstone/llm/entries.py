@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillstone.llm import decontaminate, exact_dedup
+from quillstone.llm import decontaminate, exact_dedup, warc
 
 
 def queries() -> dict:
     return {
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_warc": warc.op10_warc,
     }
 
 
@@ -16,4 +17,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op8_exact_dedup": exact_dedup.OP8_SQL,
         "op9_decontaminate": decontaminate.OP9_SQL,
+        "op10_warc": warc.OP10_SQL,
     }
