@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillstone.llm import decontaminate, exact_dedup, warc
+from quillstone.llm import decontaminate, exact_dedup, simhash, warc
 
 
 def queries() -> dict:
     return {
+        "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_warc": warc.op10_warc,
