@@ -59,9 +59,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Rows in a batch that goes to Python; whole texts and pages can be long.
+BATCH_ROWS = "1000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session, so that their Python finds it wherever the driver was started."""
+    """Send this package to the executors, once a session, so that their Python finds it wherever the driver was started.
+
+    Batches for Python are made small enough for rows that hold whole texts, unless the session has a size of its own.
+    """
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if getattr(context, "_quillstone_shipped", False):
         return
     root = Path(__file__).resolve().parent
