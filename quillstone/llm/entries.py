@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quillstone.llm import decontaminate, exact_dedup, simhash, warc
+from quillstone.llm import decontaminate, exact_dedup, simhash, substring_dedup, suffix_dedup, warc
 
 
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_warc": warc.op10_warc,
@@ -16,6 +18,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_suffix_dedup": suffix_dedup.OP3_SQL,
+        "op6_substring_dedup": substring_dedup.OP6_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
         "op9_decontaminate": decontaminate.OP9_SQL,
         "op10_warc": warc.OP10_SQL,
