@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quillstone.llm import decontaminate, exact_dedup, simhash, substring_dedup, suffix_dedup, warc
+from quillstone.llm import decontaminate, exact_dedup, language_id, quality, simhash, substring_dedup, suffix_dedup, warc
 
 
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+        "op2_quality_classifier": quality.op2_quality_classifier,
         "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+        "op4_language_id": language_id.op4_language_id,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
