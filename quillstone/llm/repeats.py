@@ -138,7 +138,7 @@ def _by_key(classes_of: Callable, at_once: int = 150_000) -> Callable:
     return run
 
 
-def repeated_windows(docs: DataFrame, occurrences: DataFrame, payload: Callable, classes_of: Callable, window_codes: Callable, group_limit: int = 2000) -> DataFrame:
+def repeated_windows(docs: DataFrame, occurrences: DataFrame, payload: Callable, classes_of: Callable, window_codes: Callable, group_limit: int) -> DataFrame:
     """(id, th, hits) for the documents with repeated windows; hits: (lo, n, mask), a null mask standing for all n.
 
     payload(text) gives a function of (lo, n) to the bytes that decide on those windows; classes_of(group, row, number,
@@ -147,12 +147,15 @@ def repeated_windows(docs: DataFrame, occurrences: DataFrame, payload: Callable,
     """
     every = materialize(occurrences, "occurrences")
     per_key = every.groupBy("key").agg(F.count("*").alias("rows"), (F.min("span") != F.max("span")).alias("mixed")).where("rows > 1").drop("rows")
-    live = materialize(every.join(per_key, "key"), "occurrences-live")
+    # Written first, so that the join below has a plain table on either side and a frequent key is split.
+    several = materialize(per_key, "occurrence-keys")
+    live = materialize(every.join(several, "key"), "occurrences-live")
     discard(every)
+    discard(several)
     whole = live.groupBy("key", "span").agg(F.count("*").alias("rows")).where("rows > 1").select("key", "span", F.lit(None).cast("binary").alias("mask"))
     mixed = materialize(live.where("mixed").groupBy("key", "span").agg(F.count("*").alias("rows"), F.min(F.struct("id", "th", "at", "lo", "n")).alias("rep")), "occurrences-mixed")
-    sizes = mixed.groupBy("key").agg((F.count("*") > group_limit).alias("wide"))
-    wanted = mixed.join(sizes, "key").select("key", "span", "rep.*", "wide")
+    wide = materialize(mixed.groupBy("key").agg(F.count("*").alias("spans")).where(F.col("spans") > group_limit).select("key", F.lit(True).alias("wide")), "occurrence-wide")
+    wanted = mixed.join(wide, "key", "left").select("key", "span", "rep.*", F.coalesce("wide", F.lit(False)).alias("wide"))
     cut = materialize(_payloads(docs, wanted, payload), "repeat-payloads")
     once = mixed.where("rows = 1").select("key", "span")
     verdict = "key long, span long, mask binary"
@@ -182,7 +185,7 @@ def repeated_windows(docs: DataFrame, occurrences: DataFrame, payload: Callable,
     verdicts = materialize(whole.union(parts), "repeat-verdicts")
     hits = live.join(verdicts, ["key", "span"]).groupBy("id", "th").agg(F.collect_list(F.struct("lo", "n", "mask")).alias("hits"))
     found = materialize(hits, "repeat-hits")
-    for table in (live, mixed, cut, verdicts):
+    for table in (live, mixed, wide, cut, verdicts):
         discard(table)
     return found
 

@@ -97,7 +97,7 @@ def _same_code(group: np.ndarray, row: np.ndarray, number: np.ndarray, payloads:
     return out
 
 
-def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, group_limit: int = 2000) -> tuple[DataFrame, DataFrame]:
+def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, group_limit: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(documents, hits): see repeats.repeated_windows."""
     spark = df.sparkSession
     ship(spark)
@@ -110,7 +110,7 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs, hits
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, group_limit: int = 2000) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, group_limit: int = 100_000) -> DataFrame:
     """For every row: identifier, n_words, n_removed, spans [start, end) of removed words, and the kept words joined by one space."""
     docs, hits = repeated_words(df, id_col, text_col, window, group_limit)
 

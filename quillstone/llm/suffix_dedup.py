@@ -107,7 +107,7 @@ def _radix_sort(window: int):
     return classes_of
 
 
-def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, anchor: int = 40, group_limit: int = 2000) -> DataFrame:
+def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, anchor: int = 40, group_limit: int = 20_000) -> DataFrame:
     """For every row: identifier, n_bytes, n_removed, spans [start, end) of removed bytes and the bytes that stay."""
     if not 1 <= anchor <= window:
         raise ValueError("an anchor lies inside a window")
