@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ from quillstone.storage import read_table, ship
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 START = "▁"  # how the vocabulary marks the start of a word
-MAX_WORD = 64
+MAX_WORD = 24
 MAX_LANGUAGES = 500
 UNKNOWN_LETTERS = 10_000  # letters that share the unknown piece's probability
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -61,6 +62,10 @@ class Lattice:
         self.index = {p: k for k, p in enumerate(pieces)}
         self.unknown = len(pieces)
         self.longest = max(map(len, pieces), default=1)
+        #: Of two letters, the length of the longest piece that starts with them.
+        self.reach: dict[str, int] = {}
+        for piece in pieces:
+            self.reach[piece[:2]] = max(self.reach.get(piece[:2], 1), len(piece))
 
     def edges(self, word: str) -> list[tuple[int, int, int]]:
         """(start, end, piece), ordered by end."""
@@ -75,17 +80,42 @@ class Lattice:
                     out.append((start, end, self.unknown))
         return out
 
-    def forward(self, word: str, rows: list[tuple]) -> list[float]:
-        """The log probability of a word in each language; rows[piece] has a probability for each."""
-        edges = self.edges(word)
-        many = range(len(rows[0]))
-        alpha = [[0.0] * len(rows[0]) for _ in range(len(word) + 2)]
-        alpha[0] = [1.0] * len(rows[0])
-        for start, end, piece in edges:
-            row, before, here = rows[piece], alpha[start], alpha[end]
-            for k in many:
-                here[k] += before[k] * row[k]
-        return [math.log(max(x, 1e-300)) for x in alpha[-1]]
+    def forward(self, words: list[str], table: np.ndarray) -> np.ndarray:
+        """The log probability of each word in each language, for words of one length together.
+
+        table has a row for each piece and the unknown letter, then a row of zeros for stretches that are no piece.
+        """
+        out = np.zeros((len(words), table.shape[1]))
+        by_size: dict[int, list[int]] = defaultdict(list)
+        for k, word in enumerate(words):
+            by_size[len(word) + 1].append(k)
+        for size, every in by_size.items():
+            for at in range(0, len(every), 4096):
+                some = every[at : at + 4096]
+                out[some] = np.log(np.maximum(self._forward([words[k] for k in some], size, table), 1e-300))
+        return out
+
+    def _forward(self, words: list[str], size: int, table: np.ndarray) -> np.ndarray:
+        reach, get, places, found = min(size, self.longest), self.index.get, [], []
+        for k, word in enumerate(words):
+            text = START + word
+            for start in range(size):
+                base = (k * size + start) * reach - 1
+                for length in range(1, min(self.reach.get(text[start : start + 2], 1), size - start) + 1):
+                    piece = get(text[start : start + length])
+                    if piece is not None:
+                        places.append(base + length)
+                        found.append(piece)
+        pieces = np.full(len(words) * size * reach, self.unknown + 1)
+        pieces.reshape(-1, reach)[:, 0] = self.unknown
+        pieces[places] = found
+        pieces = pieces.reshape(len(words), size, reach)
+        alpha = np.zeros((size + 1, len(words), table.shape[1]))
+        alpha[0] = 1.0
+        for start in range(size):
+            for length in range(1, min(reach, size - start) + 1):
+                alpha[start + length] += alpha[start] * table[pieces[:, start, length - 1]]
+        return alpha[size]
 
     def expected(self, word: str, p: np.ndarray | list[float], weight: float, into: dict[int, float]) -> None:
         """Adds each piece's expected number over all segmentations of a word, times weight."""
@@ -112,15 +142,27 @@ class Model:
 class Scorer:
     """Scores texts with a model, keeping the scores of at most cache words."""
 
-    def __init__(self, model: Model, cache: int = 200_000):
+    def __init__(self, model: Model, cache: int = 500_000):
         self.model, self.cache = model, cache
         self.lattice = Lattice(model.pieces)
-        self.rows = [tuple(r) for r in model.probabilities.tolist()]
+        self.table = np.vstack([model.probabilities, np.zeros(len(model.languages))])
         self.known: dict[str, int] = {}
         self.scores = np.zeros((cache, len(model.languages)))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
+    def learn(self, words: list[str]) -> None:
+        first = len(self.known)
+        self.scores[first : first + len(words)] = self.lattice.forward(words, self.table)
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Scores the new words of many texts together where they fit into the cache."""
+        many = [words_of(t) for t in texts]
+        fresh = set().union(*many).difference(self.known) if self.model.languages else set()
+        if len(self.known) + len(fresh) <= self.cache:
+            self.learn(list(fresh))
+        return [self.predict(w) for w in many]
+
+    def predict(self, words: list[str]) -> tuple[str, float]:
         if not words or not self.model.languages:
             return "und", 0.0
         total = self.model.priors.copy()
@@ -136,13 +178,14 @@ class Scorer:
             if len(self.known) + len(fresh) > self.cache:
                 self.known.clear()
                 fresh = set(words)
-            for word in fresh:
-                k = self.known[word] = len(self.known)
-                self.scores[k] = self.lattice.forward(word, self.rows)
+            self.learn(list(fresh))
             at = list(map(self.known.get, words))
         return self.scores[at].sum(axis=0)
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
 def _piece_counts(rows: DataFrame, pieces: list[str], languages: list[str], probabilities: np.ndarray) -> np.ndarray:
     """Expected piece counts of rows (lang, text), a column for each language."""
     spark = rows.sparkSession
@@ -207,12 +250,15 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     spark = df.sparkSession
     ship(spark)
     kind = dict(df.dtypes)[id_col]
-    state = spark.sparkContext.broadcast(pickle.dumps(model))
+    state, name = spark.sparkContext.broadcast(pickle.dumps(model)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(pickle.loads(state.value))
+        if name not in _SCORERS:  # a worker's tasks share the cache
+            _SCORERS.clear()
+            _SCORERS[name] = Scorer(pickle.loads(state.value))
+        scorer = _SCORERS[name]
         for batch in batches:
-            found = [scorer.predict(t) for t in batch.column(1).to_pylist()]
+            found = scorer.predict_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["id", "lang_pred", "score"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
