@@ -147,6 +147,24 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     return joined.withColumn("spans", _merge_spans(F.array_sort("spans"))).withColumnRenamed("id", id_col)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_block_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of docs, as they are, in which no window of the benchmark occurs."""
+    spark = docs.sparkSession
+    ship(spark)
+    at, kept = docs.columns.index(text_col), docs
+    for block in _blocks(benchmark, item_col, item_text_col, max_block_bytes):
+        tables = spark.sparkContext.broadcast(pickle.dumps(build(block, window)))
+
+        def clean(batches, tables=tables):
+            searchers = pickle.loads(tables.value)
+            for batch in batches:
+                words = map(words_of, batch.column(at).cast(pa.binary()).to_pylist())
+                yield batch.filter(pa.array([not any(True for s in searchers for _ in s.search(w)) for w in words], pa.bool_()))
+
+        kept = kept.mapInArrow(clean, docs.schema)
+    return kept
+
+
 def _merge_spans(spans: Column) -> Column:
     """Sorted spans with those that touch joined."""
     empty = F.expr("cast(array() as array<struct<start:long,end:long>>)")

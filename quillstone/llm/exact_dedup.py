@@ -4,8 +4,8 @@
   sorted run (Parquet, with the format's own Bloom filter on the digest). Nothing is shuffled.
 * **Compaction.** All runs merge into one level that holds, for each digest, the identifier that stays and the number
   of rows. Counts are combined on the map side, so a group of copies of any size reaches the shuffle as one row a task.
-* **Filter.** Digests that occur more than once set bits in a bitmap whose size is bounded by ``MAX_FILTER_BITS``
-  (4 MB), small enough to broadcast at any input size; when it fills up it only passes more rows on.
+* **Filter.** Digests that occur more than once set bits in a bitmap whose size has a fixed bound (``bitmaps``),
+  small enough to broadcast at any input size; when it fills up it only passes more rows on.
 * **Verification.** Rows that pass the filter are grouped by digest *and text*, which compares the bytes. A digest
   with two different texts (a collision) has its rows told apart by text.
 
@@ -22,11 +22,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.llm import bitmaps
 from quillstone.storage import materialize, read_table, release, scratch_path
 
-MIN_FILTER_BITS, MAX_FILTER_BITS = 1 << 18, 1 << 25
-BUCKET_BITS = 32768  # of one value of bitmap_construct_agg
-
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
@@ -71,21 +69,12 @@ class DigestIndex:
 
     def filter(self, digests: DataFrame) -> tuple[DataFrame, int]:
         """A bitmap of the digests as (bucket, bits) and its number of bits."""
-        need, bits = 16 * digests.count(), MIN_FILTER_BITS
-        while bits < min(need, MAX_FILTER_BITS):
-            bits *= 2
-        slot = F.pmod(F.xxhash64("digest"), F.lit(bits))
-        slots = digests.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("at"))
-        return slots.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")), bits
+        bits = bitmaps.bits_for(digests.count())
+        return bitmaps.bitmap(digests, F.xxhash64("digest"), bits), bits
 
     def may_hold(self, rows: DataFrame, bitmap: DataFrame, bits: int) -> DataFrame:
-        """The rows whose digest's bit is set. The bitmap is at most MAX_FILTER_BITS / 8 bytes, so it is broadcast."""
-        slot = F.pmod(F.xxhash64("digest"), F.lit(bits))
-        at = F.bitmap_bit_position(slot)
-        byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        hit = byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
-        found = rows.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmap), "bucket")
-        return found.where(hit).drop("bucket", "bits")
+        """The rows whose digest's bit is set."""
+        return bitmaps.flagged(rows, F.xxhash64("digest"), bitmap, bits, "held").where("held").drop("held")
 
     def assign(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, digest, keep_id, group_size) for every row of df, all of which must have been flushed."""
@@ -110,6 +99,25 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
+    """The rows of df, as they are, less all but one of each group of equal texts. Only texts that occur again are shuffled."""
+    index = DigestIndex(df.sparkSession, keep)
+    index.flush(df, id_col, text_col)
+    several = index.compact().where("group_size > 1")
+    bitmap, bits = index.filter(several)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # The row goes as one struct, so that its columns cannot clash with those added here.
+    rows = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("row"), F.col(id_col).alias("id"), sha256(text).alias("digest"), text.alias("text"))
+    told = bitmaps.flagged(rows, F.xxhash64("digest"), bitmap, bits, "held")
+    held = told.where("held").drop("held")
+    groups = held.groupBy("digest", "text").agg(index.best("id").alias("keep_id"), F.count("*").alias("n"))
+    joined = held.join(groups, ["digest", "text"])
+    alone = joined.where("n = 1")
+    first = joined.where((F.col("n") > 1) & F.col("id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest", "text"])
+    parts = [x.select("row.*") for x in (told.where("not held"), alone, first)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(read_table(spark, sf_dir, "documents"), keep="largest")
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))

@@ -108,16 +108,17 @@ def mix(df: DataFrame, levels: list[Column], weights: Mapping[tuple, float], bud
     upto = F.sum("t").over(Window.partitionBy("leaf").orderBy("b"))
     ends = sums.withColumn("upto", upto).where(F.col("upto") > F.col("rest")).groupBy("leaf").agg(F.min(F.struct("b", (F.col("upto") - F.col("t")).alias("before"))).alias("end")).select("leaf", "end.*")
     plans = materialize(plans.join(ends.withColumnRenamed("b", "end"), "leaf", "left"), "mixing-plan")
-    kept = df.drop("tokens", "epochs").withColumn("_leaf", leaf).join(F.broadcast(plans.withColumnRenamed("leaf", "_leaf")), "_leaf")
-    rows = kept.withColumn("tokens", n_tokens(F.col(text_col))).withColumn("_th", F.xxhash64(text_col)).withColumn("u", order(F.col(id_col), F.col("_th"))).withColumn("_b", bucket())
-    columns = [*[c for c in df.columns if c not in ("tokens", "epochs")], "tokens", "epochs"]
-    sure = rows.where(F.col("end").isNull() | (F.col("_b") != F.col("end")))
-    more = F.when(F.col("end").isNull() | (F.col("_b") < F.col("end")), 1).otherwise(0)
-    edge = rows.where(F.col("_b") == F.col("end"))
-    prefix = F.sum("tokens").over(Window.partitionBy("_leaf").orderBy("u", id_col, "_th").rowsBetween(Window.unboundedPreceding, 0))
-    edge = edge.withColumn("_more", F.when(F.col("before") + prefix <= F.col("rest"), 1).otherwise(0))
-    out = sure.withColumn("_more", more).unionByName(edge).withColumn("epochs", (F.col("whole") + F.col("_more")).cast("long"))
-    return out.where("epochs > 0").select(*columns)
+    # The row goes as one struct, so that its columns cannot clash with those added here.
+    kept = [c for c in df.columns if c not in ("tokens", "epochs")]
+    packed = df.select(F.struct(*(F.col(c) for c in kept)).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), n_tokens(F.col(text_col)).alias("tokens"), leaf.alias("leaf"))
+    rows = packed.join(F.broadcast(plans), "leaf").withColumn("u", order(F.col("id"), F.col("th"))).withColumn("b", bucket())
+    sure = rows.where(F.col("end").isNull() | (F.col("b") != F.col("end")))
+    sure = sure.withColumn("more", F.when(F.col("end").isNull() | (F.col("b") < F.col("end")), 1).otherwise(0))
+    edge = rows.where(F.col("b") == F.col("end"))
+    prefix = F.sum("tokens").over(Window.partitionBy("leaf").orderBy("u", "id", "th").rowsBetween(Window.unboundedPreceding, 0))
+    edge = edge.withColumn("more", F.when(F.col("before") + prefix <= F.col("rest"), 1).otherwise(0))
+    out = sure.unionByName(edge).withColumn("epochs", (F.col("whole") + F.col("more")).cast("long"))
+    return out.where("epochs > 0").select("row.*", "tokens", "epochs")
 
 
 #: Domains of the test corpus and the mix that is asked for.

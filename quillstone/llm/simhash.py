@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.llm import bitmaps
 from quillstone.llm.components import components
 from quillstone.storage import materialize, read_table, ship
 
@@ -59,16 +60,17 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp) for every row."""
+    """(id, th, fp) for every row; th is the text's hash, which tells rows of one identifier apart."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["id", "fp"])
+            values = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values)], ["id", "th", "fp"])
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, th long, fp long")
 
 
 def golay_table(width: int) -> np.ndarray:
@@ -241,14 +243,28 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_limit: int = 16384) -
 
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = MAX_BITS, bucket_limit: int = 16384) -> DataFrame:
-    """For every row of df: identifier, fp (long) and component_id, the smallest identifier that links reach."""
+    """For every row of df: identifier, text hash th, fp (long) and component_id, the smallest identifier that links reach."""
     rows = materialize(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least_id")), "fingerprint-nodes")
     roots = components(links(nodes, max_bits, bucket_limit))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = placed.join(names, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return rows.join(named, "fp").select(F.col("id").alias(id_col), "th", "fp", "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of df, as they are, less all but the one with the smallest identifier of each group of near copies.
+
+    Rows without words are not near copies of anything and stay; rows that share the smallest identifier all stay.
+    """
+    found = simhash_groups(df, id_col, text_col, shingle, max_bits)
+    gone = materialize(found.where(~F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("fp") != 0)).select(F.col(id_col).alias("gone_id"), F.col("th").alias("gone_th")).distinct(), "near-copies")
+    bits = bitmaps.bits_for(gone.count())
+    rows = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
+    told = bitmaps.flagged(rows, F.xxhash64("id", "th"), bitmaps.bitmap(gone, F.xxhash64("gone_id", "gone_th"), bits), bits, "held")
+    kept = told.where("held").join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left_anti")
+    return told.where("not held").select("row.*").unionByName(kept.select("row.*"))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
