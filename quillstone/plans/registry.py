@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quillstone.storage import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -28,14 +26,25 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Modules that register queries when they are imported.
+AREAS = ("objects",)
+
+
+def _load() -> None:
+    for area in AREAS:
+        importlib.import_module(f"quillstone.plans.{area}")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = read_table(spark, sf_dir, "lineitem")
-    return lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("sum_qty"))
+    """Orders over a price with the customer they link to."""
+    return queries()["qb_19_include"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLE)
