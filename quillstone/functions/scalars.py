@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 NULL_TOKENS = ("", "null", "none")  # blank foreign keys
 ID_NULL_TOKENS = ("", "null", "none", "n/a", "nan")  # invalid identifiers
@@ -198,13 +199,13 @@ def jaro_winkler_text(a: str | None, b: str | None, weight: float = 0.1, boost_f
     return found + prefix * weight * (1 - found)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
         yield pd.Series([jaro_winkler_text(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Matching-blocks ratio of two texts."""
     for a, b in pairs:

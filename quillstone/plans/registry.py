@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillstone.storage import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
@@ -18,7 +21,13 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(query: Query) -> Query:
         if name in _QUERIES:
             raise ValueError(f"two queries are called {name}")
-        _QUERIES[name] = query
+
+        @functools.wraps(query)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return query(spark, sf_dir)
+
+        _QUERIES[name] = run
         if sql is not None:
             _ORACLE[name] = sql
         return query
@@ -27,7 +36,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 #: Modules that register queries when they are imported.
-AREAS = ("objects",)
+AREAS = ("objects", "profiling", "linking")
 
 
 def _load() -> None:
