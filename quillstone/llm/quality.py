@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,7 +115,9 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int = 3, i
 
     kind = dict(docs.dtypes)[id_col]
     rows = joined.mapInArrow(run, f"grade int, id {kind}, features array<int>").toArrow().sort_by([("id", "ascending"), ("grade", "ascending")])
-    lists = [np.asarray(x, np.int64) for x in rows.column("features").to_pylist()]
+    column = rows.column("features").combine_chunks()
+    flat, ends = column.flatten().to_numpy(), np.cumsum(pc.list_value_length(column).to_numpy())
+    lists = np.split(flat, ends[:-1]) if len(ends) else []
     return fit_ordinal(lists, rows.column("grade").to_numpy().astype(np.int64), n_grades, buckets)
 
 
