@@ -106,16 +106,16 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     several = index.compact().where("group_size > 1")
     bitmap, bits = index.filter(several)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # The row goes as one struct, so that its columns cannot clash with those added here.
-    rows = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("row"), F.col(id_col).alias("id"), sha256(text).alias("digest"), text.alias("text"))
+    # The row goes as one struct, so that its columns cannot clash with those added here; its text goes once, as key.
+    others = [c for c in df.columns if c != text_col]
+    rows = df.select(F.struct(*(F.col(c) for c in others)).alias("row"), F.col(text_col).isNull().alias("none"), F.col(id_col).alias("id"), sha256(text).alias("digest"), text.alias("text"))
     told = bitmaps.flagged(rows, F.xxhash64("digest"), bitmap, bits, "held")
-    held = told.where("held").drop("held")
-    groups = held.groupBy("digest", "text").agg(index.best("id").alias("keep_id"), F.count("*").alias("n"))
-    joined = held.join(groups, ["digest", "text"])
-    alone = joined.where("n = 1")
-    first = joined.where((F.col("n") > 1) & F.col("id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest", "text"])
-    parts = [x.select("row.*") for x in (told.where("not held"), alone, first)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    place = F.struct(F.col("id").isNull(), F.col("id")) if keep == "smallest" else F.struct(F.col("id").isNotNull(), F.col("id"))
+    best = (F.min_by if keep == "smallest" else F.max_by)(F.struct("row", "none"), place)
+    # One row of each text leaves a task, so a group of copies of any size is small before the shuffle.
+    once = told.where("held").groupBy("digest", "text").agg(best.alias("best")).select("best.row", "best.none", "text")
+    kept = told.where("not held").select("row", "none", "text").unionByName(once)
+    return kept.select(*(F.when(~F.col("none"), F.col("text")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
