@@ -58,19 +58,22 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataF
     return ranks
 
 
-def hits(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """Hub and authority of a directed graph, each of length 1."""
+def hits(edges: DataFrame, rounds: int = 15) -> DataFrame:
+    """Hub and authority of a directed graph, each of length 1. Every half round is written, so plans do not grow."""
     e = edges.select("a", "b").distinct()
     nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
-    hub = nodes.withColumn("hub", F.lit(1.0))
-    for k in range(rounds):
-        auth = e.join(hub, F.col("a") == F.col("node")).groupBy(F.col("b").alias("n")).agg(F.sum("hub").alias("x"))
-        auth = auth.crossJoin(F.broadcast(auth.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l")))).select("n", (F.col("x") / F.col("l")).alias("authority"))
-        h = e.join(auth, F.col("b") == F.col("n")).groupBy(F.col("a").alias("node")).agg(F.sum("authority").alias("x"))
-        hub = h.crossJoin(F.broadcast(h.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l")))).select("node", (F.col("x") / F.col("l")).alias("hub"))
-        if k % 4 == 3:
-            hub, auth = materialize(hub, "hits"), materialize(auth, "hits")
-    return nodes.join(hub, "node", "left").join(auth, F.col("node") == F.col("n"), "left").select("node", F.coalesce("hub", F.lit(0.0)).alias("hub"), F.coalesce("authority", F.lit(0.0)).alias("authority"))
+
+    def scaled(df: DataFrame, key: str, name: str) -> DataFrame:
+        made = materialize(df, "hits")
+        length = made.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
+        return made.select(F.col(key).alias("n"), (F.col("x") / length).alias(name))
+
+    hub = nodes.select(F.col("node").alias("n"), F.lit(1.0).alias("hub"))
+    for _ in range(rounds):
+        auth = scaled(e.join(hub, F.col("a") == F.col("n")).groupBy("b").agg(F.sum("hub").alias("x")), "b", "authority")
+        hub = scaled(e.join(auth, F.col("b") == F.col("n")).groupBy("a").agg(F.sum("authority").alias("x")), "a", "hub")
+    out = nodes.join(hub.withColumnRenamed("n", "node"), "node", "left").join(auth.withColumnRenamed("n", "node"), "node", "left")
+    return out.select("node", F.coalesce("hub", F.lit(0.0)).alias("hub"), F.coalesce("authority", F.lit(0.0)).alias("authority"))
 
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:

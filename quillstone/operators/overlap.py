@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.functions.scalars import NULL_TOKENS, is_blank, levenshtein_similarity, normalize_value
+from quillstone.storage import materialize
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -130,7 +131,8 @@ def ranked(df: DataFrame, order: list[str]) -> DataFrame:
     from pyspark.sql import Window
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    # Written once: the ranges come from a sample, so two readings of the plan could differ.
+    parts = materialize(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ranges")
     inner = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

@@ -33,15 +33,17 @@ def estimated_jaccard(a: Column, b: Column) -> Column:
 def similar_pairs(signatures: DataFrame, key: str, bands: int = 16, min_similarity: float = 0.5) -> DataFrame:
     """Pairs that share a band and whose estimate reaches the limit.
 
-    Equal signatures are one candidate: pairs are between the smallest keys of each, with the number of keys they stand for.
+    Keys with equal signatures are each paired with the smallest of them only, which stands for them in all other pairs,
+    so a large group of copies gives one pair a copy.
     """
-    reps = signatures.groupBy("signature").agg(F.min(key).alias(key), F.count("*").alias("copies"))
+    reps = signatures.groupBy("signature").agg(F.min(key).alias(key))
+    copies = signatures.join(reps.withColumnRenamed(key, "a"), "signature").where(F.col("a") < F.col(key)).select("a", F.col(key).alias("b"), F.lit(1.0).alias("similarity"))
     size = F.size("signature") / bands
     banded = reps.select(key, "signature", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.slice("signature", (i * size).cast("int") + 1, size.cast("int"))))).alias("band", "bucket"))
     a, b = banded.alias("a"), banded.alias("b")
     met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
     pairs = met.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), estimated_jaccard(F.col("a.signature"), F.col("b.signature")).alias("similarity"))
-    return pairs.distinct().where(F.col("similarity") >= min_similarity)
+    return pairs.distinct().where(F.col("similarity") >= min_similarity).unionByName(copies)
 
 
 def distinct_estimate(df: DataFrame, columns: list[str], p: int = 14) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import distributions as D
 from quillstone.functions.scalars import change
 from quillstone.operators.overlap import ranked
+from quillstone.storage import materialize
 
 LIMIT_CONDITION = 1e-10
 
@@ -231,7 +232,7 @@ def kolmogorov_smirnov(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     y = b.select(F.col(column).cast("double").alias("v")).dropna().groupBy("v").agg(F.count("*").alias("q"))
     both = x.join(y, "v", "full").fillna(0, ["p", "q"])
     n = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = both.repartitionByRange(n, "v").withColumn("_p", F.spark_partition_id())
+    parts = materialize(both.repartitionByRange(n, "v").withColumn("_p", F.spark_partition_id()), "ranges")
     inner = Window.partitionBy("_p").orderBy("v")
     sums = parts.groupBy("_p").agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"))
     earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
