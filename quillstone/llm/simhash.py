@@ -11,6 +11,9 @@
   bucket yields a spanning forest of its links and never all its pairs: a search visits every member once and drops
   those it has reached. A bucket over ``bucket_limit`` is dealt into blocks, and all pairs of blocks are searched in
   separate groups, so every link is found whatever the bucket's size.
+* **Wider similarity.** ``keep_one`` finds near copies by the Jaccard similarity of word shingles, which at 0.8 is about
+  10 of 64 bits and out of the keys' reach. It takes the keys of several fingerprints over words, which the same edits
+  change far less, and decides by the shingles themselves.
 * **Groups.** Equal fingerprints are one node from the start; components come from star rounds over the forest.
 
 Defined cases: a null text is empty; a text without words has fingerprint 0, which links like any other; a text of
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import bitmaps
 from quillstone.llm.components import components
-from quillstone.storage import materialize, read_table, ship
+from quillstone.storage import discard, materialize, read_table, ship
 
 SEGMENTS = (22, 21, 21)
 GOLAY = 0b110001110101  # generator polynomial of the [23, 12, 7] code
@@ -118,26 +121,26 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what links of at most max_bits join, one fewer than members in each part."""
+def forest(fps: np.ndarray, ids: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (of ids) that join what links of at most max_bits join, one fewer than members in each part."""
     left, right = [], []
-    rest = fps
+    rest, names = fps, ids
     while len(rest) > 1:
-        reached, rest = [rest[0]], rest[1:]
+        reached, rest, names = [(rest[0], names[0])], rest[1:], names[1:]
         while reached and len(rest):
-            node = reached.pop()
+            node, name = reached.pop()
             close = np.bitwise_count(rest ^ node) <= max_bits
             if close.any():
-                found = rest[close]
-                rest = rest[~close]
-                left.append(np.full(len(found), node))
+                found = names[close]
+                reached.extend(zip(rest[close], found, strict=True))
+                rest, names = rest[~close], names[~close]
+                left.append(np.full(len(found), name))
                 right.append(found)
-                reached.extend(found)
-    none = np.zeros(0, np.uint64)
+    none = ids[:0]
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _small_groups(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _small_groups(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """All links within runs of equal keys; for short runs."""
     left, right, at, step = [], [], np.arange(len(keys)), 1
     while True:
@@ -146,10 +149,10 @@ def _small_groups(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.
         if not len(at):
             break
         close = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= max_bits]
-        left.append(fps[close])
-        right.append(fps[close + step])
+        left.append(ids[close])
+        right.append(ids[close + step])
         step += 1
-    none = np.zeros(0, np.uint64)
+    none = ids[:0]
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
@@ -158,56 +161,48 @@ _SHORT = 32  # longest run for which all links are listed
 
 
 def _link(batches: Iterator[pa.RecordBatch], max_bits: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by key: links as (a, b), and (key, n) for the buckets over the limit, which are left."""
+    """Rows (key, fp, and id if it isn't the fp) sorted by key: links of ids as (a, b), and (key, n) for buckets over the limit, which are left."""
 
     def rows(a, b, key=None, n=None):
-        a, b = np.asarray(a, np.uint64).view(np.int64), np.asarray(b, np.uint64).view(np.int64)
         if key is None:
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64())], ["a", "b", "key", "n"])
         return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([key], pa.int64()), pa.array([n], pa.int64())], ["a", "b", "key", "n"])
 
-    def closed(keys, fps):
-        """Whole buckets, none over the limit."""
+    def whole(rows_):
+        """Links of whole buckets, and the size of those over the limit."""
+        keys, fps, ids = rows_
         if not len(keys):
             return
         starts = np.nonzero(np.r_[True, keys[1:] != keys[:-1]])[0]
         sizes = np.diff(np.r_[starts, len(keys)])
         of_row = np.repeat(sizes, sizes)
-        short = (of_row > 1) & (of_row <= _SHORT)
-        yield rows(*_small_groups(keys[short], fps[short], max_bits))
-        for k in np.nonzero(sizes > _SHORT)[0]:
-            yield rows(*forest(fps[starts[k] : starts[k] + sizes[k]], max_bits))
+        short = (of_row > 1) & (of_row <= min(_SHORT, limit))
+        yield rows(*_small_groups(keys[short], fps[short], ids[short], max_bits))
+        for k in np.nonzero(sizes > min(_SHORT, limit))[0]:
+            part = slice(starts[k], starts[k] + sizes[k])
+            yield rows([], [], int(keys[starts[k]]), int(sizes[k])) if sizes[k] > limit else rows(*forest(fps[part], ids[part], max_bits))
 
-    held_k, held_f, extra = np.zeros(0, np.int64), np.zeros(0, np.uint64), 0  # the last bucket so far; extra: rows of it that are only counted
+    held, extra = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0  # the last bucket so far; extra: rows of it that are only counted
     for batch in batches:
-        keys = np.concatenate([held_k, batch.column(0).to_numpy()])
-        fps = np.concatenate([held_f, batch.column(1).to_numpy().view(np.uint64)])
-        if not len(keys):
+        if not batch.num_rows:
             continue
-        last = int(np.searchsorted(keys, keys[-1], "left"))
-        if extra and last:  # the bucket that was over the limit has ended
-            first = int(np.searchsorted(keys, keys[0], "right"))
-            yield rows([], [], int(keys[0]), first + extra)
-            keys, fps, extra = keys[first:], fps[first:], 0
-            last = int(np.searchsorted(keys, keys[-1], "left"))
-        sizes_over = len(keys) - last > limit
-        done_k, done_f = keys[:last], fps[:last]
-        if len(done_k):
-            starts = np.nonzero(np.r_[True, done_k[1:] != done_k[:-1]])[0]
-            sizes = np.diff(np.r_[starts, len(done_k)])
-            over = sizes > limit
-            for k in np.nonzero(over)[0]:
-                yield rows([], [], int(done_k[starts[k]]), int(sizes[k]))
-            keep = ~np.repeat(over, sizes)
-            yield from closed(done_k[keep], done_f[keep])
-        held_k, held_f = keys[last:], fps[last:]
-        if sizes_over:
-            extra += len(held_k) - limit - 1
-            held_k, held_f = held_k[: limit + 1], held_f[: limit + 1]
-    if len(held_k) > limit:
-        yield rows([], [], int(held_k[0]), len(held_k) + extra)
+        fps = batch.column(1).to_numpy()
+        fresh = (batch.column(0).to_numpy(), fps.view(np.uint64), batch.column(2).to_numpy() if batch.num_columns > 2 else fps)
+        now = tuple(np.concatenate(x) for x in zip(held, fresh, strict=True))
+        if extra and now[0][-1] != now[0][0]:  # the bucket that was over the limit has ended
+            first = int(np.searchsorted(now[0], now[0][0], "right"))
+            yield rows([], [], int(now[0][0]), first + extra)
+            now, extra = tuple(x[first:] for x in now), 0
+        last = int(np.searchsorted(now[0], now[0][-1], "left"))
+        yield from whole(tuple(x[:last] for x in now))
+        held = tuple(x[last:] for x in now)
+        if len(held[0]) > limit:
+            extra += len(held[0]) - limit - 1
+            held = tuple(x[: limit + 1] for x in held)
+    if extra:
+        yield rows([], [], int(held[0][0]), len(held[0]) + extra)
     else:
-        yield from closed(held_k, held_f)
+        yield from whole(held)
 
 
 def _keys(fps: DataFrame) -> DataFrame:
@@ -222,26 +217,32 @@ def _keys(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_limit: int = 16384) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) whose components are those of all links of at most max_bits."""
-    if not 0 <= max_bits <= MAX_BITS:
-        raise ValueError(f"keys find every pair only up to {MAX_BITS} bits")
+def _search(keyed: DataFrame, max_bits: int, bucket_limit: int) -> DataFrame:
+    """Links (a, b) within the buckets of rows (key, fp) or (key, fp, id)."""
 
-    def searched(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _link(batches, max_bits, bucket_limit), LINKS)
+    def searched(rows: DataFrame, limit: int) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions(*rows.columns[::2]).mapInArrow(lambda batches: _link(batches, max_bits, limit), LINKS)
 
-    found = materialize(searched(_keys(fps)), "simhash-links")
+    found = materialize(searched(keyed, bucket_limit), "simhash-links")
     parts, large = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", "n")
     if large.isEmpty():
         return parts
     # Blocks of a third of the limit on average, so that a pair of them stays below it.
-    dealt = _keys(fps).join(large.withColumn("blocks", F.ceil(F.col("n") * 3 / bucket_limit) + 1), "key")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pairs = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
-    more = materialize(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _link(batches, max_bits, 1 << 62), LINKS), "simhash-links")
+    own = keyed.columns[-1]
+    dealt = keyed.join(large.withColumn("blocks", F.ceil(F.col("n") * 3 / bucket_limit) + 1), "key")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(own), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *keyed.columns[1:])
+    more = materialize(searched(pairs, 1 << 62), "simhash-links")
     return parts.union(more.where("key is null").select("a", "b"))
 
 
+def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_limit: int = 16384) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp) whose components are those of all links of at most max_bits."""
+    if not 0 <= max_bits <= MAX_BITS:
+        raise ValueError(f"keys find every pair only up to {MAX_BITS} bits")
+    return _search(_keys(fps), max_bits, bucket_limit)
+
+
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = MAX_BITS, bucket_limit: int = 16384) -> DataFrame:
     """For every row of df: identifier, text hash th, fp (long) and component_id, the smallest identifier that links reach."""
     rows = materialize(fingerprints(df, id_col, text_col, shingle), "fingerprints")
@@ -253,17 +254,76 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "th", "fp", "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of df, as they are, less all but the one with the smallest identifier of each group of near copies.
+def word_fingerprints(text: bytes | None, tables: int) -> list[int]:
+    """Fingerprints, as signed 64-bit numbers, over the set of a text's words; none for a text without words."""
+    words = set(text.lower().split()) if text else set()
+    if not words:
+        return []
+    digests = b"".join(xxhash.xxh3_128_digest(w, seed) for w in words for seed in range((tables + 1) // 2))
+    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(len(words), -1), axis=1)
+    return np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(words)).view(np.int64)[:tables].tolist()
+
+
+def shingle_hashes(text: bytes | None, size: int) -> list[int]:
+    """Hashes of the distinct word shingles, of the whole sequence if it is shorter."""
+    words = text.lower().split() if text else []
+    grams = {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else ()
+    return np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64).view(np.int64).tolist()
+
+
+def near_links(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, tables: int, candidate_bits: int, bucket_limit: int) -> DataFrame:
+    """Links (a, b) of nodes, xxhash64(identifier, text hash), whose shingle sets have that Jaccard similarity.
+
+    Few edits change many shingles but few words, so candidates come from fingerprints over words: they share a Golay key
+    in one of the tables and differ in at most candidate_bits there. The shingles decide, exactly.
+    """
+    ship(df.sparkSession)
+    texts = df.select(F.xxhash64(id_col, F.xxhash64(text_col)).alias("node"), F.col(text_col).cast("binary").alias("text"))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [word_fingerprints(t, tables) for t in batch.column(1).to_pylist()]
+            rows = np.array([k for k, x in enumerate(made) if x], np.int64)
+            if not len(rows):
+                continue
+            nodes, values = batch.column(0).to_numpy()[rows], np.array([x for x in made if x], np.int64)
+            for t in range(tables):
+                keys, owners = keys_of(values[:, t].copy().view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys | t << 26), pa.array(values[owners, t]), pa.array(nodes[owners])], ["key", "fp", "id"])
+
+    keys = materialize(texts.mapInArrow(keyed, "key long, fp long, id long"), "near-keys")
+    pairs = _search(keys, candidate_bits, bucket_limit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    pairs = materialize(pairs, "near-pairs")
+    discard(keys)
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    bits = bitmaps.bits_for(2 * pairs.count())
+    held = bitmaps.flagged(texts, F.xxhash64("node"), bitmaps.bitmap(ends, F.xxhash64("node"), bits), bits, "held").where("held").select("node", "text")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["node", "s"])
+
+    sets = materialize(held.mapInArrow(shingled, "node long, s array<long>"), "near-shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 3, candidate_bits: int = 12, bucket_limit: int = 16384) -> DataFrame:
+    """The rows of df, as they are, less all but one of each group of near copies: that with the smallest identifier.
 
-    Rows without words are not near copies of anything and stay; rows that share the smallest identifier all stay.
+    Near copies are joined by links of at least that Jaccard similarity over word shingles. Rows without words are near
+    copies of nothing and stay; rows that agree in identifier and text share a verdict; a null identifier comes last.
     """
-    found = simhash_groups(df, id_col, text_col, shingle, max_bits)
-    gone = materialize(found.where(~F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("fp") != 0)).select(F.col(id_col).alias("gone_id"), F.col("th").alias("gone_th")).distinct(), "near-copies")
-    bits = bitmaps.bits_for(gone.count())
-    rows = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
-    told = bitmaps.flagged(rows, F.xxhash64("id", "th"), bitmaps.bitmap(gone, F.xxhash64("gone_id", "gone_th"), bits), bits, "held")
-    kept = told.where("held").join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left_anti")
+    found = components(near_links(df, id_col, text_col, shingle, similarity, tables, candidate_bits, bucket_limit))
+    members = found.union(found.select(F.col("root").alias("node"), "root").distinct())
+    rows = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("row"), F.col(id_col).alias("id"), F.xxhash64(id_col, F.xxhash64(text_col)).alias("node"))
+    bits = bitmaps.bits_for(2 * found.count())
+    told = bitmaps.flagged(rows, F.xxhash64("node"), bitmaps.bitmap(members, F.xxhash64("node"), bits), bits, "held")
+    names = told.where("held").select("node", "id").join(members, "node")
+    first = names.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node"))["node"].alias("node"))
+    gone = materialize(members.select("node").join(first.select("node"), "node", "left_anti"), "near-copies")
+    kept = told.where("held").join(gone, "node", "left_anti")
     return told.where("not held").select("row.*").unionByName(kept.select("row.*"))
 
 

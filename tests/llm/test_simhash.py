@@ -101,3 +101,34 @@ def test_empty_table_and_long_chain(spark):
     assert simhash.simhash_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     chain = spark.range(0, 400).selectExpr("id as a", "id + 1 as b")
     assert {(r.node, r.root) for r in components(chain).collect()} == {(i, 0) for i in range(1, 401)}
+
+
+@pytest.mark.parametrize("limit", [16384, 5])
+def test_near_copies_by_shingles(spark, limit):
+    rng = random.Random(13)
+    rows, words = [], [f"w{k}" for k in range(4000)]
+    for group in range(12):
+        base = [rng.choice(words) for _ in range(rng.choice([60, 300]))]
+        for _ in range(6):
+            text = list(base)
+            for _ in range(rng.randint(0, 4)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((len(rows), " ".join(text)))
+    rows += [(1000 + k, " ".join(rng.choice(words) for _ in range(100))) for k in range(60)] + [(2000, "a a a a"), (2001, "a"), (2002, None), (2003, " ")]
+    sets = {i: set(simhash.shingle_hashes((t or "").encode(), 5)) for i, t in rows}
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and a and b and len(a & b) >= 0.8 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    want = {i for i in root if find(i) == i}
+    df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, row string").repartition(3)
+    got = {r.doc_id for r in simhash.keep_one(df, bucket_limit=limit).collect()}
+    assert want <= got and len(got - want) <= 0.02 * len(rows)
