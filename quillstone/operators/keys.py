@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import naming
 from quillstone.operators.overlap import composite_inclusion, inclusion, inverted_index, overlaps, value_text
 from quillstone.operators.profile import profile
+from quillstone.storage import materialize
 
 FK_SCHEMA = "from_table string, from_column string, to_table string, to_column string, name_score double"
 
@@ -62,15 +63,23 @@ def foreign_keys(tables: dict[str, DataFrame], min_inclusion: float = 0.8, min_s
         columns.setdefault(t, set()).add(c)
         columns.setdefault(u, set()).add(d)
     used = {t: tables[t].select(*sorted(cs)) for t, cs in columns.items()}
-    pairs = overlaps(inverted_index(used, {t: sorted(cs) for t, cs in columns.items()}))
+    index = materialize(inverted_index(used, {t: sorted(cs) for t, cs in columns.items()}), "value-index")
+    pairs = overlaps(index)
     both = pairs.select(F.col("col_a").alias("f"), F.col("col_b").alias("p"), F.col("a_in_b").alias("inclusion")).union(pairs.select("col_b", "col_a", "b_in_a"))
-    stats = column_statistics(used).select(F.col("col").alias("p"), (F.col("distinct") / F.greatest("filled", F.lit(1))).alias("uniqueness"))
+    # One row for each key column: read once, used three times.
+    filled = None
+    for t, df in used.items():
+        row = df.agg(F.count("*").alias("_n"), *(F.count(c).alias(c) for c in df.columns))
+        part = row.select(F.explode(F.array(*(F.struct(F.lit(f"{t}.{c}").alias("col"), F.col("_n").alias("rows"), F.col(c).alias("filled")) for c in df.columns))).alias("x")).select("x.*")
+        filled = part if filled is None else filled.unionByName(part)
+    every = materialize(filled.join(index.groupBy("col").agg(F.count("*").alias("distinct")), "col"), "key-columns")
+    stats = every.select(F.col("col").alias("p"), (F.col("distinct") / F.greatest("filled", F.lit(1))).alias("uniqueness"))
     names = spark.createDataFrame(named, FK_SCHEMA).withColumn("f", F.concat_ws(".", "from_table", "from_column")).withColumn("p", F.concat_ws(".", "to_table", "to_column"))
     found = F.broadcast(names).join(both, ["f", "p"]).join(stats, "p").where((F.col("uniqueness") >= 0.99) & (F.col("inclusion") >= min_inclusion))
     score = F.round(0.35 * F.col("name_score") + 0.45 * F.col("inclusion") + 0.1 * F.col("uniqueness") + F.when(F.col("name_score") >= 0.85, 0.1).otherwise(0.0), 4)
     found = found.withColumn("score", score).where(F.col("score") >= min_score)
-    own = column_statistics(used).select(F.col("col").alias("f"), (F.col("distinct") / F.greatest("filled", F.lit(1))).alias("own"), F.col("rows").alias("own_rows"))
-    rows = column_statistics(used).select(F.col("col").alias("p"), F.col("rows").alias("to_rows"))
+    own = every.select(F.col("col").alias("f"), (F.col("distinct") / F.greatest("filled", F.lit(1))).alias("own"))
+    rows = every.select(F.col("col").alias("p"), F.col("rows").alias("to_rows"))
     found = found.join(own, "f").join(rows, "p")
     from pyspark.sql import Window
 
@@ -154,8 +163,6 @@ def hierarchy(spark: SparkSession, df: DataFrame, child: str, parent: str, max_d
 
     Doubling: each round a node's ancestor becomes its ancestor's ancestor, so rounds grow with the logarithm of the depth.
     """
-    from quillstone.storage import materialize
-
     nodes = df.select(F.col(child).alias("node"), F.col(parent).alias("parent")).where("node is not null").dropDuplicates(["node"])
     known = nodes.select(F.col("node").alias("k"))
     start = nodes.join(known, F.col("parent") == F.col("k"), "left").select("node", F.coalesce("k", "node").alias("up"), F.when(F.col("k").isNull(), 0).otherwise(1).cast("long").alias("depth"))

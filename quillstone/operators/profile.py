@@ -48,16 +48,21 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def numeric_statistics(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Exact aggregates of each numeric column, rounded: n, sum, mean, sd (sample), min, max, quartiles, distinct values."""
-    fields: dict[str, dict[str, str]] = {n: {} for n in ("n", "sum", "mean", "sd", "min", "max", "q25", "median", "q75", "distinct")}
-    aggregates = []
-    for c in numeric_columns(df):
-        x = F.col(f"`{c}`").cast("double")
-        made = {"n": F.count(x), "sum": F.sum(x), "mean": F.avg(x), "sd": F.stddev_samp(x), "min": F.min(x), "max": F.max(x), "q25": F.percentile(x, 0.25), "median": F.percentile(x, 0.5), "q75": F.percentile(x, 0.75), "distinct": F.count_distinct(x)}
-        for name, expression in made.items():
-            aggregates.append((expression if name in ("n", "distinct") else F.round(expression, digits)).alias(f"{c}|{name}"))
-            fields[name][c] = f"{c}|{name}"
-    return unpivoted(df.agg(*aggregates), fields)
+    """Exact aggregates of each numeric column, rounded: n, sum, mean, sd (sample), min, max, quartiles, distinct values.
+
+    Quartiles and distinct values come from the columns' value counts, in one pass over the distinct (column, value)
+    pairs, so no task holds a column's values and the rows are not multiplied by the number of columns.
+    """
+    names = numeric_columns(df)
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("x")) for c in names))
+    counts = df.select(F.explode(cells).alias("p")).select("p.*").where("x is not null").groupBy("column", "x").agg(F.count("*").alias("k"))
+    x, k = F.col("x"), F.col("k")
+    made = counts.groupBy("column").agg(F.sum("k").alias("n"), F.sum(x * k).alias("sum"), F.min("x").alias("min"), F.max("x").alias("max"), F.count("*").alias("distinct"), F.percentile("x", [0.25, 0.5, 0.75], k).alias("q"))
+    wide = df.agg(*(F.stddev_samp(F.col(f"`{c}`").cast("double")).alias(c) for c in names))
+    sd = wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("sd")) for c in names))).alias("p")).select("p.*")
+    r = lambda c: F.round(c, digits)
+    out = sd.join(made, "column", "left")
+    return out.select("column", F.coalesce("n", F.lit(0)).alias("n"), r("sum").alias("sum"), r(F.col("sum") / F.col("n")).alias("mean"), r("sd").alias("sd"), r("min").alias("min"), r("max").alias("max"), r(F.col("q")[0]).alias("q25"), r(F.col("q")[1]).alias("median"), r(F.col("q")[2]).alias("q75"), F.coalesce("distinct", F.lit(0)).alias("distinct"))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

@@ -78,7 +78,10 @@ def value_sets(spark, sf_dir):
     return n(a.intersect(b), "both").crossJoin(n(a.subtract(b), "only_a")).crossJoin(n(a.union(b).distinct(), "either"))
 
 
-@register("fk_01_primary_keys", "SELECT unnest(['orders.o_orderkey', 'customer.c_custkey', 'nation.n_nationkey', 'region.r_regionkey', 'supplier.s_suppkey', 'part.p_partkey']) AS col")
+_KEY_COLUMNS = {"orders": ["o_orderkey", "o_custkey"], "customer": ["c_custkey", "c_nationkey"], "nation": ["n_nationkey", "n_regionkey"], "region": ["r_regionkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]}
+
+
+@register("fk_01_primary_keys", " UNION ALL ".join(f"SELECT '{t}.{c}' AS col FROM {t} HAVING count(*) > 0 AND count(DISTINCT {c}) = count(*)" for t, cs in _KEY_COLUMNS.items() for c in cs))
 def primary(spark, sf_dir):
     return K.primary_keys(tables_of(spark, sf_dir))
 
