@@ -28,13 +28,14 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import bitmaps
 from quillstone.llm.components import components
-from quillstone.storage import discard, materialize, read_table, ship
+from quillstone.storage import materialize, read_table, ship
 
 SEGMENTS = (22, 21, 21)
 GOLAY = 0b110001110101  # generator polynomial of the [23, 12, 7] code
@@ -121,6 +122,12 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def bits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits, row by row; a row has one fingerprint or several."""
+    apart = np.bitwise_count(x ^ y)
+    return apart if apart.ndim == 1 else apart.sum(axis=1, dtype=np.int64)
+
+
 def forest(fps: np.ndarray, ids: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (of ids) that join what links of at most max_bits join, one fewer than members in each part."""
     left, right = [], []
@@ -129,7 +136,7 @@ def forest(fps: np.ndarray, ids: np.ndarray, max_bits: int) -> tuple[np.ndarray,
         reached, rest, names = [(rest[0], names[0])], rest[1:], names[1:]
         while reached and len(rest):
             node, name = reached.pop()
-            close = np.bitwise_count(rest ^ node) <= max_bits
+            close = bits_apart(rest, node) <= max_bits
             if close.any():
                 found = names[close]
                 reached.extend(zip(rest[close], found, strict=True))
@@ -148,7 +155,7 @@ def _small_groups(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, max_bits:
         at = at[keys[at] == keys[at + step]]
         if not len(at):
             break
-        close = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= max_bits]
+        close = at[bits_apart(fps[at], fps[at + step]) <= max_bits]
         left.append(ids[close])
         right.append(ids[close + step])
         step += 1
@@ -161,7 +168,7 @@ _SHORT = 32  # longest run for which all links are listed
 
 
 def _link(batches: Iterator[pa.RecordBatch], max_bits: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp, and id if it isn't the fp) sorted by key: links of ids as (a, b), and (key, n) for buckets over the limit, which are left."""
+    """Rows (key, fp), or (key, fp, id, second fp), sorted by key: links of ids as (a, b), and (key, n) for buckets over the limit, which are left."""
 
     def rows(a, b, key=None, n=None):
         if key is None:
@@ -182,13 +189,16 @@ def _link(batches: Iterator[pa.RecordBatch], max_bits: int, limit: int) -> Itera
             part = slice(starts[k], starts[k] + sizes[k])
             yield rows([], [], int(keys[starts[k]]), int(sizes[k])) if sizes[k] > limit else rows(*forest(fps[part], ids[part], max_bits))
 
-    held, extra = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0  # the last bucket so far; extra: rows of it that are only counted
+    held, extra = None, 0  # held: the last bucket so far; extra: rows of it that are only counted
     for batch in batches:
         if not batch.num_rows:
             continue
-        fps = batch.column(1).to_numpy()
-        fresh = (batch.column(0).to_numpy(), fps.view(np.uint64), batch.column(2).to_numpy() if batch.num_columns > 2 else fps)
-        now = tuple(np.concatenate(x) for x in zip(held, fresh, strict=True))
+        columns = [c.to_numpy() for c in batch.columns]
+        if len(columns) == 2:
+            fresh = (columns[0], columns[1].view(np.uint64), columns[1])
+        else:
+            fresh = (columns[0], np.stack([columns[1], columns[3]], axis=1).view(np.uint64), columns[2])
+        now = fresh if held is None else tuple(np.concatenate(x) for x in zip(held, fresh, strict=True))
         if extra and now[0][-1] != now[0][0]:  # the bucket that was over the limit has ended
             first = int(np.searchsorted(now[0], now[0][0], "right"))
             yield rows([], [], int(now[0][0]), first + extra)
@@ -201,7 +211,7 @@ def _link(batches: Iterator[pa.RecordBatch], max_bits: int, limit: int) -> Itera
             held = tuple(x[: limit + 1] for x in held)
     if extra:
         yield rows([], [], int(held[0][0]), len(held[0]) + extra)
-    else:
+    elif held is not None:
         yield from whole(held)
 
 
@@ -218,17 +228,17 @@ def _keys(fps: DataFrame) -> DataFrame:
 
 
 def _search(keyed: DataFrame, max_bits: int, bucket_limit: int) -> DataFrame:
-    """Links (a, b) within the buckets of rows (key, fp) or (key, fp, id)."""
+    """Links (a, b) within the buckets of rows (key, fp) or (key, fp, id, second fp)."""
 
     def searched(rows: DataFrame, limit: int) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions(*rows.columns[::2]).mapInArrow(lambda batches: _link(batches, max_bits, limit), LINKS)
+        return rows.repartition("key").sortWithinPartitions("key", rows.columns[min(2, len(rows.columns) - 1)]).mapInArrow(lambda batches: _link(batches, max_bits, limit), LINKS)
 
     found = materialize(searched(keyed, bucket_limit), "simhash-links")
     parts, large = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", "n")
     if large.isEmpty():
         return parts
     # Blocks of a third of the limit on average, so that a pair of them stays below it.
-    own = keyed.columns[-1]
+    own = keyed.columns[min(2, len(keyed.columns) - 1)]
     dealt = keyed.join(large.withColumn("blocks", F.ceil(F.col("n") * 3 / bucket_limit) + 1), "key")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(own), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pairs = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *keyed.columns[1:])
@@ -271,11 +281,42 @@ def shingle_hashes(text: bytes | None, size: int) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64).view(np.int64).tolist()
 
 
+def verified(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (places in the list) that join what pairs of at least that Jaccard similarity join, by an inverted index."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, item = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(item, kind="stable")
+    posting, starts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(item))])
+    own_start = np.cumsum(sizes) - sizes
+    root = list(range(len(sets)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    out = []
+    for k in range(len(sets) - 1):
+        mine = item[own_start[k] : own_start[k] + sizes[k]]
+        met = np.concatenate([posting[starts[i] : starts[i + 1]] for i in mine])
+        common = np.bincount(met[met > k], minlength=len(sets))
+        for j in np.nonzero((common > 0) & (common >= similarity * (sizes + sizes[k] - common)))[0]:
+            x, y = find(k), find(int(j))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((k, int(j)))
+    return out
+
+
 def near_links(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, tables: int, candidate_bits: int, bucket_limit: int) -> DataFrame:
-    """Links (a, b) of nodes, xxhash64(identifier, text hash), whose shingle sets have that Jaccard similarity.
+    """Links (a, b) of nodes, xxhash64(identifier, text hash), with the components of all links of that Jaccard similarity.
 
     Few edits change many shingles but few words, so candidates come from fingerprints over words: they share a Golay key
-    in one of the tables and differ in at most candidate_bits there. The shingles decide, exactly.
+    in one of the tables and differ in at most candidate_bits of 128 there. Candidates hang together in blocks, and the
+    shingle sets of a block's members are compared exactly; a block over the limit is dealt into parts, all pairs of which
+    are compared. Neither step writes out a block's pairs.
     """
     ship(df.sparkSession)
     texts = df.select(F.xxhash64(id_col, F.xxhash64(text_col)).alias("node"), F.col(text_col).cast("binary").alias("text"))
@@ -289,27 +330,51 @@ def near_links(df: DataFrame, id_col: str, text_col: str, shingle: int, similari
             nodes, values = batch.column(0).to_numpy()[rows], np.array([x for x in made if x], np.int64)
             for t in range(tables):
                 keys, owners = keys_of(values[:, t].copy().view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys | t << 26), pa.array(values[owners, t]), pa.array(nodes[owners])], ["key", "fp", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys | t << 26), pa.array(values[owners, t]), pa.array(nodes[owners]), pa.array(values[owners, (t + 1) % tables])], ["key", "fp", "id", "second"])
 
-    keys = materialize(texts.mapInArrow(keyed, "key long, fp long, id long"), "near-keys")
-    pairs = _search(keys, candidate_bits, bucket_limit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    pairs = materialize(pairs, "near-pairs")
-    discard(keys)
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    bits = bitmaps.bits_for(2 * pairs.count())
-    held = bitmaps.flagged(texts, F.xxhash64("node"), bitmaps.bitmap(ends, F.xxhash64("node"), bits), bits, "held").where("held").select("node", "text")
+    candidates = _search(texts.mapInArrow(keyed, "key long, fp long, id long, second long"), candidate_bits, bucket_limit)
+    found = components(candidates)
+    blocks = materialize(found.union(found.select(F.col("root").alias("node"), "root").distinct()), "near-blocks")
+    bits = bitmaps.bits_for(blocks.count())
+    held = bitmaps.flagged(texts, F.xxhash64("node"), bitmaps.bitmap(blocks, F.xxhash64("node"), bits), bits, "held").where("held").select("node", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["node", "s"])
 
-    sets = materialize(held.mapInArrow(shingled, "node long, s array<long>"), "near-shingles")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    sets = materialize(held.mapInArrow(shingled, "node long, s array<long>").join(blocks, "node"), "near-shingles")
+    sizes = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("s")).alias("w"))
+    parts = F.greatest(F.ceil(F.col("n") * 3 / _BLOCK_NODES), F.ceil(F.col("w") * 3 / _BLOCK_SHINGLES))
+    large = materialize(sizes.where((F.col("n") > _BLOCK_NODES) | (F.col("w") > _BLOCK_SHINGLES)).select("root", (parts + 1).alias("parts")), "near-large")
+    dealt = sets.join(large, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    groups = dealt.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "s").unionByName(sets.join(large, "root", "left_anti").select(F.col("root").alias("key"), "node", "s"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(nodes: list[int], members: list[np.ndarray]) -> pa.RecordBatch:
+            made = verified(members, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in made], pa.int64()), pa.array([nodes[j] for _, j in made], pa.int64())], ["a", "b"])
+
+        key, nodes, members = None, [], []
+        for batch in batches:
+            values = batch.column(2)
+            flat, ends = values.flatten().to_numpy(), np.cumsum(pc.list_value_length(values).to_numpy())
+            for k, node, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), np.split(flat, ends[:-1]), strict=True):
+                if k != key:
+                    if len(nodes) > 1:
+                        yield done(nodes, members)
+                    key, nodes, members = k, [], []
+                nodes.append(node)
+                members.append(part)
+        if len(nodes) > 1:
+            yield done(nodes, members)
+
+    return groups.repartition("key").sortWithinPartitions("key", "node").mapInArrow(compare, "a long, b long")
+
+
+_BLOCK_NODES, _BLOCK_SHINGLES = 1500, 2_000_000  # of a block that one task compares
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 3, candidate_bits: int = 12, bucket_limit: int = 16384) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 3, candidate_bits: int = 22, bucket_limit: int = 16384) -> DataFrame:
     """The rows of df, as they are, less all but one of each group of near copies: that with the smallest identifier.
 
     Near copies are joined by links of at least that Jaccard similarity over word shingles. Rows without words are near

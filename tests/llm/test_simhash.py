@@ -103,8 +103,9 @@ def test_empty_table_and_long_chain(spark):
     assert {(r.node, r.root) for r in components(chain).collect()} == {(i, 0) for i in range(1, 401)}
 
 
-@pytest.mark.parametrize("limit", [16384, 5])
-def test_near_copies_by_shingles(spark, limit):
+@pytest.mark.parametrize("limit,nodes", [(16384, 1500), (5, 3)])
+def test_near_copies_by_shingles(spark, monkeypatch, limit, nodes):
+    monkeypatch.setattr(simhash, "_BLOCK_NODES", nodes)
     rng = random.Random(13)
     rows, words = [], [f"w{k}" for k in range(4000)]
     for group in range(12):
