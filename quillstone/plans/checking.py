@@ -101,7 +101,7 @@ def twins(spark, sf_dir):
     return Q.duplicate_columns(_shares(spark, sf_dir), ["s", "rest", "twin"])
 
 
-@register("dq_17_derived_ratios", "SELECT 'ratio' AS target, 's' AS a, 'price' AS b, 1 AS scale UNION ALL SELECT 's', 'ratio', 'inverse', 1 WHERE false")
+@register("dq_17_derived_ratios", "SELECT 'ratio' AS target, 's' AS a, 'price' AS b, 1 AS scale")
 def ratios(spark, sf_dir):
     return Q.derived_ratios(_shares(spark, sf_dir), ["s", "price", "ratio"]).where("target = 'ratio'")
 

@@ -33,7 +33,7 @@ def components(spark, sf_dir):
     return G.components(_groups(spark, sf_dir))
 
 
-@register("gr_03_bridges", "SELECT unnest(['customer', 'lineitem', 'nation']) AS a, unnest(['nation', 'part', 'region']) AS b WHERE false UNION ALL SELECT 'lineitem', 'part' UNION ALL SELECT 'nation', 'region'")
+@register("gr_03_bridges", "SELECT 'lineitem' AS a, 'part' AS b UNION ALL SELECT 'nation', 'region'")
 def bridges(spark, sf_dir):
     return spark.createDataFrame(G.SchemaGraph(SCHEMA_EDGES).bridges(), "a string, b string")
 
@@ -257,7 +257,7 @@ def completeness(spark, sf_dir):
     return T.missing_properties(_facts(spark, sf_dir), {"Nation": ["name", "partOf"]})
 
 
-@register("kb_14_schema", "SELECT (SELECT count(*) FROM (SELECT unnest([3, 2]))) + 0 AS classes, 3 + 2 AS properties")
+@register("kb_14_schema", "SELECT 2::BIGINT AS classes, 3 + 2 AS properties")
 def schema(spark, sf_dir):
     found = T.of_schema(spark, tables_of(spark, sf_dir, ("nation", "region")), [k for k in KEYS if k.from_table == "nation"])
     kinds = found.where("predicate = 'rdf:type'")
