@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -23,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quillstone-')}")
+    own = tempfile.mkdtemp(prefix="quillstone-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    context.setCheckpointDir(f"file://{own}")
     return context.getCheckpointDir().rstrip("/")
 
 
