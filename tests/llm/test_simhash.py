@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from quillstone.llm import components as module
 from quillstone.llm import simhash
 from quillstone.llm.components import components
 
@@ -97,10 +98,26 @@ def test_operator_on_awkward_rows(spark):
     assert sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in got), key=str) == want
 
 
-def test_empty_table_and_long_chain(spark):
+@pytest.mark.parametrize("per_task", [500_000, 40])
+def test_empty_table_and_long_chain(spark, monkeypatch, per_task):
+    monkeypatch.setattr(module, "PER_TASK", per_task)
     assert simhash.simhash_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
-    chain = spark.range(0, 400).selectExpr("id as a", "id + 1 as b")
+    chain = spark.range(0, 400, 1, 20).selectExpr("id as a", "id + 1 as b")
     assert {(r.node, r.root) for r in components(chain).collect()} == {(i, 0) for i in range(1, 401)}
+    rng = random.Random(per_task)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(260)]
+    root = {n: n for e in edges for n in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    found = components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()
+    assert {(r.node, r.root) for r in found} == {(n, find(n)) for n in root if find(n) != n}
 
 
 @pytest.mark.parametrize("limit,nodes", [(16384, 1500), (5, 3)])
