@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.storage import discard, materialize, ship
+from quillstone.storage import materialize, ship
 
 
 PER_TASK = 500_000  # links, 16 bytes each
@@ -54,12 +54,13 @@ def _star(edges: DataFrame, both: DataFrame, larger: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of edges (a, b) that isn't the least of its component; root is the least node."""
+    """(node, root) for every node of edges (a, b) that isn't the least of its component; root is the least node.
+
+    edges is read twice, so it should be a written table.
+    """
     ship(edges.sparkSession)
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    tasks = -(-now.count() // PER_TASK)
-    contracted = materialize(now.coalesce(max(1, tasks)).mapInArrow(stars, "a long, b long"), "links")
-    discard(now)
+    tasks = -(-edges.count() // PER_TASK)
+    contracted = materialize(edges.select("a", "b").coalesce(max(1, tasks)).mapInArrow(stars, "a long, b long"), "links")
     if tasks <= 1:
         return contracted.select(F.col("a").alias("node"), F.col("b").alias("root"))
     now, mark = contracted.distinct(), None

@@ -334,7 +334,7 @@ def near_links(df: DataFrame, id_col: str, text_col: str, shingle: int, similari
 
     candidates = _search(texts.mapInArrow(keyed, "key long, fp long, id long, second long"), candidate_bits, bucket_limit)
     found = components(candidates)
-    blocks = materialize(found.union(found.select(F.col("root").alias("node"), "root").distinct()), "near-blocks")
+    blocks = found.union(found.select(F.col("root").alias("node"), "root").distinct())
     bits = bitmaps.bits_for(blocks.count())
     held = bitmaps.flagged(texts, F.xxhash64("node"), bitmaps.bitmap(blocks, F.xxhash64("node"), bits), bits, "held").where("held").select("node", "text")
 
@@ -380,7 +380,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     Near copies are joined by links of at least that Jaccard similarity over word shingles. Rows without words are near
     copies of nothing and stay; rows that agree in identifier and text share a verdict; a null identifier comes last.
     """
-    found = components(near_links(df, id_col, text_col, shingle, similarity, tables, candidate_bits, bucket_limit))
+    found = components(materialize(near_links(df, id_col, text_col, shingle, similarity, tables, candidate_bits, bucket_limit), "near-links"))
     members = found.union(found.select(F.col("root").alias("node"), "root").distinct())
     rows = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("row"), F.col(id_col).alias("id"), F.xxhash64(id_col, F.xxhash64(text_col)).alias("node"))
     bits = bitmaps.bits_for(2 * found.count())
