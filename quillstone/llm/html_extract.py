@@ -321,7 +321,6 @@ def extract(root: Node, template: set[int] | None = None) -> list[str]:
                     flush()
             elif not is_boilerplate(c, in_article):
                 walk(c, skip, in_article)
-        return
 
     if not (main is root and not root.children):
         walk(main, bool(template) and id(main) in template, main.tag == "article")
@@ -329,10 +328,6 @@ def extract(root: Node, template: set[int] | None = None) -> list[str]:
     return blocks
 
 
-def _paired(pages: DataFrame, refs: DataFrame, small: bool) -> DataFrame:
-    return pages.join(F.broadcast(refs) if small else refs, "host", "left")
-
-
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_share: float = 0.8, min_pages: int = 5, max_broadcast: int = 16 << 20) -> DataFrame:
     """(identifier, url, blocks) for every row."""
     spark = df.sparkSession
@@ -379,7 +374,8 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], ["id", "url", "blocks"])
 
     kind = dict(df.dtypes)[id_col]
-    found = _paired(pages, wrappers, small).select("id", "url", "host", "html", "ref", "nodes").mapInArrow(run, f"id {kind}, url string, blocks array<string>")
+    paired = pages.join(F.broadcast(wrappers) if small else wrappers, "host", "left")
+    found = paired.select("id", "url", "host", "html", "ref", "nodes").mapInArrow(run, f"id {kind}, url string, blocks array<string>")
     return found.withColumnsRenamed({"id": id_col, "url": url_col})
 
 
