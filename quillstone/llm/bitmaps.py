@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_BITS, MAX_BITS = 1 << 18, 1 << 27  # at most 16 MB
+MIN_BITS, MAX_BITS = 1 << 18, 1 << 28  # at most 32 MB
 BUCKET_BITS = 32768  # of one value of bitmap_construct_agg
 
 

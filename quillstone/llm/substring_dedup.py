@@ -104,7 +104,7 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = repeats.documents(df, id_col, text_col)
     # An upper bound on the number of blocks, without counting them: they have two bytes a word at least.
     size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    bits = bitmaps.bits_for(size // (4 * ((window + 1) // 2)), per_key=8)
+    bits = bitmaps.bits_for(size // (4 * ((window + 1) // 2)))
     index = spark.sparkContext.broadcast(bitmaps.as_bytes(bitmaps.bitmap(_block_hashes(docs, window), F.col("key"), bits), bits))
     hits = repeats.repeated_windows(docs, _occurrences(docs, window, index, bits), _payload(window), _same_code, lambda data, n: np.frombuffer(data, np.uint64), group_limit)
     return docs, hits
