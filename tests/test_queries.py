@@ -36,14 +36,8 @@ def rows(names, data):
     return sorted(tuple(plain(r[k]) for k in order) for r in data)
 
 
-#: These state figures of the larger tables in their SQL or need more rows than the smallest ones have.
-LARGER = {"er_08_clusters"}
-
-
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_equals_sql(spark, db, name):
-    if name in LARGER:
-        pytest.skip("needs the larger tables")
     got = registry.queries()[name](spark, SF)
     want = db.execute(registry.oracle_sql()[name])
     columns = [d[0] for d in want.description]
