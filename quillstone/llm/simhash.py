@@ -12,8 +12,8 @@
   those it has reached. A bucket over ``bucket_limit`` is dealt into blocks, and all pairs of blocks are searched in
   separate groups, so every link is found whatever the bucket's size.
 * **Wider similarity.** ``keep_one`` finds near copies by the Jaccard similarity of word shingles, which at 0.8 is about
-  10 of 64 bits and out of the keys' reach. It takes the keys of several fingerprints over words, which the same edits
-  change far less, and decides by the shingles themselves.
+  10 of 64 bits and out of the keys' reach. It takes a prefix filter over the shingles, which misses no pair, and decides
+  by the shingles themselves.
 * **Groups.** Equal fingerprints are one node from the start; components come from star rounds over the forest.
 
 Defined cases: a null text is empty; a text without words has fingerprint 0, which links like any other; a text of
@@ -128,7 +128,20 @@ def bits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return apart if apart.ndim == 1 else apart.sum(axis=1, dtype=np.int64)
 
 
-def forest(fps: np.ndarray, ids: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def sketches_apart(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """0 where rows (size, sketch) of two shingle sets may have that Jaccard similarity, else 1; no pair that has it gets 1.
+
+    A shingle in one set only flips one bit of the sketches' difference, so the difference is at most that of the sets.
+    """
+    m, n = x[..., 0].astype(np.int64), y[..., 0].astype(np.int64)
+    bits = np.bitwise_count(x[..., 1:] ^ y[..., 1:]).sum(axis=-1, dtype=np.int64)
+    return ((np.minimum(m, n) < similarity * np.maximum(m, n) - _SLACK) | (bits > (1 - similarity) / (1 + similarity) * (m + n) + _SLACK)).astype(np.int64)
+
+
+_SLACK = 1e-6  # against rounding
+
+
+def forest(fps: np.ndarray, ids: np.ndarray, max_bits: int, apart=bits_apart) -> tuple[np.ndarray, np.ndarray]:
     """Links (of ids) that join what links of at most max_bits join, one fewer than members in each part."""
     left, right = [], []
     rest, names = fps, ids
@@ -136,7 +149,7 @@ def forest(fps: np.ndarray, ids: np.ndarray, max_bits: int) -> tuple[np.ndarray,
         reached, rest, names = [(rest[0], names[0])], rest[1:], names[1:]
         while reached and len(rest):
             node, name = reached.pop()
-            close = bits_apart(rest, node) <= max_bits
+            close = apart(rest, node) <= max_bits
             if close.any():
                 found = names[close]
                 reached.extend(zip(rest[close], found, strict=True))
@@ -147,7 +160,7 @@ def forest(fps: np.ndarray, ids: np.ndarray, max_bits: int) -> tuple[np.ndarray,
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _small_groups(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _small_groups(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, max_bits: int, apart=bits_apart) -> tuple[np.ndarray, np.ndarray]:
     """All links within runs of equal keys; for short runs."""
     left, right, at, step = [], [], np.arange(len(keys)), 1
     while True:
@@ -155,7 +168,7 @@ def _small_groups(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, max_bits:
         at = at[keys[at] == keys[at + step]]
         if not len(at):
             break
-        close = at[bits_apart(fps[at], fps[at + step]) <= max_bits]
+        close = at[apart(fps[at], fps[at + step]) <= max_bits]
         left.append(ids[close])
         right.append(ids[close + step])
         step += 1
@@ -167,8 +180,8 @@ LINKS = "a long, b long, key long, n long"
 _SHORT = 32  # longest run for which all links are listed
 
 
-def _link(batches: Iterator[pa.RecordBatch], max_bits: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp), or (key, fp, id, second fp), sorted by key: links of ids as (a, b), and (key, n) for buckets over the limit, which are left."""
+def _link(batches: Iterator[pa.RecordBatch], max_bits: int, limit: int, apart=bits_apart) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp), or (key, fp, id, further parts of fp), sorted by key: links of ids as (a, b), and (key, n) for buckets over the limit, which are left."""
 
     def rows(a, b, key=None, n=None):
         if key is None:
@@ -184,10 +197,10 @@ def _link(batches: Iterator[pa.RecordBatch], max_bits: int, limit: int) -> Itera
         sizes = np.diff(np.r_[starts, len(keys)])
         of_row = np.repeat(sizes, sizes)
         short = (of_row > 1) & (of_row <= min(_SHORT, limit))
-        yield rows(*_small_groups(keys[short], fps[short], ids[short], max_bits))
+        yield rows(*_small_groups(keys[short], fps[short], ids[short], max_bits, apart))
         for k in np.nonzero(sizes > min(_SHORT, limit))[0]:
             part = slice(starts[k], starts[k] + sizes[k])
-            yield rows([], [], int(keys[starts[k]]), int(sizes[k])) if sizes[k] > limit else rows(*forest(fps[part], ids[part], max_bits))
+            yield rows([], [], int(keys[starts[k]]), int(sizes[k])) if sizes[k] > limit else rows(*forest(fps[part], ids[part], max_bits, apart))
 
     held, extra = None, 0  # held: the last bucket so far; extra: rows of it that are only counted
     for batch in batches:
@@ -197,7 +210,7 @@ def _link(batches: Iterator[pa.RecordBatch], max_bits: int, limit: int) -> Itera
         if len(columns) == 2:
             fresh = (columns[0], columns[1].view(np.uint64), columns[1])
         else:
-            fresh = (columns[0], np.stack([columns[1], columns[3]], axis=1).view(np.uint64), columns[2])
+            fresh = (columns[0], np.stack([columns[1], *columns[3:]], axis=1).view(np.uint64), columns[2])
         now = fresh if held is None else tuple(np.concatenate(x) for x in zip(held, fresh, strict=True))
         if extra and now[0][-1] != now[0][0]:  # the bucket that was over the limit has ended
             first = int(np.searchsorted(now[0], now[0][0], "right"))
@@ -227,11 +240,11 @@ def _keys(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def _search(keyed: DataFrame, max_bits: int, bucket_limit: int) -> DataFrame:
-    """Links (a, b) within the buckets of rows (key, fp) or (key, fp, id, second fp)."""
+def _search(keyed: DataFrame, max_bits: int, bucket_limit: int, apart=bits_apart) -> DataFrame:
+    """Links (a, b) within the buckets of rows (key, fp) or (key, fp, id, further parts of fp)."""
 
     def searched(rows: DataFrame, limit: int) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key", rows.columns[min(2, len(rows.columns) - 1)]).mapInArrow(lambda batches: _link(batches, max_bits, limit), LINKS)
+        return rows.repartition("key").sortWithinPartitions("key", rows.columns[min(2, len(rows.columns) - 1)]).mapInArrow(lambda batches: _link(batches, max_bits, limit, apart), LINKS)
 
     found = materialize(searched(keyed, bucket_limit), "simhash-links")
     parts, large = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", "n")
@@ -264,16 +277,6 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "th", "fp", "component_id")
 
 
-def word_fingerprints(text: bytes | None, tables: int) -> list[int]:
-    """Fingerprints, as signed 64-bit numbers, over the set of a text's words; none for a text without words."""
-    words = set(text.lower().split()) if text else set()
-    if not words:
-        return []
-    digests = b"".join(xxhash.xxh3_128_digest(w, seed) for w in words for seed in range((tables + 1) // 2))
-    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(len(words), -1), axis=1)
-    return np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(words)).view(np.int64)[:tables].tolist()
-
-
 def shingle_hashes(text: bytes | None, size: int) -> list[int]:
     """Hashes of the distinct word shingles, of the whole sequence if it is shorter."""
     words = text.lower().split() if text else []
@@ -310,29 +313,97 @@ def verified(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]
     return out
 
 
-def near_links(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, tables: int, candidate_bits: int, bucket_limit: int) -> DataFrame:
+SKETCH_WORDS = 4  # of 64 bits
+_RANGES = 64  # in which the slots of shingles are counted
+
+
+def shingle_levels(texts: DataFrame, shingle: int) -> tuple[np.ndarray, int]:
+    """How common the shingles of each slot are, as bitmaps (one a level) of their counts, and the number of slots.
+
+    Shingles that share a slot by chance count together; a slot below the first level has one row's shingle only. The
+    later levels only order the shingles, so that passages many rows have come last.
+    """
+    words = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    slots = min(bitmaps.bits_for(words, 1), bitmaps.MAX_BITS // 2)
+    shift, width = np.uint64(64 - (slots.bit_length() - 1)), slots // _RANGES
+    levels = [2, 8 + 2 * words // slots, 64 + 2 * words // slots]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_hashes(t, shingle) for t in batch.column(0).to_pylist()]
+            at = np.concatenate([np.zeros(0, np.int64), *(np.array(x, np.int64) for x in found)]).view(np.uint64) >> shift
+            at = np.sort(at.astype(np.uint32))
+            ends = np.searchsorted(at, np.arange(1, _RANGES + 1) * width)
+            parts = [(k, part.tobytes()) for k, part in enumerate(np.split(at, ends[:-1])) if len(part)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], ["range", "slots"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                counts = held.setdefault(k, np.zeros(width, np.uint32))
+                at, n = np.unique(np.frombuffer(part.as_buffer(), np.uint32) - np.uint32(k * width), return_counts=True)
+                counts[at] += n.astype(np.uint32)
+        for k, counts in held.items():
+            planes = b"".join(np.packbits(counts >= least, bitorder="little").tobytes() for least in levels)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([planes], pa.binary())], ["range", "bits"])
+
+    rows = texts.select("text").mapInArrow(placed, "range long, slots binary").repartition("range").mapInArrow(counted, "range long, bits binary")
+    bitmap = np.zeros((len(levels), slots // 8), np.uint8)
+    for k, bits in rows.toLocalIterator():
+        bitmap[:, k * width // 8 : (k + 1) * width // 8] = np.frombuffer(bits, np.uint8).reshape(len(levels), -1)
+    return bitmap, slots
+
+
+def prefix(hashes: np.ndarray, bitmap: np.ndarray, shift: np.uint64, similarity: float) -> np.ndarray:
+    """The shingles by which a set meets every other of that Jaccard similarity.
+
+    In one order of all shingles, two such sets have their first common shingle among the first 1 + n - similarity * n of
+    each. The order is by level, then hash; no other set has the shingles below the first level, so they are left out.
+    """
+    at = hashes >> shift
+    level = ((bitmap[:, (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).sum(axis=0)
+    order = np.lexsort((hashes, level))[: len(hashes) - int(np.ceil(similarity * len(hashes) - _SLACK)) + 1]
+    return hashes[order[level[order] > 0]]
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Bit i is whether an odd number of shingles fall on it."""
+    odd = np.bincount((hashes & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+def near_links(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, bucket_limit: int) -> DataFrame:
     """Links (a, b) of nodes, xxhash64(identifier, text hash), with the components of all links of that Jaccard similarity.
 
-    Few edits change many shingles but few words, so candidates come from fingerprints over words: they share a Golay key
-    in one of the tables and differ in at most candidate_bits of 128 there. Candidates hang together in blocks, and the
-    shingle sets of a block's members are compared exactly; a block over the limit is dealt into parts, all pairs of which
-    are compared. Neither step writes out a block's pairs.
+    Candidates share a shingle of their prefixes and have sizes and sketches that allow the similarity, so no pair is missed.
+    They hang together in blocks, and the shingle sets of a block's members are compared exactly; a block over the limit is
+    dealt into parts, all pairs of which are compared. Neither step writes out a block's pairs.
     """
     ship(df.sparkSession)
     texts = df.select(F.xxhash64(id_col, F.xxhash64(text_col)).alias("node"), F.col(text_col).cast("binary").alias("text"))
+    bitmap, slots = shingle_levels(texts, shingle)
+    shift, told = np.uint64(64 - (slots.bit_length() - 1)), df.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+    names, n_levels = [f"s{k}" for k in range(SKETCH_WORDS)], len(bitmap)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = np.frombuffer(told.value, np.uint8).reshape(n_levels, -1)
         for batch in batches:
-            made = [word_fingerprints(t, tables) for t in batch.column(1).to_pylist()]
-            rows = np.array([k for k, x in enumerate(made) if x], np.int64)
-            if not len(rows):
-                continue
-            nodes, values = batch.column(0).to_numpy()[rows], np.array([x for x in made if x], np.int64)
-            for t in range(tables):
-                keys, owners = keys_of(values[:, t].copy().view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys | t << 26), pa.array(values[owners, t]), pa.array(nodes[owners]), pa.array(values[owners, (t + 1) % tables])], ["key", "fp", "id", "second"])
-
-    candidates = _search(texts.mapInArrow(keyed, "key long, fp long, id long, second long"), candidate_bits, bucket_limit)
+            keys, rows, nodes = [np.zeros(0, np.uint64)], [np.zeros((0, SKETCH_WORDS + 2), np.int64)], batch.column(0).to_numpy()
+            for node, text in zip(nodes, batch.column(1).to_pylist(), strict=True):
+                hashes = np.array(shingle_hashes(text, shingle), np.int64).view(np.uint64)
+                found = prefix(hashes, levels, shift, similarity)
+                if len(found):
+                    keys.append(found)
+                    rows.append(np.repeat(np.concatenate([[len(hashes), node], sketch(hashes)])[None, :], len(found), axis=0))
+            made = np.concatenate(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in made.T)], ["key", "fp", "id", *names])
+
+    def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return sketches_apart(x, y, similarity)
+
+    schema = "key long, fp long, id long, " + ", ".join(f"{c} long" for c in names)
+    candidates = _search(texts.mapInArrow(keyed, schema), 0, bucket_limit, apart)
     found = components(candidates)
     blocks = found.union(found.select(F.col("root").alias("node"), "root").distinct())
     bits = bitmaps.bits_for(blocks.count())
@@ -374,13 +445,13 @@ def near_links(df: DataFrame, id_col: str, text_col: str, shingle: int, similari
 _BLOCK_NODES, _BLOCK_SHINGLES = 1500, 2_000_000  # of a block that one task compares
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 3, candidate_bits: int = 22, bucket_limit: int = 16384) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_limit: int = 16384) -> DataFrame:
     """The rows of df, as they are, less all but one of each group of near copies: that with the smallest identifier.
 
     Near copies are joined by links of at least that Jaccard similarity over word shingles. Rows without words are near
     copies of nothing and stay; rows that agree in identifier and text share a verdict; a null identifier comes last.
     """
-    found = components(materialize(near_links(df, id_col, text_col, shingle, similarity, tables, candidate_bits, bucket_limit), "near-links"))
+    found = components(materialize(near_links(df, id_col, text_col, shingle, similarity, bucket_limit), "near-links"))
     members = found.union(found.select(F.col("root").alias("node"), "root").distinct())
     rows = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("row"), F.col(id_col).alias("id"), F.xxhash64(id_col, F.xxhash64(text_col)).alias("node"))
     bits = bitmaps.bits_for(2 * found.count())

@@ -150,3 +150,33 @@ def test_near_copies_by_shingles(spark, monkeypatch, limit, nodes):
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, row string").repartition(3)
     got = {r.doc_id for r in simhash.keep_one(df, bucket_limit=limit).collect()}
     assert want <= got and len(got - want) <= 0.02 * len(rows)
+
+
+@pytest.mark.parametrize("limit,slots", [(16384, None), (5, 1 << 10)])
+def test_no_near_copy_is_missed_whatever_the_edit(spark, monkeypatch, limit, slots):
+    if slots:  # a full bitmap: nearly every shingle counts as shared
+        monkeypatch.setattr(simhash.bitmaps, "bits_for", lambda n, per_key=16: slots if per_key == 1 else 1 << 18)
+    rng = random.Random(17)
+    words = [f"w{k}" for k in range(6000)]
+    pick = lambda n: [rng.choice(words) for _ in range(n)]
+    rows, notice = [], " ".join(pick(12))
+    for n in [60, 120, 250, 600] * 25:
+        base, more = pick(n), int(n * rng.uniform(0.05, 0.2))
+        at = rng.randrange(n - more)
+        for text in (base, base + pick(more), pick(more) + base, base[:-more], base[:at] + base[at + more :], base[:at] + pick(more // 2) + base[at + more // 2 :]):
+            rows.append((len(rows), " ".join(text) + (f" {notice}" if n == 600 else "")))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5)) for _, t in rows]
+    near = {(i, j) for i, a in enumerate(sets) for j in range(i + 1, len(sets)) if len(a & (b := sets[j])) >= 0.8 * len(a | b)}
+    assert len(near) > 300
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in near:
+        x, y = find(i), find(j)
+        root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.keep_one(df, bucket_limit=limit).collect()} == {i for i in root if find(i) == i}
