@@ -5,13 +5,13 @@ search may jump (the shift table); at a shift of nought the block's bucket of pa
 positions of a document are never looked at, and documents are only scanned, never shuffled.
 
 The tables are sent to every task. Their size follows the benchmark's, which is measured first: beyond
-``max_block_bytes`` of text the benchmark is taken in blocks of that size, each against all documents, and the spans
-that the blocks found are joined by document.
+``max_block_bytes`` of text the benchmark is taken in blocks of that size, one after the other, and each scan of a row
+adds to the spans and items that the row has so far.
 
 Defined cases: null or empty texts have no words; an item of fewer than ``window`` words is one pattern, an item of none
 is no pattern; items with a null identifier hit words but are not listed; an identifier used by several items is listed
-once; an empty benchmark hits nothing; rows that agree in their identifier are each judged by their own text (taken in
-blocks they get the union of their spans); other columns are ignored.
+once; an empty benchmark hits nothing; rows that agree in their identifier are each judged by their own text; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,13 +105,14 @@ def scan(words: list[bytes], searchers: list[WuManber]) -> tuple[list[tuple[int,
     return merged(spans), sorted(items)
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, max_block_bytes: int) -> Iterator[list[tuple]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, max_block_bytes: int) -> Iterator[tuple[bool, list[tuple]]]:
+    """The benchmark's rows, block by block, and whether the block is the last."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // max_block_bytes) or 1
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield [tuple(r) for r in part.toLocalIterator()]
+        yield k == n - 1, [tuple(r) for r in part.toLocalIterator()]
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_block_bytes: int = 32 << 20) -> DataFrame:
@@ -120,31 +121,27 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     ship(spark)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    parts = []
-    for block in _blocks(benchmark, item_col, item_text_col, max_block_bytes):
+    pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for last, block in _blocks(benchmark, item_col, item_text_col, max_block_bytes):
         tables = spark.sparkContext.broadcast(pickle.dumps(build(block, window)))
 
-        def search(batches, tables=tables):
+        def search(batches, tables=tables, last=last):
             searchers = pickle.loads(tables.value)
             for batch in batches:
                 n, spans, items = [], [], []
-                for text in batch.column(1).to_pylist():
+                texts = batch.column("text").to_pylist()
+                before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True) if "spans" in batch.schema.names else (([], []) for _ in texts)
+                for text, (had, owners) in zip(texts, before, strict=True):
                     words = words_of(text)
                     hit, found = scan(words, searchers)
                     n.append(len(words))
-                    spans.append([{"start": a, "end": b} for a, b in hit])
-                    items.append(found)
-                pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, pairs), pa.array(items, pa.list_(pa.int64()))], ["id", "n_words", "spans", "items"])
+                    spans.append([{"start": a, "end": b} for a, b in merged([*((x["start"], x["end"]) for x in had), *hit])])
+                    items.append(sorted({*owners, *found}))
+                made = [batch.column("id"), pa.array(n, pa.int64()), pa.array(spans, pairs), pa.array(items, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(made if last else [*made, batch.column("text")], ["id", "n_words", "spans", "items", *([] if last else ["text"])])
 
-        parts.append(rows.mapInArrow(search, f"id {kind}, {SPANS}"))
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("id", id_col)
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    joined = union.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return joined.withColumn("spans", _merge_spans(F.array_sort("spans"))).withColumnRenamed("id", id_col)
+        rows = rows.mapInArrow(search, f"id {kind}, {SPANS}" + ("" if last else ", text binary"))
+    return rows.withColumnRenamed("id", id_col)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_block_bytes: int = 32 << 20) -> DataFrame:
@@ -152,7 +149,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, t
     spark = docs.sparkSession
     ship(spark)
     at, kept = docs.columns.index(text_col), docs
-    for block in _blocks(benchmark, item_col, item_text_col, max_block_bytes):
+    for _, block in _blocks(benchmark, item_col, item_text_col, max_block_bytes):
         tables = spark.sparkContext.broadcast(pickle.dumps(build(block, window)))
 
         def clean(batches, tables=tables):
@@ -165,18 +162,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, t
     return kept
 
 
-def _merge_spans(spans: Column) -> Column:
-    """Sorted spans with those that touch joined."""
-    empty = F.expr("cast(array() as array<struct<start:long,end:long>>)")
-
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        wider = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(done) > 0) & (x["start"] <= F.try_element_at(done, F.lit(-1))["end"]), wider).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(spans, empty, add)
-
-
 def hit_words(spans: Column | str) -> Column:
     return F.aggregate(F.transform(spans, lambda x: x["end"] - x["start"]), F.lit(0).cast("long"), lambda a, b: a + b)
 

@@ -52,3 +52,14 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r) for r in contaminated_spans(docs, none).collect()] == [(1, 2, [], [])]
     assert contaminated_spans(docs.limit(0), none).collect() == []
+
+
+def test_rows_that_share_an_identifier_stay_apart_in_many_blocks(spark):
+    items = [(k, f"start{k} middle{k} end{k}") for k in range(8)]
+    docs = [(None, f"a {items[k][1]} b" + " c" * k) for k in range(5)] + [(1, items[0][1]), (1, items[1][1] + " " + items[2][1]), (1, "nothing"), (1, "nothing"), (None, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((str(i), *brute(t, items, 3)) for i, t in docs)
+    for size in (1 << 20, 60):
+        got = contaminated_spans(d, b, window=3, max_block_bytes=size).withColumn("n", hit_words("spans")).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.n, r["items"]) for r in got) == want
