@@ -16,17 +16,19 @@ with them by host, and a frequent host is split by adaptive execution.
 
 Defined cases: null or empty html gives no text; a null url is a host of its own; a host with few pages has no template;
 repeated rows are each extracted; where an identifier is null everywhere in a host there is no reference; child lists
-whose product is over ``MAX_CELLS`` are aligned from both ends inwards instead; an end tag without a start is passed
+whose product is over ``MAX_CELLS`` are matched in the same way with few rows of the table held; an end tag without a start is passed
 over and what is open at the end is closed; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as html_lib
+import math
 import re
 from collections import Counter, OrderedDict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -242,16 +244,7 @@ def _children(xs: list[Node], ys: list[Node], memo: dict) -> tuple[int, list[tup
     if not xs or not ys:
         return 0, []
     if len(xs) * len(ys) > MAX_CELLS:
-        pairs, low = [], 0
-        short = min(len(xs), len(ys))
-        while low < short and xs[low].tag == ys[low].tag:
-            pairs.append((xs[low], ys[low]))
-            low += 1
-        high = 0
-        while high < short - low and xs[-1 - high].tag == ys[-1 - high].tag:
-            pairs.append((xs[-1 - high], ys[-1 - high]))
-            high += 1
-        return sum(_match(x, y, memo) for x, y in pairs), pairs
+        return _long_children(xs, ys, memo)
     best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
     for i, x in enumerate(xs, 1):
         row, above = best[i], best[i - 1]
@@ -270,6 +263,46 @@ def _children(xs: list[Node], ys: list[Node], memo: dict) -> tuple[int, list[tup
     return best[-1][-1], pairs
 
 
+def _long_children(xs: list[Node], ys: list[Node], memo: dict) -> tuple[int, list[tuple[Node, Node]]]:
+    """The matching of _children for long lists: a row of the table at a time, with only some rows kept.
+
+    The way back makes the rows between two kept ones again, so a table of n rows needs the memory of 2 sqrt(n).
+    """
+    tags, texts = np.array([y.tag for y in ys], object), np.array([own_text(y) for y in ys], object)
+    deep = np.array([bool(block_nodes(y)) for y in ys])
+
+    def below(above: np.ndarray, x: Node) -> np.ndarray:
+        same = tags == x.tag
+        gain = np.where(same, 2 + (texts == own_text(x)), 0)
+        if block_nodes(x):
+            for j in np.nonzero(same & deep)[0]:
+                gain[j] = _match(x, ys[j], {})
+        return np.maximum.accumulate(np.concatenate([[0], np.maximum(above[1:], np.where(same, above[:-1] + gain, 0))]))
+
+    step, row, kept = math.isqrt(len(xs)) + 1, np.zeros(len(ys) + 1, np.int64), []
+    for i, x in enumerate(xs):
+        if i % step == 0:
+            kept.append(row)
+        row = below(row, x)
+    pairs, j = [], len(ys)
+    for start in range((len(kept) - 1) * step, -1, -step):
+        rows = [kept.pop()]
+        for x in xs[start : start + step]:
+            rows.append(below(rows[-1], x))
+        i = len(rows) - 1
+        while i and j:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((xs[start + i], ys[j]))
+    for x, y in pairs:
+        _match(x, y, memo)
+    return int(row[-1]), pairs
+
+
 def align(reference: Node, page: Node) -> list[tuple[Node, Node]]:
     """Pairs of nodes by simple tree matching."""
     memo: dict = {}

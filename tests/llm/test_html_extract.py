@@ -107,3 +107,21 @@ def test_against_a_plain_reading_of_the_test_pages(spark):
     want = {r.page_id: plain(r.html) for r in spark.read.parquet(f"{path}/pages.parquet").collect()}
     got = {r.page_id: r.text for r in hx.op5_html_extraction(spark, path).collect()}
     assert got == want
+
+
+def test_long_child_lists_are_matched_like_short_ones(monkeypatch):
+    rng = random.Random(6)
+
+    def listing(n):
+        return "<body>" + "".join(f"<{t}>{rng.choice('abcd')}<p>{rng.choice('xyz')}</p></{t}>" if t == "div" else f"<{t}>{rng.choice('abcd')}</{t}>" for t in (rng.choice(["p", "div", "h2"]) for _ in range(n))) + "</body>"
+
+    for n, m in [(1, 5), (7, 7), (30, 22), (12, 50)] * 5:
+        a, b = hx.parse(listing(n)), hx.parse(listing(m))
+        whole = hx.align(a, b)
+        with monkeypatch.context() as context:
+            context.setattr(hx, "MAX_CELLS", 0)
+            assert sorted((id(x), id(y)) for x, y in hx.align(a, b)) == sorted((id(x), id(y)) for x, y in whole)
+    paras = [f"own text {k}" for k in range(300)]
+    long = [hx.parse("<body><h1>t</h1>" + "".join(f"<p>{x}</p>" for x in p) + "</body>") for p in (paras, [f"new {k}" for k in range(40)] + paras[:150] + ["one more"] + paras[150:])]
+    same = sum(hx.own_text(x) == hx.own_text(y) != "" for x, y in hx.align(*long))
+    assert same >= 300
