@@ -49,14 +49,14 @@ def clusters(resolved: DataFrame, key: str, least: int = 2) -> DataFrame:
     return resolved.groupBy("cluster").agg(F.count("*").alias("n"), F.min(key).alias("first")).where(F.col("n") >= least)
 
 
-def greedy_one_to_one(scores: DataFrame, a: str = "a", b: str = "b", score: str = "score", rounds: int = 20) -> DataFrame:
+def greedy_one_to_one(scores: DataFrame, a: str = "a", b: str = "b", score: str = "score", rounds: int = 10_000) -> DataFrame:
     """Pairs that are each other's best, taken round by round from what is left; ties by name."""
     from quillstone.storage import materialize
 
     rest, taken = materialize(scores.select(a, b, score), "alignment"), []
-    for _ in range(rounds):
-        if rest.isEmpty():
-            break
+    while not rest.isEmpty():
+        if len(taken) == rounds:
+            raise RuntimeError(f"the pairs did not settle within {rounds} rounds")
         x = F.row_number().over(Window.partitionBy(a).orderBy(F.desc(score), b))
         y = F.row_number().over(Window.partitionBy(b).orderBy(F.desc(score), a))
         best = materialize(rest.withColumn("_x", x).withColumn("_y", y).where("_x = 1 and _y = 1").drop("_x", "_y"), "alignment")

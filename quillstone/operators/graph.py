@@ -97,8 +97,8 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return m2.crossJoin(inside).crossJoin(sums).select(F.round(F.col("i") / F.col("m2") - F.col("dd") / (F.col("m2") * F.col("m2")), 6).alias("modularity"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int = 10) -> DataFrame:
-    """(source, node, distance) by breadth-first rounds from each source (column source)."""
+def distances(edges: DataFrame, sources: DataFrame, most: int = 10_000) -> DataFrame:
+    """(source, node, distance) by breadth-first rounds from each source (column source), until no node is new."""
     e = undirected(edges)
     seen = sources.select("source", F.col("source").alias("node"), F.lit(0).alias("distance"))
     front = seen
@@ -106,12 +106,12 @@ def distances(edges: DataFrame, sources: DataFrame, most: int = 10) -> DataFrame
         step = front.join(e, F.col("node") == F.col("a")).select("source", F.col("b").alias("node")).distinct()
         front = materialize(step.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("distance", F.lit(k)), "distances")
         if front.isEmpty():
-            break
+            return seen
         seen = materialize(seen.unionByName(front), "distances")
-    return seen
+    raise RuntimeError(f"there are nodes at more than {most - 1} steps")
 
 
-def closeness(edges: DataFrame, sources: DataFrame, most: int = 10) -> DataFrame:
+def closeness(edges: DataFrame, sources: DataFrame, most: int = 10_000) -> DataFrame:
     """Reachable nodes by the sum of their distances."""
     return distances(edges, sources, most).where("distance > 0").groupBy(F.col("source").alias("node")).agg(F.round(F.count("*") / F.sum("distance"), 6).alias("closeness"))
 

@@ -158,19 +158,21 @@ def composite_foreign_key(child: DataFrame, columns: list[str], parent: DataFram
     return a.crossJoin(b).withColumn("score", F.round(0.5 * F.col("inclusion") + 0.3 * F.col("uniqueness") + 0.2 * names, 6))
 
 
-def hierarchy(spark: SparkSession, df: DataFrame, child: str, parent: str, max_depth: int = 50) -> DataFrame:
+def hierarchy(spark: SparkSession, df: DataFrame, child: str, parent: str) -> DataFrame:
     """Depth and root of every node of a parent column, level by level; nodes on or below a cycle have a null depth.
 
     Doubling: each round a node's ancestor becomes its ancestor's ancestor, so rounds grow with the logarithm of the depth.
+    They end when no ancestor changes, or, where there are cycles, when a path without one cannot be longer.
     """
     nodes = df.select(F.col(child).alias("node"), F.col(parent).alias("parent")).where("node is not null").dropDuplicates(["node"])
     known = nodes.select(F.col("node").alias("k"))
     start = nodes.join(known, F.col("parent") == F.col("k"), "left").select("node", F.coalesce("k", "node").alias("up"), F.when(F.col("k").isNull(), 0).otherwise(1).cast("long").alias("depth"))
     now = materialize(start, "hierarchy")
-    rounds = max(1, max_depth.bit_length())
-    for _ in range(rounds):
+    for _ in range(now.count().bit_length()):
         above = now.select(F.col("node").alias("u"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        now = materialize(now.join(above, F.col("up") == F.col("u")).select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth")), "hierarchy")
+        now = materialize(now.join(above, F.col("up") == F.col("u")).select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("d2") > 0).alias("moved")), "hierarchy")
+        if now.where("moved").isEmpty():
+            break
     roots = start.where("depth = 0").select(F.col("node").alias("r"))
     return now.join(roots, F.col("up") == F.col("r"), "left").select("node", F.col("r").alias("root"), F.when(F.col("r").isNotNull(), F.col("depth")).alias("depth"))
 

@@ -14,7 +14,7 @@ from quillstone.functions import naming
 from quillstone.functions import scalars as X
 from quillstone.operators import fusion as U
 from quillstone.operators import graph as G
-from quillstone.operators import objects, overlap, quality, remediate, sketch, versioning
+from quillstone.operators import entities, keys, objects, overlap, quality, remediate, sketch, versioning
 from quillstone.operators import timeseries as T
 from quillstone.plans import sql as S
 from quillstone.sources import readers
@@ -221,3 +221,18 @@ def test_cash_flow_and_rate():
 
     r = internal_rate([-1000, 500, 500, 500])
     assert math.isclose(sum(f / (1 + r) ** k for k, f in enumerate([-1000, 500, 500, 500])), 0, abs_tol=1e-6) and internal_rate([1, 1]) is None
+
+
+def test_rounds_go_on_until_nothing_changes(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(14)], "a long, b long")
+    source = spark.createDataFrame([(0,)], "source long")
+    assert {r.node: r.distance for r in G.distances(chain, source).collect()} == {k: k for k in range(15)}
+    assert G.closeness(chain, source).first().closeness == pytest.approx(14 / sum(range(15)), abs=1e-6)
+    with pytest.raises(RuntimeError):
+        G.distances(chain, source, 3)
+    steps = [(f"a{k:02}", f"b{k:02}", 1 - k / 100) for k in range(23)] + [(f"a{k + 1:02}", f"b{k:02}", 1 - k / 100 - 0.005) for k in range(22)]
+    got = entities.greedy_one_to_one(spark.createDataFrame(steps, "a string, b string, score double")).collect()
+    assert sorted((r.a, r.b) for r in got) == [(f"a{k:02}", f"b{k:02}") for k in range(23)]
+    deep = [(k, k - 1 if k else None) for k in range(150)] + [(500, 501), (501, 500), (502, 501)]
+    got = {r.node: (r.root, r.depth) for r in keys.hierarchy(spark, spark.createDataFrame(deep, "c long, p long"), "c", "p").collect()}
+    assert got == {**{k: (0, k) for k in range(150)}, **dict.fromkeys((500, 501, 502), (None, None))}
