@@ -7,17 +7,26 @@
 * **Template.** A reference node whose own text is the same in at least ``min_share`` of the pages aligned with it, of
   which there must be ``min_pages`` that differ from the reference somewhere else, is template; the other aligned nodes
   are slots. Votes are counted for each host and node, with map-side combine.
-* **Content.** The article (or main) element, else the body, without navigation, headers and footers of the page,
-  sidebars, notices, adverts, forms and comments by tag, role or class, and without template nodes whose text the page
-  shares. Blocks are the runs of text between block-level tags.
+* **Region.** Every page also votes with the share of its varying text that lies in each slot, text inside links apart;
+  text of nodes without a partner counts for the nearest aligned node above. From the root of the reference the induction
+  goes down into the child that holds most of it, as long as that is at least half and no title, nor a quarter in paragraphs, is left
+  behind. Where children hold comparable shares, markup (an article or main element; furniture by tag, role or class)
+  decides between them. The node where this ends is the host's main slot; beside it, slots whose text is nearly all links
+  are menus.
+* **Content.** The node that is aligned with the main slot: all articles in it, or all of the article it lies in, without
+  template nodes whose text the page shares and without furniture by tag, role or class. Only pages that have no main slot
+  (hosts of fewer than ``min_region`` pages that vary, or no partner for it) are read by their markup alone: all
+  articles, else the main elements, else the body. Blocks are the runs of text between block-level tags.
 
 References are broadcast only if their size was measured to be below ``max_broadcast`` bytes; beyond it pages are joined
 with them by host, and a frequent host is split by adaptive execution.
 
 Defined cases: null or empty html gives no text; a null url is a host of its own; a host with few pages has no template;
-repeated rows are each extracted; where an identifier is null everywhere in a host there is no reference; child lists
-whose product is over ``MAX_CELLS`` are matched in the same way with few rows of the table held; an end tag without a start is passed
-over and what is open at the end is closed; an empty table gives no rows; other columns are ignored.
+repeated rows are each extracted; where an identifier is null everywhere in a host there is no reference; several
+articles all stay, in page order, and ties between slots go to the first; child lists whose product is over ``MAX_CELLS``
+are matched in the same way with few rows of the table held; nodes deeper than ``MAX_DEPTH`` hang below the node at that
+depth, with all their text; an end tag without a start is passed over and what is open at the end is closed; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +34,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
-from collections import Counter, OrderedDict
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +45,9 @@ from pyspark.sql import functions as F
 from quillstone.storage import materialize, read_table, ship
 
 MAX_CELLS = 20_000
-MAX_DEPTH = 150  # deeper nodes become children of the node at this depth
+MAX_DEPTH = 150
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript iframe noembed noframes xmp textarea title template svg math".split())
+_RAW = frozenset("script style noscript iframe noembed noframes xmp textarea title template svg annotation annotation-xml".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 _CLOSES_P = _BLOCK - frozenset("caption td th tr tbody thead tfoot option legend summary html body".split())
 #: Start tag: the open tags it ends, and the tags beyond which it doesn't look.
@@ -62,16 +71,20 @@ _BOILERPLATE_NAMES = frozenset(
 _START = re.compile(r"([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CUT = re.compile(r"[^a-z0-9]+")
+_TEXT_BLOCKS = frozenset("blockquote dl h1 h2 h3 h4 h5 h6 ol p pre ul".split())
+_CONTAINERS = frozenset("article body center div html main section table tbody td tr".split())
 
 
 class Node:
-    __slots__ = ("attributes", "children", "number", "tag", "text")
+    __slots__ = ("attributes", "blocks", "children", "linked", "number", "tag", "text")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.attributes = tag, attributes
         self.children: list[Node | str] = []
         self.number = -1
+        self.blocks: list[Node] | None = None
         self.text: str | None = None
+        self.linked = 0
 
 
 def parse(page: str) -> Node:
@@ -173,55 +186,77 @@ def is_boilerplate(node: Node, in_article: bool) -> bool:
     return bool(names & _BOILERPLATE_NAMES) or ("header" in names and not in_article)
 
 
-def main_node(root: Node) -> Node:
-    """The longest outermost article, else the longest main element, else the page."""
-    found: dict[str, list[tuple[int, int, Node]]] = {"article": [], "main": []}
+def is_main(node: Node) -> bool:
+    return node.tag == "main" or "main" in node.attributes and _attributes(node).get("role") == "main"
 
-    def size(node: Node) -> int:
-        return sum(len(c) if isinstance(c, str) else size(c) for c in node.children)
 
-    def look(node: Node) -> None:
+def main_nodes(root: Node) -> list[Node]:
+    """The outermost articles below a node, else the outermost main elements, else the node itself.
+
+    Where a main element has its title beside its articles, the title comes with them.
+    """
+    if root.tag == "article":
+        return [root]
+    articles: list[Node] = []
+    mains: list[Node] = []
+    titles: list[Node] = []
+
+    def look(node: Node, in_main: bool) -> None:
         for c in node.children:
-            if isinstance(c, Node) and not is_boilerplate(c, False):
-                kind = "article" if c.tag == "article" else "main" if c.tag == "main" or "main" in c.attributes and _attributes(c).get("role") == "main" else ""
-                if kind:
-                    found[kind].append((size(c), -len(found[kind]), c))
-                if kind != "article":
-                    look(c)
+            if not isinstance(c, Node) or is_boilerplate(c, in_main):
+                continue
+            if c.tag == "article":
+                articles.append(c)
+                continue
+            if c.tag == "h1" and in_main and not articles:
+                titles.append(c)
+            own = is_main(c)
+            if own and not in_main:
+                mains.append(c)
+            look(c, in_main or own)
 
-    look(root)
-    for kind in ("article", "main"):
-        if found[kind]:
-            return max(found[kind], key=lambda x: x[:2])[2]
-    return root
+    look(root, is_main(root))
+    if articles:
+        return articles if _has(articles[0], "h1") else titles + articles
+    return mains or [root]
+
+
+def _has(node: Node, tag: str) -> bool:
+    return any(isinstance(c, Node) and (c.tag == tag or _has(c, tag)) for c in node.children)
 
 
 def block_nodes(node: Node) -> list[Node]:
     """Children that take part in alignment: block-level ones, also those inside inline ones."""
-    out = []
-    for c in node.children:
-        if isinstance(c, Node):
-            out += [c] if c.tag in _BLOCK else block_nodes(c)
-    return out
+    if node.blocks is None:
+        node.blocks = []
+        for c in node.children:
+            if isinstance(c, Node):
+                if c.tag in _BLOCK:
+                    node.blocks.append(c)
+                else:
+                    node.blocks += block_nodes(c)
+    return node.blocks
 
 
 def own_text(node: Node) -> str:
-    """Text of a node outside its block-level descendants."""
+    """Text of a node outside its block-level descendants; notes how many characters of it are inside links."""
     if node.text is None:
         parts: list[str] = []
 
-        def gather(x: Node) -> None:
+        def gather(x: Node, linked: bool) -> None:
             for c in x.children:
                 if isinstance(c, str):
                     parts.append(c)
+                    if linked:
+                        node.linked += len(c)
                 elif c.tag in _BLOCK or c.tag == "br":
                     parts.append(" ")
                     if c.tag not in _BLOCK:
-                        gather(c)
+                        gather(c, linked)
                 else:
-                    gather(c)
+                    gather(c, linked or c.tag == "a")
 
-        gather(node)
+        gather(node, False)
         node.text = squeeze("".join(parts))
     return node.text
 
@@ -246,11 +281,19 @@ def _children(xs: list[Node], ys: list[Node], memo: dict) -> tuple[int, list[tup
     if len(xs) * len(ys) > MAX_CELLS:
         return _long_children(xs, ys, memo)
     best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    right = [(y, y.tag, bool(block_nodes(y)), own_text(y)) for y in ys]
     for i, x in enumerate(xs, 1):
-        row, above = best[i], best[i - 1]
-        for j, y in enumerate(ys, 1):
-            w = above[j - 1] + _match(x, y, memo) if x.tag == y.tag else 0
-            row[j] = max(row[j - 1], above[j], w)
+        row, above, last = best[i], best[i - 1], 0
+        tag, deep, text = x.tag, bool(block_nodes(x)), own_text(x)
+        for j, (y, y_tag, y_deep, y_text) in enumerate(right, 1):
+            up = above[j]
+            if up > last:
+                last = up
+            if tag == y_tag:
+                w = above[j - 1] + (_match(x, y, memo) if deep and y_deep else 2 + (text == y_text))
+                if w > last:
+                    last = w
+            row[j] = last
     pairs, i, j = [], len(xs), len(ys)
     while i and j:
         if best[i][j] == best[i - 1][j]:
@@ -311,7 +354,7 @@ def align(reference: Node, page: Node) -> list[tuple[Node, Node]]:
     while queue:
         a, b = queue.pop()
         out.append((a, b))
-        queue.extend(memo[id(a), id(b)][1])
+        queue.extend(memo.get((id(a), id(b)), (0, ()))[1])
     return out
 
 
@@ -326,9 +369,88 @@ def number(root: Node) -> Node:
     return root
 
 
-def extract(root: Node, template: set[int] | None = None) -> list[str]:
-    """The blocks of the main text; template: id() of the nodes whose own text is left out."""
-    main = main_node(root)
+def slot_masses(root: Node, pairs: list[tuple[Node, Node]]) -> dict[int, tuple[int, int]]:
+    """For each reference node, the thousandths of the page's varying text that it holds: outside and inside links."""
+    partner = {id(b): a for a, b in pairs}
+    found: dict[int, list[int]] = {}
+    queue: list[tuple[Node, Node | None]] = [(root, None)]
+    while queue:
+        node, above = queue.pop()
+        slot = partner.get(id(node))
+        if slot is None and is_boilerplate(node, False):
+            continue
+        text = own_text(node)
+        if text and not (slot is not None and own_text(slot) == text):
+            linked = min(node.linked, len(text))
+            mass = found.setdefault((slot or above).number, [0, 0])
+            mass[0] += len(text) - linked
+            mass[1] += linked
+        queue.extend((c, slot or above) for c in block_nodes(node))
+    total = sum(map(sum, found.values()))
+    return {k: (round(1000 * a / total), round(1000 * b / total)) for k, (a, b) in found.items()} if total else {}
+
+
+def main_slot(root: Node, masses: dict[int, tuple[int, int]]) -> tuple[int, list[int]]:
+    """The number of the reference node that holds the content, and those of the menus in it; -1 where nothing varies."""
+    inside: dict[int, tuple[int, int]] = {}
+
+    def add(node: Node) -> tuple[int, int]:
+        a, b = masses.get(node.number, (0, 0))
+        for c in block_nodes(node):
+            x, y = add(c)
+            a, b = a + x, b + y
+        inside[node.number] = a, b
+        return a, b
+
+    def text(node: Node) -> int:
+        return inside[node.number][0]
+
+    add(root)
+    if not text(root):
+        return -1, []
+    node = root
+    while node.tag != "article":
+        below = block_nodes(node)
+        varying = [c for c in below if text(c) and not is_boilerplate(c, False)]
+        if not varying or sum(c.tag == "article" for c in varying) > 1 or any(c.tag == "h1" for c in varying):
+            break
+        most = max(map(text, varying))
+        marked = [c for c in varying if 4 * text(c) >= most and (c.tag == "article" or is_main(c))]
+        into = max(marked or varying, key=text)
+        left = sum(text(c) for c in varying if c.tag in _TEXT_BLOCKS) + masses.get(node.number, (0, 0))[0]
+        if into.tag not in _CONTAINERS or not marked and (2 * text(into) < text(node) or 4 * left > text(node)):
+            break
+        node = into
+    menus, queue = [], [] if node.tag == "article" else block_nodes(node)[:]
+    while queue:
+        c = queue.pop()
+        a, b = inside[c.number]
+        if a + b and b >= 4 * a:
+            menus.append(c.number)
+        elif c.tag != "article" and not is_main(c):
+            queue.extend(block_nodes(c))
+    return node.number, sorted(menus)
+
+
+def content_nodes(root: Node, region: Node | None) -> list[Node]:
+    """Where the content of a page is, given the node of its main slot."""
+    if region is None:
+        return main_nodes(root)
+    around: list[Node] = []
+
+    def look(node: Node) -> bool:
+        if node is region or any(isinstance(c, Node) and look(c) for c in node.children):
+            around.append(node)
+            return True
+        return False
+
+    look(root)
+    outer = [x for x in reversed(around) if x.tag == "article" and not is_boilerplate(x, False)]
+    return outer[:1] or main_nodes(region)
+
+
+def extract(root: Node, template: set[int] | None = None, region: Node | None = None, menus: set[int] | None = None) -> list[str]:
+    """The blocks of the main text. template: id() of the nodes whose own text is left out; menus: of those left out whole."""
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -349,25 +471,25 @@ def extract(root: Node, template: set[int] | None = None) -> list[str]:
                 walk(c, skip, in_article)
             elif c.tag in _BLOCK:
                 flush()
-                if not is_boilerplate(c, in_article) and not (in_article and c.tag == "article"):
+                if not is_boilerplate(c, in_article) and not (in_article and c.tag == "article") and not (menus and id(c) in menus):
                     walk(c, bool(template) and id(c) in template, in_article)
                     flush()
             elif not is_boilerplate(c, in_article):
                 walk(c, skip, in_article)
 
-    if not (main is root and not root.children):
-        walk(main, bool(template) and id(main) in template, main.tag == "article")
+    for node in content_nodes(root, region):
+        walk(node, bool(template) and id(node) in template, node.tag == "article")
         flush()
     return blocks
 
 
-def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_share: float = 0.8, min_pages: int = 5, max_broadcast: int = 16 << 20) -> DataFrame:
+def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_share: float = 0.8, min_pages: int = 5, min_region: int = 3, max_broadcast: int = 16 << 20) -> DataFrame:
     """(identifier, url, blocks) for every row."""
     spark = df.sparkSession
     ship(spark)
     host = F.coalesce(F.lower(F.regexp_extract(url_col, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     pages = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
-    first = materialize(pages.groupBy("host").agg(F.min("id").alias("id"), F.count("*").alias("n")).where(F.col("n") > min_pages).select("host", "id"), "page-hosts")
+    first = materialize(pages.groupBy("host").agg(F.min("id").alias("id"), F.count("*").alias("n")).where(F.col("n") > min(min_pages, min_region)).select("host", "id"), "page-hosts")
     few = first.count() <= 100_000  # short rows, so they can be broadcast below that number
     refs = pages.join(F.broadcast(first) if few else first, ["host", "id"]).groupBy("host").agg(F.min("html").alias("ref"))
     refs = materialize(refs, "page-references")
@@ -376,42 +498,74 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = _Trees()
         for batch in batches:
-            votes: Counter = Counter()
+            votes: dict[tuple, list[int]] = {}
             for name, text, ref in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if text == ref:
                     continue
-                pairs = [(a, own_text(a) == own_text(b)) for a, b in align(trees.get(name, ref), parse(text)) if own_text(a)]
-                if all(same for _, same in pairs):
+                root = parse(text)
+                pairs = align(trees.get(name, ref), root)
+                masses = slot_masses(root, pairs)
+                if not masses:
                     continue  # tells nothing about what varies
-                for a, same in pairs:
-                    votes[name, a.number, same] += 1
-            hosts, nodes, sames = zip(*votes, strict=True) if votes else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(sames, pa.bool_()), pa.array(list(votes.values()), pa.int64())], ["host", "node", "same", "n"])
+                rows = {a.number: [1, int(own_text(a) == own_text(b)), 0, 0] for a, b in pairs if own_text(a)}
+                for k, mass in masses.items():
+                    rows.setdefault(k, [0, 0, 0, 0])[2:] = mass
+                rows.setdefault(0, [0, 0, 0, 0]).append(1)  # the root tells how many pages voted
+                for k, row in rows.items():
+                    total = votes.setdefault((name, k), [0] * 5)
+                    for i, x in enumerate(row):
+                        total[i] += x
+            hosts, nodes = zip(*votes, strict=True) if votes else ((), ())
+            sums = np.array(list(votes.values()), np.int64).reshape(-1, 5).T
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), *(pa.array(np.ascontiguousarray(x)) for x in sums)], ["host", "node", *_VOTES])
 
     voters = pages.join(F.broadcast(refs) if small else refs, "host").select("host", "html", "ref")
-    counts = voters.mapInArrow(vote, "host string, node int, same boolean, n long").groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("same"))
-    constant = counts.where((F.col("n") >= min_pages) & (F.col("same") >= min_share * F.col("n")))
-    wrappers = constant.groupBy("host").agg(F.collect_list("node").alias("nodes")).join(refs, "host")
+    counts = voters.mapInArrow(vote, "host string, node int, " + ", ".join(f"{c} long" for c in _VOTES)).groupBy("host", "node").agg(*(F.sum(c).alias(c) for c in _VOTES))
+    # A group here has at most the nodes of one page, the reference.
+    tallies = counts.groupBy("host").agg(F.collect_list(F.struct("node", *_VOTES)).alias("tally")).join(refs, "host").select("host", "ref", "tally")
+
+    def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for ref, tally in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                voters = sum(t["pages"] for t in tally)
+                constant = [t["node"] for t in tally if t["n"] >= min_pages and t["same"] >= min_share * t["n"]]
+                region, menus = main_slot(number(parse(ref)), {t["node"]: (t["text"], t["linked"]) for t in tally}) if voters >= min_region else (-1, [])
+                made.append((sorted(constant), region, menus))
+            columns = zip(*made, strict=True) if made else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, (pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int32())), strict=True))], ["host", "ref", "nodes", "region", "menus"])
+
+    wrappers = tallies.mapInArrow(induce, "host string, ref string, nodes array<int>, region int, menus array<int>")
     wrappers = materialize(wrappers, "page-wrappers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = _Trees()
         for batch in batches:
             out = []
-            for name, text, ref, nodes in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                root, template = parse(text), set()
-                if nodes:
-                    fixed = set(nodes)
-                    template = {id(b) for a, b in align(trees.get(name, ref), root) if a.number in fixed and own_text(a) == own_text(b)}
-                out.append(extract(root, template))
+            for name, text, ref, nodes, region, menus in zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True):
+                root, template, main, dropped = parse(text), set(), None, set()
+                if ref is not None and (nodes or region >= 0):
+                    fixed, lists = set(nodes), set(menus)
+                    for a, b in align(trees.get(name, ref), root):
+                        if a.number in fixed and own_text(a) == own_text(b):
+                            template.add(id(b))
+                        if a.number == region:
+                            main = b
+                        if a.number in lists:
+                            dropped.add(id(b))
+                out.append(extract(root, template, main, dropped))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], ["id", "url", "blocks"])
 
     kind = dict(df.dtypes)[id_col]
     paired = pages.join(F.broadcast(wrappers) if small else wrappers, "host", "left")
-    found = paired.select("id", "url", "host", "html", "ref", "nodes").mapInArrow(run, f"id {kind}, url string, blocks array<string>")
+    found = paired.select("id", "url", "host", "html", "ref", "nodes", "region", "menus").mapInArrow(run, f"id {kind}, url string, blocks array<string>")
     return found.withColumnsRenamed({"id": id_col, "url": url_col})
 
 
+#: Sums for a reference node: pages that have a partner for it, those of the same text, thousandths of varying text outside and inside links; pages (at the root).
+_VOTES = ["n", "same", "text", "linked", "pages"]
+
+
 class _Trees:
     """The numbered trees of the references that a task met last."""
 

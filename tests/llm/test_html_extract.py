@@ -30,7 +30,11 @@ def blocks(page):
         ("<p>&#233;&nbsp;&am &copy</p></div></p>", ["é &am ©"]),
         ("<div hidden>no</div><p role=alert>no</p><p style='display: none'>no</p><p>yes</p>", ["yes"]),
         ("<title>t</title><p>a<svg><p>x</p></svg>b", ["ab"]),
-        ("<article><p>short</p></article><article><p>much longer text</p></article>", ["much longer text"]),
+        ("<article><p>short</p></article><article><p>much longer text</p></article>", ["short", "much longer text"]),
+        ("<article>a</article><div class=related><article>r</article></div><article>a</article>", ["a", "a"]),
+        ("<h1>Site</h1><main><h1>T</h1><article><p>a</p></article><article>b</article><aside>s</aside></main>", ["T", "a", "b"]),
+        ("<main><h1>Section</h1><article><h1>T</h1>a</article></main>", ["T", "a"]),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math></p><template><p>t</p></template>", ["so x=2"]),
     ],
 )
 def test_blocks(page, want):
@@ -109,6 +113,71 @@ def test_against_a_plain_reading_of_the_test_pages(spark):
     assert got == want
 
 
+def flattened(text):
+    """The page with the sectioning tags turned to div and without class, id and role."""
+    text = re.sub(r"<(/?)(?:article|nav|footer|header|main|aside|section)\b[^>]*>", r"<\1div>", text)
+    return re.sub(r"<(\w+)(?: (?:class|id|role)=(?:\"[^\"]*\"|\S+))+", r"<\1", text)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_slots_alone_find_the_article(spark, sf):
+    """Without any markup that names the parts, hosts of over five pages give what their articles hold."""
+    path = f"/root/testdata/{sf}/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    pages = spark.read.parquet(path)
+    want = {r.page_id: r.blocks for r in hx.extract_pages(pages).collect()}
+    rows = [(r.page_id, r.url, flattened(r.html or "")) for r in pages.collect()]
+    assert not any("<article" in x or "class=" in x for _, _, x in rows)
+    hosts = {i: re.sub(r"^\w+://([^/]*).*", r"\1", u).lower() for i, u, _ in rows if u}
+    many = {h for h in hosts.values() if sum(x == h for x in hosts.values()) > 5}
+    got = {r.page_id: r.blocks for r in hx.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    wrong = [i for i, h in hosts.items() if h in many and got[i] != want[i]]
+    assert many and not wrong
+
+
+def slots(pages):
+    ref = hx.number(hx.parse(pages[0]))
+    sums = {}
+    for text in pages[1:]:
+        root = hx.parse(text)
+        for k, (a, b) in hx.slot_masses(root, hx.align(ref, root)).items():
+            x, y = sums.get(k, (0, 0))
+            sums[k] = x + a, y + b
+    region, menus = hx.main_slot(ref, sums)
+    nodes, queue = {}, [ref]
+    while queue:
+        node = queue.pop()
+        nodes[node.number] = node
+        queue += hx.block_nodes(node)
+    return nodes.get(region), [hx.own_text(nodes[m]) or hx.own_text(hx.block_nodes(nodes[m])[0]) for m in menus]
+
+
+def test_main_slot():
+    words = lambda k, n: " ".join(f"w{k * 1000 + i}" for i in range(n))
+    plain = [f"<body><div><ul><li><a>l{k}</a><li><a>m{k}</a></ul></div><div>ad {k}</div><div><h1>t{k}</h1><div><p>{words(k, 40)}</p><p>{words(k + 50, 30)}</p></div></div><div>foot {k}</div></body>" for k in range(6)]
+    node, menus = slots(plain)
+    assert [c.tag for c in hx.block_nodes(node)] == ["h1", "div"] and menus == []
+    # Two halves: neither holds the content alone, and the menu between them is told by its links.
+    halves = [f"<body><p>{words(k, 20)}</p><div><a>link number {k}</a></div><p>{words(k + 50, 20)}</p></body>" for k in range(6)]
+    node, menus = slots(halves)
+    assert node.tag == "body" and menus == ["link number 0"]
+    # Comparable shares: the markup decides; furniture by name is never the main slot.
+    marked = [f"<body><div>{words(k, 30)}</div><article><p>{words(k + 50, 20)}</p></article><div class=sidebar>{words(k + 90, 90)}</div></body>" for k in range(6)]
+    assert slots(marked)[0].tag == "article"
+    assert slots(["<body><p>same</p></body>"] * 3) == (None, [])
+
+
+def test_hosts_without_markup_keep_all_of_the_main_slot(spark):
+    rows = [(i, "http://h/x", f"<body><div><a>menu {i}</a></div><div><h1>title {i}</h1>" + "".join(f"<p>long text of page {i} part {k}</p>" for k in range(i % 3 + 2)) + f"</div><div>notice {i}</div></body>") for i in range(9)]
+    rows += [(50, "http://h/two", "<body><section><h1>other</h1><p>layout</p></section></body>")]  # no partner for the main slot
+    for limit in (16 << 20, 0):
+        got = {r.page_id: r.blocks for r in hx.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), max_broadcast=limit).collect()}
+        for i in range(9):
+            assert got[i] == [f"title {i}", *(f"long text of page {i} part {k}" for k in range(i % 3 + 2))]
+        assert got[50] == ["other", "layout"]
+
+
 def test_long_child_lists_are_matched_like_short_ones(monkeypatch):
     rng = random.Random(6)
 
