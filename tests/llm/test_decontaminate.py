@@ -63,3 +63,23 @@ def test_rows_that_share_an_identifier_stay_apart_in_many_blocks(spark):
     for size in (1 << 20, 60):
         got = contaminated_spans(d, b, window=3, max_block_bytes=size).withColumn("n", hit_words("spans")).collect()
         assert sorted((str(r.doc_id), r.n_words, r.n, r["items"]) for r in got) == want
+
+
+def test_identifiers_of_any_type_and_no_rows_to_repeat(spark):
+    docs = spark.createDataFrame([("d", "x a b c y"), (None, "a b"), ("e", None)], "doc_id string, text string")
+    items = spark.createDataFrame([("item-10", "a b c"), ("item-9", "b c y z"), ("item-9", "A B"), (None, "x a")], "item_id string, text string")
+    for size in (1 << 20, 6):
+        got = {r.doc_id: (r.n_words, [tuple(s) for s in r.spans], r["items"]) for r in contaminated_spans(docs, items, window=3, max_block_bytes=size).collect()}
+        assert got == {"d": (5, [(0, 5)], ["item-10", "item-9"]), None: (2, [(0, 2)], ["item-9"]), "e": (0, [], [])}
+
+
+def test_tables_take_a_bounded_number_of_bytes():
+    """A benchmark of 4 MB, words of one letter included: below 20 bytes a byte of text, and right."""
+    rng = random.Random(8)
+    items = [(i, " ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 6))) for _ in range(200))) for i in range(4000)]
+    items += [(-1, " ".join(rng.choices("xyz", k=300_000)))]
+    size = sum(len(t) for _, t in items)
+    tables = build(items, 10)
+    assert sum(s.nbytes() for s in tables.searchers) < 20 * size
+    own = words_of(items[7][1].encode())
+    assert scan([b"new", *own, b"end"], tables) == ([(1, 201)], [7])
