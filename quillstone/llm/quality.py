@@ -4,8 +4,9 @@ A text's features are the hashes of its distinct tokens (lower-cased words, and
 shared by all grades; ordered thresholds cut its score: P(grade >= k) = sigmoid(score - threshold[k]). The expected grade
 and the tail probability at a grade are what selection uses.
 
-Fitting takes at most ``sample_rows`` rated rows, chosen by a hash of their identifier; their features, not their texts,
-reach the driver. A feature gets a weight only where its occurrence depends on the grade beyond doubt (a likelihood-ratio
+Fitting takes at most ``sample_rows`` rated rows, chosen by a hash of their identifier, and of these, in the order of that
+hash, as many as have ``sample_features`` features together (always one); features, not texts, reach the driver, 4 bytes
+each. A feature gets a weight only where its occurrence depends on the grade beyond doubt (a likelihood-ratio
 test against ``evidence``), so that rare words by themselves move no text. Scoring reads every row and
 whole text in place, without a shuffle.
 
@@ -24,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.storage import read_table, ship
+from quillstone.storage import materialize, read_table, ship
 
 _TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]+")
 
@@ -70,8 +71,8 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bucke
     if not len(rows):
         return OrdinalModel(weights, np.full(n_grades - 1, -30.0))
     lengths = np.array([len(x) for x in rows])
-    flat = np.concatenate(rows).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), lengths)
+    flat = np.concatenate(rows).astype(np.int32)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
     common = np.nonzero(dependence(flat, grades[owner], grades, n_grades, buckets) >= evidence)[0]
     place = np.full(buckets, -1)
     place[common] = np.arange(len(common))
@@ -101,7 +102,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bucke
     return OrdinalModel(weights, x[d] + np.concatenate([[0.0], np.cumsum(np.exp(x[d + 1 :]))]))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int = 3, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000, buckets: int = 1 << 18) -> OrdinalModel:
+def fit(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int = 3, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000, sample_features: int = 8_000_000, buckets: int = 1 << 18) -> OrdinalModel:
     """Fit on rated rows; grade is a column over ratings with values 0 .. n_grades - 1 or null."""
     ship(docs.sparkSession)
     rated = ratings.select(F.col(id_col).alias("rated_id"), grade.cast("int").alias("grade")).where("rated_id is not null and grade is not null")
@@ -114,7 +115,17 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int = 3, i
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["grade", "id", "features"])
 
     kind = dict(docs.dtypes)[id_col]
-    rows = joined.mapInArrow(run, f"grade int, id {kind}, features array<int>").toArrow().sort_by([("id", "ascending"), ("grade", "ascending")])
+    found = materialize(joined.mapInArrow(run, f"grade int, id {kind}, features array<int>"), "rated-features")
+    # One task orders the sizes of the sample's rows, not their features.
+    place = F.struct(F.xxhash64("id"), "id", "grade")
+    upto = F.sum(F.col("n") * F.col("size")).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = found.groupBy("id", "grade").agg(F.count("*").alias("n"), F.max(F.size("features")).alias("size")).withColumn("place", place)
+    end = sizes.withColumn("upto", upto).where(F.col("upto") > sample_features).agg(F.min("place").alias("end")).first().end
+    if end is not None:
+        least = sizes.agg(F.min("place").alias("least")).first().least
+        cut, only = (F.struct(*(F.lit(x) for x in row)).cast(sizes.schema["place"].dataType) for row in (end, least))
+        found = found.where((place < cut) | (place == only))
+    rows = found.toArrow().sort_by([("id", "ascending"), ("grade", "ascending")])
     column = rows.column("features").combine_chunks()
     flat, ends = column.flatten().to_numpy(), np.cumsum(pc.list_value_length(column).to_numpy())
     lists = np.split(flat, ends[:-1]) if len(ends) else []

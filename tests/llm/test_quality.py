@@ -52,6 +52,82 @@ def test_awkward_rows_and_selection(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.tails[1] >= 0.5)
 
 
+def test_the_sample_is_bounded_in_features(spark):
+    docs = spark.createDataFrame([(i, t) for i, t, _ in ROWS], "doc_id long, text string").repartition(3)
+    ratings = spark.createDataFrame([(i, g) for i, _, g in ROWS], "doc_id long, g int")
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality, "fit_ordinal", lambda rows, *_: seen.append(rows))
+        for most in (10**6, 60, 1):
+            quality.fit(docs, ratings, F.col("g"), sample_features=most)
+    sizes = [sum(map(len, rows)) for rows in seen]
+    assert sizes[0] == sum(len(quality.features(t.encode(), 1 << 18)) for _, t, _ in ROWS)
+    assert 50 < sizes[1] <= 60 and len(seen[2]) == 1
+
+
+def brute_op2(rows, labels):
+    """op2 with dense counts of the tokens themselves and Newton's method on the penalised likelihood."""
+    import re
+    import zlib
+
+    words = lambda t: set(re.findall(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]+", (t or "").encode().lower()))
+    text = dict(rows)
+    rated = [(words(text[i]), 0 if toxic else 1 + q) for i, q, toxic in labels]
+    assert len({zlib.crc32(w) % (1 << 18) for t in text.values() for w in words(t)}) == len({w for t in text.values() for w in words(t)})
+
+    def dependence(word):
+        out = 0.0
+        for have in (True, False):
+            share = sum((word in w) == have for w, _ in rated) / len(rated)
+            for k in range(3):
+                n = sum((word in w) == have and g == k for w, g in rated)
+                out += 2 * n * np.log(n / (share * sum(g == k for _, g in rated))) if n else 0
+        return out
+
+    kept = sorted(w for w in set().union(*(w for w, _ in rated)) if dependence(w) >= 25)
+    dense = lambda w: np.array([float(k in w) for k in kept])
+    x, y = np.array([dense(w) for w, _ in rated]), np.array([g for _, g in rated])
+
+    def loss(p):
+        cuts = np.r_[-np.inf, p[-2], p[-2] + np.exp(p[-1]), np.inf]
+        upper, lower = (1 / (1 + np.exp(-np.clip(cuts[y + k] - x @ p[:-2], -500, 500))) for k in (1, 0))
+        return -np.log(np.maximum(upper - lower, 1e-300)).mean() + 5e-4 * (p[:-2] ** 2).sum()
+
+    p, h = np.r_[np.zeros(len(kept)), -1.0, 0.0], 1e-4
+    unit = np.eye(len(p)) * h
+    for _ in range(60):
+        at = loss(p)
+        up, down = (np.array([loss(p + s * u) for u in unit]) for s in (1, -1))
+        slope = (up - down) / (2 * h)
+        bend = np.array([[(loss(p + u + v) - loss(p + u - v) - loss(p - u + v) + loss(p - u - v)) / (4 * h * h) for v in unit] for u in unit])
+        values, axes = np.linalg.eigh(bend)
+        step, size = axes @ ((axes.T @ slope) / np.maximum(np.abs(values), 1e-4)), 1.0
+        while size > 1e-6 and loss(p - size * step) > at:
+            size /= 2
+        p = p - size * step
+    cuts = np.array([p[-2], p[-2] + np.exp(p[-1])])
+    return {i: 1 / (1 + np.exp(cuts - dense(words(t)) @ p[:-2])) for i, t in rows}
+
+
+def test_whole_query_equals_a_dense_fit(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for i in range(240):
+        g = i % 3
+        # Each grade's words also occur in the others, so that the best weights are finite.
+        mark = ["vile", "junk", "fine"][g if rng.random() < 0.8 else rng.integers(0, 3)]
+        rows.append((i, f"{mark} " + " ".join(rng.choice(["sun", "moon", "sea", "Été"], 3))))
+        labels.append((i, int(g == 2), int(g == 0)))
+    rows += [(900, None), (901, "unseen"), (902, "vile vile fine")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want, got = brute_op2(rows, labels), quality.op2_quality_classifier(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(want)
+    for r in got:
+        assert (r.p_not_toxic, r.p_good) == pytest.approx(tuple(want[r.doc_id]), abs=0.01)
+        assert r.expected_grade == pytest.approx(r.p_not_toxic + r.p_good) and r.selected == (r.p_good >= 0.5)
+
+
 def test_empty_tables_and_no_ratings(spark):
     docs, none = spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, g int")
     model = quality.fit(docs, none, F.col("g"))
