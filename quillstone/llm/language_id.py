@@ -5,13 +5,15 @@ segmentations into pieces, by the forward algorithm; a text's score is the produ
 lower-cased) and the share of the language among the training rows. Piece probabilities come from expectation
 maximisation: forward-backward counts of pieces over every segmentation of the training words.
 
-Training reads at most about ``sample_per_lang`` rows of each language, chosen by a hash of the row (the bound is on the
-expected number); counting the rows of each language covers all of them. What reaches the driver is one number for each
+Training reads at most about ``sample_per_lang`` rows of each language, chosen by a hash of identifier and text (the bound
+is on the expected number; the row with the least hash is always read); counting the rows of each language covers all of
+them. What reaches the driver is one number for each
 language and piece. Prediction covers all rows and whole texts; words are scored once and kept in a bounded cache.
 
 Defined cases: a text that is null, empty or without letters is ``und`` with score 0; so is every text if no row can be
 learned from; of languages that score the same the first in the alphabet is taken; rows with a null language are not
-learned from; letters outside the vocabulary are unknown pieces of one letter; a run of over ``MAX_WORD`` letters is
+learned from; letters are what Unicode calls so (no digits, fractions or enclosed numbers); more than ``MAX_LANGUAGES``
+languages are an error; letters outside the vocabulary are unknown pieces of one letter; a run of over ``MAX_WORD`` letters is
 scored in stretches of that length; a null identifier reads as an empty text in the split; repeated rows count each
 time; an empty table gives no rows; other columns are ignored.
 """
@@ -50,6 +52,8 @@ def load_pieces(path: str = VOCABULARY) -> list[str]:
 
 def words_of(text: str | None) -> list[str]:
     found = _LETTERS.findall(text.lower()) if text else []
+    if found and not "".join(found).isalpha():
+        found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
     if any(len(w) > MAX_WORD for w in found):
         found = [w[k : k + MAX_WORD] for w in found for k in range(0, len(w), MAX_WORD)]
     return found
@@ -220,29 +224,30 @@ def _piece_counts(rows: DataFrame, pieces: list[str], languages: list[str], prob
     return out
 
 
-def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY, sample_per_lang: int = 2000, rounds: int = 2, smoothing: float = 0.1) -> Model:
+def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY, sample_per_lang: int = 2000, rounds: int = 2, smoothing: float = 0.1) -> Model:
     """Learn piece probabilities from rows with a language."""
     spark = rows.sparkSession
     ship(spark)
     pieces = load_pieces(vocabulary)
-    known = rows.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = sorted((r.lang, r.n) for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect())
+    place = F.pmod(F.xxhash64(id_col, text_col), F.lit(1_000_003))
+    known = rows.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place"))
+    counts = sorted((r.lang, r.n, r.least) for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")).limit(MAX_LANGUAGES + 1).collect())
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
-    languages = [x for x, _ in counts]
+    languages = [x for x, _, _ in counts]
     size = len(pieces) + 1
     probabilities = np.full((size, len(languages)), 1.0 / size)
     probabilities[-1] /= UNKNOWN_LETTERS
     if not languages:
         return Model([], [], pieces, probabilities)
-    shares = F.create_map(*(F.lit(x) for lang, n in counts for x in (lang, min(1.0, sample_per_lang / n))))
-    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < shares[F.col("lang")] * 1_000_003)
+    below = F.create_map(*(F.lit(x) for lang, n, least in counts for x in (lang, max(min(1.0, sample_per_lang / n) * 1_000_003, least + 1.0))))
+    sample = known.where(F.col("place") < below[F.col("lang")]).select("lang", "text")
     for _ in range(rounds):
         found = _piece_counts(sample, pieces, languages, probabilities) + smoothing
         probabilities = found / found.sum(axis=0)
         probabilities[-1] /= UNKNOWN_LETTERS
-    total = sum(n for _, n in counts)
-    return Model(languages, [n / total for _, n in counts], pieces, probabilities)
+    total = sum(n for _, n, _ in counts)
+    return Model(languages, [n / total for _, n, _ in counts], pieces, probabilities)
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -57,6 +57,27 @@ def test_empty_table_and_nothing_to_learn_from(spark):
     assert [tuple(r) for r in li.predict(some, li.fit(some)).collect()] == [(1, "und", 0.0)]
 
 
+def test_only_letters_make_words(spark):
+    assert li.words_of("½ ② Ⅷ ٣ 12 _ !") == [] and li.words_of("x²y a_b ça 二十") == ["x", "y", "a", "b", "ça", "二十"]
+    df = spark.createDataFrame([(1, "the cat", "en"), (2, "½ ②", "en"), (3, "die katze", "de")], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in li.predict(df, li.fit(df)).collect()}
+    assert got[2] == ("und", 0.0) and got[1][0] == "en" and got[3][0] == "de"
+
+
+def test_copies_are_sampled_one_by_one(spark):
+    rows = [(i, "der hund und die katze", "de") for i in range(400)] + [(1000 + i, "the cat and the dog", "en") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.fit(df, sample_per_lang=1)
+    got = li.predict(spark.createDataFrame([(1, "hund und katze"), (2, "cat and dog")], "doc_id long, text string"), model).collect()
+    assert [r.lang_pred for r in sorted(got)] == ["de", "en"]
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(li, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        li.fit(spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "doc_id long, text string, lang string"))
+
+
 def test_a_full_cache_changes_nothing():
     pieces = [li.START, *"abcdef"]
     model = li.Model(["x", "y"], [0.5, 0.5], pieces, np.random.default_rng(1).random((8, 2)) / 8)
