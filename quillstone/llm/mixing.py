@@ -6,13 +6,14 @@ what it gets among its children by weight; a child that cannot use its share, be
 their parent's siblings. A leaf then takes whole epochs and, of the next epoch's seeded order of its documents, the
 longest prefix whose tokens fit.
 
-Only sums for each leaf reach the driver (at most ``max_leaves``). The prefix is found without sorting a leaf: each leaf's
-order is dealt into ``BUCKETS`` hash ranges whose token sums tell in which one the prefix ends; only that range is
-sorted. Documents' texts are never shuffled but for those of that range.
+Only sums for each leaf reach the driver (at most ``max_leaves``; beyond that it is an error). The prefix is found without
+sorting a leaf and without texts: each leaf's order is dealt into ``BUCKETS`` hash ranges whose token sums tell in which
+one the prefix ends, that range is dealt again, ``LEVELS`` times in all, and only the last one's identifiers and token
+counts are sorted. The rows are then filtered in place by the place where their leaf's prefix ends.
 
 Defined cases: a null or empty text has 0 tokens and is taken while the prefix lasts; null level values are a branch of
 their own; weights not given are 1, a weight of 0 gives nothing; documents that tie in order (repeated rows) are ordered
-by identifier and text hash and otherwise arbitrarily; an empty table or a budget of 0 gives no rows beyond those
+by identifier and text hash, and of rows that agree in both as many as fit are taken, any of them; an empty table or a budget of 0 gives no rows beyond those
 of 0 tokens; columns of the input that clash with ``tokens`` or ``epochs`` are replaced.
 """
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from quillstone.storage import materialize, read_table
 
 BUCKETS = 1024
+LEVELS = 2
 
 
 def split_budget(budget: float, weights: list[float], capacities: list[float]) -> list[float]:
@@ -100,23 +102,39 @@ def mix(df: DataFrame, levels: list[Column], weights: Mapping[tuple, float], bud
     def order(id_: Column, th: Column) -> Column:
         return F.xxhash64(F.lit(seed), F.col("whole"), id_, th)
 
-    def bucket() -> Column:
-        return F.shiftrightunsigned("u", 64 - (BUCKETS.bit_length() - 1))
-
-    # The bucket in which each leaf's prefix ends: the first whose tokens no longer fit. At most max_leaves rows.
-    sums = narrow.join(F.broadcast(plans), "leaf").withColumn("u", order(F.col("id"), F.col("th"))).withColumn("b", bucket()).groupBy("leaf", "b").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
-    upto = F.sum("t").over(Window.partitionBy("leaf").orderBy("b"))
-    ends = sums.withColumn("upto", upto).where(F.col("upto") > F.col("rest")).groupBy("leaf").agg(F.min(F.struct("b", (F.col("upto") - F.col("t")).alias("before"))).alias("end")).select("leaf", "end.*")
-    plans = materialize(plans.join(ends.withColumnRenamed("b", "end"), "leaf", "left"), "mixing-plan")
+    def ranked() -> Column:
+        """u in its unsigned order."""
+        return F.col("u").bitwiseXOR(F.lit(-(1 << 63)))
+
+    # Where each leaf's prefix ends: range by range, the first whose tokens no longer fit. At most max_leaves rows.
+    bits = BUCKETS.bit_length() - 1
+    plans = plans.withColumns({"range": F.lit(0).cast("long"), "before": F.lit(0).cast("long")})
+
+    def inside(level: int) -> DataFrame:
+        """The narrow rows of the ranges in which the prefixes end."""
+        dealt = narrow.join(F.broadcast(plans.where("range is not null")), "leaf").withColumn("u", order(F.col("id"), F.col("th")))
+        return dealt.where(F.shiftrightunsigned("u", 64 - bits * level) == F.col("range")) if level else dealt
+
+    for level in range(1, LEVELS + 1):
+        sums = inside(level - 1).groupBy("leaf", F.shiftrightunsigned("u", 64 - bits * level).alias("b")).agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+        upto = F.col("before") + F.sum("t").over(Window.partitionBy("leaf").orderBy("b"))
+        ends = sums.withColumn("upto", upto).where(F.col("upto") > F.col("rest")).groupBy("leaf").agg(F.min(F.struct("b", (F.col("upto") - F.col("t")).alias("before"))).alias("end"))
+        ends = ends.select("leaf", F.col("end.b").alias("range"), F.col("end.before").alias("before"))
+        plans = materialize(plans.select("leaf", "whole", "rest").join(ends, "leaf", "left"), "mixing-plan")
+    groups = inside(LEVELS).groupBy("leaf", ranked().alias("v"), "id", "th").agg(F.first("tokens").alias("each"), F.sum("tokens").alias("t"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+    upto = F.col("before") + F.sum("t").over(Window.partitionBy("leaf").orderBy("v", "id", "th").rowsBetween(Window.unboundedPreceding, 0))
+    over = groups.withColumn("upto", upto).where(F.col("upto") > F.col("rest"))
+    fit = F.when(F.col("each") > 0, F.floor((F.col("rest") - (F.col("upto") - F.col("t"))) / F.col("each")).cast("long")).otherwise(0)
+    cuts = over.groupBy("leaf").agg(F.min(F.struct(F.struct("v", "id", "th").alias("cut"), fit.alias("fit"))).alias("end")).select("leaf", "end.cut", "end.fit")
+    plans = materialize(plans.select("leaf", "whole").join(cuts, "leaf", "left"), "mixing-plan")
     # The row goes as one struct, so that its columns cannot clash with those added here.
     kept = [c for c in df.columns if c not in ("tokens", "epochs")]
     packed = df.select(F.struct(*(F.col(c) for c in kept)).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), n_tokens(F.col(text_col)).alias("tokens"), leaf.alias("leaf"))
-    rows = packed.join(F.broadcast(plans), "leaf").withColumn("u", order(F.col("id"), F.col("th"))).withColumn("b", bucket())
-    sure = rows.where(F.col("end").isNull() | (F.col("b") != F.col("end")))
-    sure = sure.withColumn("more", F.when(F.col("end").isNull() | (F.col("b") < F.col("end")), 1).otherwise(0))
-    edge = rows.where(F.col("b") == F.col("end"))
-    prefix = F.sum("tokens").over(Window.partitionBy("leaf").orderBy("u", "id", "th").rowsBetween(Window.unboundedPreceding, 0))
-    edge = edge.withColumn("more", F.when(F.col("before") + prefix <= F.col("rest"), 1).otherwise(0))
+    rows = packed.join(F.broadcast(plans), "leaf").withColumn("u", order(F.col("id"), F.col("th"))).withColumn("place", F.struct(ranked().alias("v"), "id", "th"))
+    at_cut = F.coalesce((F.col("place") == F.col("cut")) & (F.col("fit") > 0), F.lit(False))
+    sure = rows.where(~at_cut).withColumn("more", F.when(F.col("cut").isNull() | (F.col("place") < F.col("cut")), 1).otherwise(0))
+    # Only rows that agree in identifier and text, of which some fit and some do not.
+    edge = rows.where(at_cut).withColumn("more", F.when(F.row_number().over(Window.partitionBy("leaf").orderBy("u")) <= F.col("fit"), 1).otherwise(0))
     out = sure.unionByName(edge).withColumn("epochs", (F.col("whole") + F.col("more")).cast("long"))
     return out.where("epochs > 0").select("row.*", "tokens", "epochs")
 
