@@ -2,7 +2,6 @@ import base64
 import gzip
 import hashlib
 import io
-import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,11 +39,62 @@ def test_predicates_reach_the_reader_and_payloads_are_passed_over(spark, tmp_pat
     records = warc.read_warc(spark, f"file://{tmp_path}/w", payload=False)
     assert records.where("record_type = 'revisit'").count() == 3
     assert records.where("payload is not null").count() == 0
-    reader = warc.WarcReader({"files": json.dumps(["x"])})
+    reader = warc.WarcReader({"path": str(tmp_path)}, records.schema)
     rest = list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit"), warc.EqualTo(("offset",), 3)]))
     assert len(rest) == 1 and reader.wanted({"warc-type": "revisit"}) and not reader.wanted({"warc-type": "response"})
 
 
+class Counting(io.BytesIO):
+    got = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.got += len(out)
+        return out
+
+
+def record(kind, body, pad=""):
+    return f"WARC/1.1\r\nWARC-Type: {kind}\r\nX-Pad: {pad}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+
+def test_members_are_seeked_over_unread():
+    import random
+
+    big = random.Random(1).randbytes(1 << 20)
+    data = b"".join(warc.member(record(k, b)) for k, b in [("response", big), ("revisit", b""), ("response", b"small"), ("response", big)])
+    assert gzip.decompress(data).count(b"WARC/1.1") == 4  # any other reader takes it too
+    stream = Counting(data)
+    got = list(warc.parse_members(stream, lambda h: h["warc-type"] == "revisit", True, "f"))
+    assert len(got) == 1 and stream.got < 20_000
+    whole = [p for _, _, p in warc.parse_members(io.BytesIO(data), lambda h: True, True, "f")]
+    assert whole == [big, None, b"small", big]
+    long = warc.member(record("response", b"x", pad=random.Random(2).randbytes(9000).hex()))  # headers beyond the first read
+    foreign = gzip.compress(record("resource", b"abc"))
+    mixed = [(h["warc-type"], p) for _, h, p in warc.parse_members(io.BytesIO(long + warc.member(record("a", b"1")) + foreign * 2), lambda h: True, True, "f")]
+    assert mixed == [("response", b"x"), ("a", b"1"), ("resource", b"abc"), ("resource", b"abc")]
+    for bad in (data[:5000], data[:3000] + b"\0" * 50 + data[3050:]):
+        with pytest.raises(ValueError):
+            list(warc.parse_members(io.BytesIO(bad), lambda h: True, True, "f"))
+
+
+def test_files_partitions_columns_and_leftovers(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", "z" * 50 + str(i)) for i in range(200)], "page_id long, url string, html string").repartition(2)
+    path = tmp_path / "w"
+    path.mkdir()
+    (path / "part-of-a-lost-attempt.warc.gz").write_bytes(b"half a rec")
+    warc.write_warc(df, f"file://{path}", max_file_bytes=4000)
+    files = warc.list_files(str(path))
+    assert len(files) > 4 and not (path / "part-of-a-lost-attempt.warc.gz").exists()
+    got = warc.read_warc(spark, str(path), columns=["record_id", "payload_bytes"])
+    assert got.columns == ["record_id", "payload_bytes"] and got.count() == 200
+    reader = warc.WarcReader({"path": str(path), "partition_bytes": "9000"}, got.schema)
+    assert 1 < len(reader.partitions()) < len(files) and sum(len(p.files) for p in reader.partitions()) == len(files)
+    warc.write_warc(df.limit(3), f"file://{path}")  # appends
+    assert warc.read_warc(spark, str(path)).where("record_type = 'response'").count() == 203
+    one = warc.read_warc(spark, f"file://{files[0][0]}")
+    assert 0 < one.count() < 200
+
+
 def test_members_continuation_lines_and_damage():
     record = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: a\r\n b\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     stream = gzip.GzipFile(fileobj=io.BytesIO(gzip.compress(record) + gzip.compress(record)))
