@@ -14,8 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.storage import materialize, ship
-
+from quillstone.storage import discard, materialize, ship
 
 PER_TASK = 500_000  # links, 16 bytes each
 
@@ -63,7 +62,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     contracted = materialize(edges.select("a", "b").coalesce(max(1, tasks)).mapInArrow(stars, "a long, b long"), "links")
     if tasks <= 1:
         return contracted.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    now, mark = contracted.distinct(), None
+    now, held, mark = contracted.distinct(), contracted, None
     for _ in range(max_rounds):
         found = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.crc32(F.concat_ws(",", F.col("a").cast("string"), F.col("b").cast("string")))).alias("s")).first()
         if tuple(found) == mark or not found.n:
@@ -72,4 +71,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _star(now, both, larger=True)
         now = materialize(_star(large, large, larger=False), "links")
+        discard(held)
+        held = now
     raise RuntimeError(f"the components did not settle within {max_rounds} rounds")

@@ -2,12 +2,15 @@
 
 * **Memtable and flush.** Every task of a flush is one memtable: it sorts the digests of its rows and writes them as one
   sorted run (Parquet, with the format's own Bloom filter on the digest). Nothing is shuffled.
-* **Compaction.** All runs merge into one level that holds, for each digest, the identifier that stays and the number
-  of rows. Counts are combined on the map side, so a group of copies of any size reaches the shuffle as one row a task.
+* **Compaction.** The runs written since the last compaction merge with the level before it into one new level that holds,
+  for each digest, the identifier that stays and the number of rows; earlier runs are not read again. Counts are combined
+  on the map side, so a group of copies of any size reaches the shuffle as one row a task.
 * **Filter.** Digests that occur more than once set bits in a bitmap whose size has a fixed bound (``bitmaps``),
   small enough to broadcast at any input size; when it fills up it only passes more rows on.
 * **Verification.** Rows that pass the filter are grouped by digest *and text*, which compares the bytes. A digest
   with two different texts (a collision) has its rows told apart by text.
+* **Later batches.** ``seen`` takes a batch through the level's filter, joins what passes with the level and compares its
+  bytes with the stored text of the row that stays, and of the digest's other rows where that one differs.
 
 Defined cases: a null text counts as empty; a null identifier takes part like any
 other but stays only where its text has no row with an identifier;
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import bitmaps
-from quillstone.storage import materialize, read_table, release, scratch_path
+from quillstone.storage import discard, materialize, read_table, release, scratch_path
 
 
 def sha256(text: Column) -> Column:
@@ -40,7 +43,7 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, keep: str = "smallest", digest: Callable[[Column], Column] = sha256):
         self.spark, self.digest = spark, digest
         self.best = {"smallest": F.min, "largest": F.max}[keep]
-        self.home, self.runs, self.level = scratch_path(spark, "digest-index"), [], None
+        self.home, self.runs, self.merged, self.level = scratch_path(spark, "digest-index"), [], 0, None
 
     def rows(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         text = F.coalesce(F.col(text_col), F.lit(""))
@@ -52,21 +55,40 @@ class DigestIndex:
         memtables = self.rows(df, id_col, text_col).select("digest", "id").sortWithinPartitions("digest", "id")
         memtables.write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
         self.runs.append(path)
-        self.level = None
 
     def entries(self) -> DataFrame:
         return self.spark.read.parquet(*self.runs)
 
     def compact(self) -> DataFrame:
-        """Merge the runs into (digest, keep_id, group_size), sorted by digest within each file."""
-        if self.level is None:
+        """Merge the runs not merged yet into the level of (digest, keep_id, group_size), sorted by digest within each file."""
+        fresh, before = self.runs[self.merged :], self.level
+        if fresh:
             path = f"{self.home}/level-{len(self.runs)}"
-            merged = self.entries().groupBy("digest").agg(self.best("id").alias("keep_id"), F.count("*").alias("group_size"))
+            rows = self.spark.read.parquet(*fresh).select("digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+            if before is not None:
+                rows = rows.unionByName(before)
+            merged = rows.groupBy("digest").agg(self.best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
             merged.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
             release(self.spark)
-            self.level = self.spark.read.parquet(path)
+            self.level, self.merged = self.spark.read.parquet(path), len(self.runs)
+            self.level._scratch_path = path
+            if before is not None:
+                discard(before)
         return self.level
 
+    def seen(self, batch: DataFrame, store: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(id, digest, text, keep_id) for the rows of a batch whose text some flushed row has. store: the flushed rows with their texts."""
+        level = self.compact()
+        bitmap, bits = self.filter(level.select("digest"))
+        hits = materialize(self.may_hold(self.rows(batch, id_col, text_col), bitmap, bits).join(level.select("digest", "keep_id"), "digest"), "digest-hits")
+        stored = store.select(F.col(id_col).alias("stored_id"), F.coalesce(F.col(text_col), F.lit("")).alias("stored"))
+        kept = hits.join(stored, F.col("keep_id").eqNullSafe(F.col("stored_id"))).where(F.col("text") == F.col("stored")).select(*hits.columns).distinct()
+        # Rows of equal digest that differ from the row that stays: a collision, or a row without an identifier.
+        rest = hits.select("digest", "text").distinct().join(kept.select("digest", "text").distinct(), ["digest", "text"], "left_anti")
+        others = rest.join(self.entries().select("digest", F.col("id").alias("other_id")), "digest").join(stored, F.col("other_id").eqNullSafe(F.col("stored_id")))
+        found = others.where(F.col("text") == F.col("stored")).groupBy("digest", "text").agg(self.best("other_id").alias("keep_id"))
+        return kept.unionByName(hits.drop("keep_id").join(found, ["digest", "text"]).select(*hits.columns).distinct())
+
     def filter(self, digests: DataFrame) -> tuple[DataFrame, int]:
         """A bitmap of the digests as (bucket, bits) and its number of bits."""
         bits = bitmaps.bits_for(digests.count())

@@ -13,6 +13,9 @@ in them), the document (``id`` and text hash ``th``), ``lo`` (start of its first
 
 Rows are identified by identifier and text hash together, so repeated rows count as separate documents and get the same
 result.
+
+Stretches are compared by a 64-bit polynomial hash over random token values. Sequences of Thue-Morse kind, which collide in
+any such hash, need 1,024 tokens; the stretches here have below twice a window.
 """
 
 from __future__ import annotations

@@ -1,5 +1,7 @@
 import hashlib
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillstone.llm.exact_dedup import DigestIndex, exact_dedup
@@ -44,6 +46,26 @@ def test_empty_table(spark):
     assert found(spark.createDataFrame([], "doc_id long, text string")) == []
 
 
+@pytest.mark.parametrize("digest", [None, lambda text: F.encode(F.substring(F.md5(text), 1, 1), "utf-8")])
+def test_later_batches_are_looked_up_in_the_level(spark, digest):
+    """Three batches: each row is seen if an earlier batch has its text; weak digests collide and change nothing."""
+    rng = random.Random(5)
+    batches = [[(100 * b + k, rng.choice(["", None, *(f"text {x}" for x in range(25))])) for k in range(20)] for b in range(3)]
+    index, store, known = DigestIndex(spark, **({"digest": digest} if digest else {})), None, {}
+    for rows in batches:
+        batch = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        if store is not None:
+            got = sorted((r.id, r.text, r.keep_id) for r in index.seen(batch, store, "doc_id", "text").collect())
+            assert got == sorted((i, t or "", min(known[t or ""])) for i, t in rows if (t or "") in known)
+        index.flush(batch, "doc_id", "text")
+        store = batch if store is None else store.union(batch)
+        for i, t in rows:
+            known.setdefault(t or "", []).append(i)
+        if digest is None:
+            assert sorted((r.keep_id, r.group_size) for r in index.compact().collect()) == sorted((min(x), len(x)) for x in known.values())
+    assert index.merged >= 2 and len(index.runs) == 3
+
+
 def test_runs_merge_and_the_filter_has_no_false_negative(spark):
     a, b = spark.range(0, 500), spark.range(250, 750)
     index = DigestIndex(spark)
