@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -53,10 +54,19 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_RELEASE_SECONDS = 5.0
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of plans that nothing refers to any more; not again within a few seconds."""
+    global _released
+    if time.monotonic() - _released >= _RELEASE_SECONDS:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _released = time.monotonic()
+
+
+_released = float("-inf")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,7 +88,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_quillstone_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="quillstone-")) / "quillstone_package.zip"
+    folder = tempfile.mkdtemp(prefix="quillstone-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "quillstone_package.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
         for module in sorted(root.rglob("*.py")):
             archive.write(module, module.relative_to(root.parent))
