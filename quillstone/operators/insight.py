@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators.profile import robust_mean
+from quillstone.operators.quantiles import quantiles
+from quillstone.operators.profile import robust_means
 
 #: Words in a status that tell of a problem, and those that are normal.
 PROBLEM_WORDS = ("cancel", "fail", "error", "reject", "delay", "overdue", "return", "refund", "blocked", "suspended", "lost", "damaged")
@@ -19,8 +20,8 @@ RISK_WORDS = ("high", "critical", "severe", "urgent")
 def category_totals(df: DataFrame, category: str, metric: str, top: int = 5) -> DataFrame:
     """The top groups by sum, with n, sum, mean, sd and share of the whole."""
     g = df.groupBy(F.col(category).alias("category")).agg(F.count(metric).alias("n"), F.sum(metric).alias("sum"), F.avg(metric).alias("mean"), F.stddev_samp(metric).alias("sd"))
-    whole = Window.partitionBy(F.lit(1))
-    g = g.withColumn("share", F.col("sum") / F.sum("sum").over(whole)).orderBy(F.desc("sum"), "category").limit(top)
+    whole = df.agg(F.sum(metric).alias("_whole"))
+    g = g.orderBy(F.desc("sum"), "category").limit(top).crossJoin(F.broadcast(whole)).withColumn("share", F.col("sum") / F.col("_whole"))
     return g.select("category", "n", *(F.round(c, 4).alias(c) for c in ("sum", "mean", "sd", "share")))
 
 
@@ -37,7 +38,7 @@ def status_class(c: Column) -> Column:
 def status_distribution(df: DataFrame, column: str) -> DataFrame:
     """Counts of lower-cased values with their class and whether a problem is frequent (100 rows or 5 %)."""
     g = df.where(F.col(column).isNotNull()).groupBy(F.lower(column).alias("status")).agg(F.count("*").alias("n"))
-    g = g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).withColumn("kind", status_class(F.col("status")))
+    g = g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("_n")))).withColumn("share", F.col("n") / F.col("_n")).withColumn("kind", status_class(F.col("status")))
     return g.select("status", "n", F.round("share", 6).alias("share"), "kind", ((F.col("kind") == "anomaly") & ((F.col("n") >= 100) | (F.col("share") >= 0.05))).alias("problem"))
 
 
@@ -52,7 +53,7 @@ def flag_counts(df: DataFrame, column: str) -> DataFrame:
 def distribution(df: DataFrame, column: str, top: int = 5) -> DataFrame:
     """The top values of a category, by number."""
     g = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    g = g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))
+    g = g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("_n")))).withColumn("share", F.round(F.col("n") / F.col("_n"), 6)).drop("_n")
     return g.orderBy(F.desc("n"), "value").limit(top)
 
 
@@ -62,8 +63,9 @@ def risk_count(df: DataFrame, column: str) -> DataFrame:
 
 def kpi_threshold(df: DataFrame, column: str) -> DataFrame:
     """A target by the scale of the values: .7 for shares, 70 for percentages, else the third quartile."""
-    s = df.agg(F.max(column).cast("double").alias("hi"), F.percentile(F.col(column).cast("double"), 0.75).alias("q3"))
-    return s.select(F.when(F.col("hi") <= 1, 0.7).when(F.col("hi") <= 100, 70.0).otherwise(F.col("q3")).alias("threshold"))
+    high = df.agg(F.max(column).cast("double")).first()[0]
+    limit = None if high is None else 0.7 if high <= 1 else 70.0 if high <= 100 else quantiles(df, [column], [0.75])[column][0]
+    return df.sparkSession.createDataFrame([(limit,)], "threshold double")
 
 
 def low_performers(df: DataFrame, column: str) -> DataFrame:
@@ -81,7 +83,7 @@ def missing_insight(df: DataFrame) -> DataFrame:
 def segment_gaps(df: DataFrame, category: str, metrics: list[str], least: int = 10) -> DataFrame:
     """For each metric: best and worst group of at least least rows by robust mean, their ratio and what it says."""
     longer = df.select(F.col(category).alias("category"), F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics))).alias("p")).select("category", "p.*").where("x is not null and category is not null")
-    g = longer.groupBy("metric", "category").agg(F.count("x").alias("n"), robust_mean(F.col("x")).alias("m")).where(F.col("n") >= least)
+    g = robust_means(longer, ["metric", "category"], "x").where(F.col("n") >= least)
     out = g.groupBy("metric").agg(F.count("*").alias("groups"), F.max("m").alias("hi"), F.min("m").alias("lo"), F.max(F.struct("m", "category"))["category"].alias("best"), F.min(F.struct("m", "category"))["category"].alias("worst"))
     ratio = F.when(F.col("lo") > 0, F.col("hi") / F.col("lo"))
     return out.select("metric", "groups", "best", "worst", F.round("hi", 4).alias("hi"), F.round("lo", 4).alias("lo"), F.round(ratio, 4).alias("ratio"), F.when(ratio >= 2, "significant").when(ratio < 1.2, "no_effect").otherwise("moderate").alias("effect"))
@@ -90,7 +92,8 @@ def segment_gaps(df: DataFrame, category: str, metrics: list[str], least: int =
 def buckets(df: DataFrame, column: str, metric: str, n: int = 5, least: int = 10) -> DataFrame:
     """Mean of a metric in quantile buckets [lo, hi), the last one closed; equal edges are one."""
     x = F.col(column).cast("double")
-    edges = df.agg(F.array_distinct(F.percentile(x, [i / n for i in range(n + 1)])).alias("_e"))
+    made = [q for q in quantiles(df, [column], [i / n for i in range(n + 1)])[column] if q is not None]
+    edges = df.sparkSession.createDataFrame([(sorted(set(made)),)], "_e array<double>")
     at = F.least(F.size(F.filter("_e", lambda e: e <= x)), F.size("_e") - 1)
     g = df.where(x.isNotNull()).crossJoin(F.broadcast(edges)).withColumn("bucket", at).groupBy("bucket", "_e").agg(F.count(metric).alias("n"), F.round(F.avg(metric), 4).alias("mean"))
     return g.where(F.col("n") >= least).select("bucket", F.round(F.get("_e", F.col("bucket") - 1), 4).alias("lo"), F.round(F.get("_e", F.col("bucket")), 4).alias("hi"), "n", "mean")
@@ -141,8 +144,7 @@ def graded_mean(df: DataFrame, column: str, limits: list[tuple[float, str]], abo
 def group_rate_anomalies(df: DataFrame, group: str, numerator: str, denominator: str, limit: float = 2.0) -> DataFrame:
     """Groups whose rate is over limit sample deviations from the mean of the groups' rates."""
     g = df.groupBy(group).agg(F.sum(numerator).alias("a"), F.sum(denominator).alias("b")).where("b > 0").select(group, (F.col("a") / F.col("b")).alias("rate"))
-    w = Window.partitionBy(F.lit(1))
-    g = g.withColumn("m", F.avg("rate").over(w)).withColumn("s", F.stddev_samp("rate").over(w))
+    g = g.crossJoin(F.broadcast(g.agg(F.avg("rate").alias("m"), F.stddev_samp("rate").alias("s"))))
     return g.where((F.col("s") > 0) & (F.abs(F.col("rate") - F.col("m")) > limit * F.col("s"))).select(group, F.round("rate", 6).alias("rate"), F.when(F.col("rate") > F.col("m"), "high").otherwise("low").alias("direction"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.functions.scalars import NULL_TOKENS, is_blank, levenshtein_similarity, normalize_value
+from quillstone.functions.scalars import NULL_TOKENS, is_blank, normalize_value
 from quillstone.storage import materialize
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -91,16 +91,57 @@ def composite_inclusion(child: DataFrame, columns: list[str], parent: DataFrame,
     return mine.join(theirs, names, "left").agg(F.count("*").alias("n"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 6).alias("inclusion"))
 
 
-def fuzzy_matches(a: DataFrame, b: DataFrame, min_similarity: float = 0.8) -> DataFrame:
+MAX_DELETED = 2
+
+
+def _deleted(text: Column, n: int) -> Column:
+    """The texts that are left after n letters of text go; n is 0, 1 or 2."""
+    if n == 0:
+        return F.array(text)
+    length = F.length(text)
+    without = lambda t, i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1, F.length(t)))
+    if n == 1:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), length), lambda i: without(text, i)))
+    # The second letter that goes stands behind the first.
+    rest = lambda i: F.transform(F.sequence(i, F.greatest(length - 1, i)), lambda j: without(without(text, i), j))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), rest)))
+
+
+def _by_deletion(rows: DataFrame, name: str, lengths: DataFrame, min_similarity: float) -> DataFrame:
+    """(name, n, m, rest): what is left of each text after as many deletions as a partner of each length allows."""
+    n, m = F.length(name), F.col("m")
+    longer = F.greatest(n, m)
+    edits = F.floor((1 - min_similarity) * longer + 1e-9).cast("int")
+    out = rows.join(F.broadcast(lengths), (F.least(n, m) >= longer * min_similarity - 1e-9) & (edits <= MAX_DELETED))
+    out = out.withColumn("_d", n - (longer - edits)).where("_d >= 0")
+    cells = F.when(F.col("_d") == 0, _deleted(F.col(name), 0)).when(F.col("_d") == 1, _deleted(F.col(name), 1)).otherwise(_deleted(F.col(name), 2))
+    return out.select(name, n.alias("own"), m.alias("other"), F.explode(cells).alias("rest"))
+
+
+def fuzzy_matches(a: DataFrame, b: DataFrame, min_similarity: float = 0.8, below: bool = False) -> DataFrame:
     """Pairs of distinct texts (column value) whose Levenshtein similarity reaches a limit of over 0.5.
 
-    Two such texts differ in at most k = (1 - limit) * length places, so of k + 1 even pieces of the one at least one
+    Where the lengths allow at most ``MAX_DELETED`` edits, texts meet by what is left of them after deletions: of two texts
+    within k edits some common rest has k letters fewer than the longer one, and hardly any others share it. Else,
+    two such texts differ in at most k = (1 - limit) * length places, so of k + 1 even pieces of the one at least one
     stands in the other, shifted by k at most. Pairs meet by (length of the pieces' text, piece, text of the piece).
+    below: only pairs with a < b, as for a column with itself.
     """
     if not 0.5 < min_similarity <= 1:
         raise ValueError("the limit must be over 0.5")
     left = a.select(F.col("value").alias("a")).where("a is not null and a <> ''").distinct()
     right = b.select(F.col("value").alias("b")).where("b is not null and b <> ''").distinct()
+    order = F.col("a") < F.col("b") if below else F.lit(True)
+    lengths = [materialize(x.select(F.length(c).alias("m")).distinct(), "text-lengths") for x, c in ((right, "b"), (left, "a"))]
+    short = _by_deletion(left, "a", lengths[0], min_similarity).withColumnsRenamed({"own": "x", "other": "y"})
+    partners = _by_deletion(right, "b", lengths[1], min_similarity).withColumnsRenamed({"own": "y", "other": "x"})
+    near = short.join(partners, ["x", "y", "rest"]).where(order).select("a", "b")
+    longest = max((x.agg(F.max("m")).first()[0] or 0 for x in lengths), default=0)
+    # Lengths of over MAX_DELETED edits: their longer text has at least this many letters.
+    many = (MAX_DELETED + 1) / (1 - min_similarity) if min_similarity < 1 else float("inf")
+    if longest < many - 1e-6:
+        return _similar(near.distinct(), min_similarity)
+    left, right = left.where(F.length("a") >= many * min_similarity - 1), right.where(F.length("b") >= many * min_similarity - 1)
     edits = lambda n: F.floor((1 - min_similarity) * n / min_similarity + 1e-9).cast("int")  # noqa: E731  as seen from the shorter text
     n = F.length("a")
     pieces = edits(n) + 1
@@ -114,8 +155,16 @@ def fuzzy_matches(a: DataFrame, b: DataFrame, min_similarity: float = 0.8) -> Da
     theirs = theirs.select("b", "n", k.alias("k"), F.explode(cuts).alias("p")).where("p.e > p.s")
     theirs = theirs.select("b", "n", F.col("p.s").alias("s"), F.explode(F.sequence(F.greatest(F.col("p.s") - F.col("k"), F.lit(0)), F.col("p.s") + F.col("k"))).alias("at"), (F.col("p.e") - F.col("p.s")).alias("l")).where(F.col("at") + F.col("l") <= F.length("b"))
     theirs = theirs.select("b", "n", "s", F.substr("b", F.col("at") + 1, F.col("l")).alias("piece")).distinct()
-    found = mine.join(theirs, ["n", "s", "piece"]).select("a", "b").distinct()
-    return found.withColumn("similarity", F.round(levenshtein_similarity(F.col("a"), F.col("b")), 6)).where(levenshtein_similarity(F.col("a"), F.col("b")) >= min_similarity)
+    found = mine.join(theirs, ["n", "s", "piece"]).where(order).select("a", "b")
+    return _similar(found.union(near).distinct(), min_similarity)
+
+
+def _similar(pairs: DataFrame, min_similarity: float) -> DataFrame:
+    longer = F.greatest(F.length("a"), F.length("b"))
+    # The distance is computed once, and only as far as the limit; beyond it is -1.
+    most = F.floor((1 - min_similarity) * longer + 1e-9)
+    found = pairs.withColumn("_d", F.expr(f"levenshtein(a, b, cast(floor({1 - min_similarity!r} * greatest(length(a), length(b)) + 1e-9) as int))")).where(F.col("_d").between(0, most))
+    return found.select("a", "b", F.round(1 - F.col("_d") / longer, 6).alias("similarity"))
 
 
 def aligned(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str]) -> DataFrame:

@@ -50,30 +50,27 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
 def numeric_statistics(df: DataFrame, digits: int = 4) -> DataFrame:
     """Exact aggregates of each numeric column, rounded: n, sum, mean, sd (sample), min, max, quartiles, distinct values.
 
-    Quartiles and distinct values come from the columns' value counts, in one pass over the distinct (column, value)
-    pairs, so no task holds a column's values and the rows are not multiplied by the number of columns.
+    Distinct values come from the columns' value counts, quartiles from brackets (``quantiles``), so no task holds a
+    column's values.
     """
+    from quillstone.operators.quantiles import quantiles
+
     names = numeric_columns(df)
     cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("x")) for c in names))
     counts = df.select(F.explode(cells).alias("p")).select("p.*").where("x is not null").groupBy("column", "x").agg(F.count("*").alias("k"))
     x, k = F.col("x"), F.col("k")
-    made = counts.groupBy("column").agg(F.sum("k").alias("n"), F.sum(x * k).alias("sum"), F.min("x").alias("min"), F.max("x").alias("max"), F.count("*").alias("distinct"), F.percentile("x", [0.25, 0.5, 0.75], k).alias("q"))
+    made = counts.groupBy("column").agg(F.sum("k").alias("n"), F.sum(x * k).alias("sum"), F.min("x").alias("min"), F.max("x").alias("max"), F.count("*").alias("distinct"))
     wide = df.agg(*(F.stddev_samp(F.col(f"`{c}`").cast("double")).alias(c) for c in names))
     sd = wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("sd")) for c in names))).alias("p")).select("p.*")
     r = lambda c: F.round(c, digits)
-    out = sd.join(made, "column", "left")
+    quartiles = df.sparkSession.createDataFrame([(c, q) for c, q in quantiles(df, names, [0.25, 0.5, 0.75]).items()], "column string, q array<double>")
+    out = sd.join(made, "column", "left").join(F.broadcast(quartiles), "column", "left")
     return out.select("column", F.coalesce("n", F.lit(0)).alias("n"), r("sum").alias("sum"), r(F.col("sum") / F.col("n")).alias("mean"), r("sd").alias("sd"), r("min").alias("min"), r("max").alias("max"), r(F.col("q")[0]).alias("q25"), r(F.col("q")[1]).alias("median"), r(F.col("q")[2]).alias("q75"), F.coalesce("distinct", F.lit(0)).alias("distinct"))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     total = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return total.withColumn("share", F.round(F.col("n") / F.sum("n").over(_all()), 6))
-
-
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
+    return total.crossJoin(F.broadcast(df.agg(F.count("*").alias("_n")))).withColumn("share", F.round(F.col("n") / F.col("_n"), 6)).drop("_n")
 
 
 def text_shares(df: DataFrame) -> DataFrame:
@@ -148,9 +145,15 @@ def normal_form(df: DataFrame, candidates: DataFrame) -> str:
     return "2NF" if "fk" not in roles and len(df.columns) > 10 else "3NF"
 
 
-def robust_mean(x: Column) -> Column:
-    """The mean, or the median if the coefficient of variation is over 10 and there are 5 values."""
-    return F.when((F.count(x) >= 5) & (F.stddev_pop(x) / F.abs(F.avg(x)) > 10), F.percentile(x, 0.5)).otherwise(F.avg(x))
+def robust_means(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, n, m): the mean, or the median if the coefficient of variation is over 10 and there are 5 values.
+
+    Only the groups that need their median are read a second time.
+    """
+    g = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.stddev_pop(value).alias("_s"))
+    g = g.withColumn("_wide", F.coalesce((F.col("n") >= 5) & (F.col("_s") > 10 * F.abs("m")), F.lit(False)))
+    wide = rows.join(g.where("_wide").select(*by), by, "left_semi").groupBy(*by).agg(F.percentile(value, 0.5).alias("_median"))
+    return g.join(wide, by, "left").select(*by, "n", F.coalesce("_median", "m").alias("m"))
 
 
 def categorical_columns(df: DataFrame, most: int = 50) -> list[str]:

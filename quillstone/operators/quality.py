@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.scalars import is_blank
 from quillstone.operators.profile import numeric_columns
+from quillstone.operators.quantiles import order_statistics, quantiles
 
 
 def z_outliers(df: DataFrame, column: str, limit: float = 3.0) -> DataFrame:
@@ -31,31 +32,30 @@ def z_outliers(df: DataFrame, column: str, limit: float = 3.0) -> DataFrame:
 def iqr_outliers(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """Rows strictly outside the fences of the interpolated quartiles."""
     x = F.col(column).cast("double")
-    stats = df.agg(F.percentile(x, 0.25).alias("_q1"), F.percentile(x, 0.75).alias("_q3"), F.count(x).alias("_n"))
-    reach = k * (F.col("_q3") - F.col("_q1"))
-    return df.crossJoin(F.broadcast(stats)).where((F.col("_n") >= 4) & ((x < F.col("_q1") - reach) | (x > F.col("_q3") + reach))).drop("_q1", "_q3", "_n")
+    if df.where(x.isNotNull()).limit(4).count() < 4:
+        return df.limit(0)
+    q1, q3 = quantiles(df, [column], [0.25, 0.75])[column]
+    return df.where((x < q1 - k * (q3 - q1)) | (x > q3 + k * (q3 - q1)))
 
 
 def order_iqr_outliers(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """The same with order statistics: the values at place n // 4 and 3n // 4, counted from 0."""
     x = F.col(column).cast("double")
-    # percentile_disc at (place + 1) / n is the value at that place.
     n = df.agg(F.count(x).alias("n")).first().n
     if n < 10:
         return df.limit(0)
-    at = lambda place: F.expr(f"percentile_disc({(place + 0.5) / n!r}) WITHIN GROUP (ORDER BY CAST(`{column}` AS DOUBLE))")
-    stats = df.agg(at(n // 4).alias("_q1"), at((3 * n) // 4).alias("_q3"))
-    reach = k * (F.col("_q3") - F.col("_q1"))
-    return df.crossJoin(F.broadcast(stats)).where((x < F.col("_q1") - reach) | (x > F.col("_q3") + reach)).drop("_q1", "_q3")
+    q1, q3 = order_statistics(df, {column: (x, [n // 4, (3 * n) // 4])}, interpolate=False)[column]
+    return df.where((x < q1 - k * (q3 - q1)) | (x > q3 + k * (q3 - q1)))
 
 
 def votes(df: DataFrame, column: str, key: str) -> DataFrame:
     """(key, value, z, iqr, votes) of the rows that either detector names."""
     x = F.col(column).cast("double")
-    stats = df.agg(F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"), F.percentile(x, 0.25).alias("_q1"), F.percentile(x, 0.75).alias("_q3"))
-    reach = 1.5 * (F.col("_q3") - F.col("_q1"))
+    stats = df.agg(F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"))
+    low, high = (F.lit(q).cast("double") for q in quantiles(df, [column], [0.25, 0.75])[column])
+    reach = 1.5 * (high - low)
     z = F.coalesce(F.abs(x - F.col("_m")) / F.col("_s") > 3, F.lit(False)).cast("int")
-    iqr = ((x < F.col("_q1") - reach) | (x > F.col("_q3") + reach)).cast("int")
+    iqr = ((x < low - reach) | (x > high + reach)).cast("int")
     out = df.where(x.isNotNull()).crossJoin(F.broadcast(stats)).select(key, x.alias("value"), z.alias("z"), iqr.alias("iqr"))
     return out.withColumn("votes", F.col("z") + F.col("iqr")).where("votes > 0")
 
@@ -157,10 +157,12 @@ def key_duplicates(df: DataFrame, key: str) -> DataFrame:
 def table_report(df: DataFrame) -> DataFrame:
     """Outliers by the z and quartile rules together for each numeric column, and a quality figure of the table."""
     names = numeric_columns(df)
-    stats = df.agg(*(f.alias(f"_{n}_{c}") for c in names for n, f in (("m", F.avg(c)), ("s", F.stddev_pop(c)), ("q1", F.percentile(c, 0.25)), ("q3", F.percentile(c, 0.75)))))
+    stats = df.agg(*(f.alias(f"_{n}_{c}") for c in names for n, f in (("m", F.avg(c)), ("s", F.stddev_pop(c)))))
+    quartiles = quantiles(df, names, [0.25, 0.75])
 
     def both(c: str) -> Column:
-        x, m, s, q1, q3 = F.col(c), *(F.col(f"_{n}_{c}") for n in ("m", "s", "q1", "q3"))
+        x, m, s = F.col(c), *(F.col(f"_{n}_{c}") for n in ("m", "s"))
+        q1, q3 = (F.lit(q).cast("double") for q in quartiles[c])
         return (F.abs(x - m) / s > 3) & ((x < q1 - 1.5 * (q3 - q1)) | (x > q3 + 1.5 * (q3 - q1)))
 
     row = df.crossJoin(F.broadcast(stats)).agg(F.count("*").alias("_n"), *(F.count_if(both(c)).alias(c) for c in names))
@@ -211,8 +213,8 @@ def derived_ratios(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
     stats = _pairwise(df, triples, lambda p: [x for s in (1, 100) for e in [error(*p, s)] for x in (F.avg((e <= 0.05).cast("int")), F.count(e))])
     likely = [(t, a, b, s) for t, a, b, w1, n1, w100, n100 in stats for s, w, n in ((1, w1, n1), (100, w100, n100)) if n >= 10 and w is not None and w >= 0.95]
-    exact = _pairwise(df, likely, lambda p: [F.percentile(error(*p), 0.5)]) if likely else []
-    return df.sparkSession.createDataFrame([(t, a, b, s) for t, a, b, s, med in exact if med < 0.02], "target string, a string, b string, scale int")
+    medians = order_statistics(df, {str(p): (error(*p), [0.5]) for p in likely}) if likely else {}
+    return df.sparkSession.createDataFrame([p for p in likely if medians[str(p)][0] < 0.02], "target string, a string, b string, scale int")
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.scalars import is_blank
 from quillstone.operators.profile import numeric_columns
+from quillstone.operators.quantiles import order_statistics
 
 
 def missing(df: DataFrame) -> DataFrame:
@@ -45,7 +46,8 @@ def fill_mean(df: DataFrame, column: str) -> DataFrame:
 
 
 def fill_median(df: DataFrame, column: str) -> DataFrame:
-    return _fill(df, column, F.percentile(F.col(column).try_cast("double"), 0.5))
+    median = order_statistics(df, {column: (F.col(column).try_cast("double"), [0.5])})[column][0]
+    return df.withColumn(column, F.when(is_blank(F.col(column)), F.lit(median)).otherwise(F.col(column)))
 
 
 def fill_mode(df: DataFrame, column: str) -> DataFrame:

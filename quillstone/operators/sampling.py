@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def stratified(df: DataFrame, by: str, key: str, size: int = 5000, numeric: list[str] = (), seed: int = 42, least: int = 10) -> DataFrame:
     """About size rows: of each stratum its share, at least least, by a seeded hash; and all rows outside the .5 and 99.5 percentiles."""
-    total = Window.partitionBy(F.lit(1))
-    shares = df.groupBy(by).agg(F.count("*").alias("_n")).withColumn("_k", F.greatest(F.lit(least), F.round(size * F.col("_n") / F.sum("_n").over(total)))).drop("_n")
+    counts = df.groupBy(by).agg(F.count("*").alias("_n"))
+    shares = counts.crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("_all")))).withColumn("_k", F.greatest(F.lit(least), F.round(size * F.col("_n") / F.col("_all")))).drop("_n", "_all")
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), key), key))
     picked = df.withColumn("_r", place).join(F.broadcast(shares.withColumnRenamed(by, "_by")), F.col(by).eqNullSafe(F.col("_by")))
     test = F.col("_r") <= F.col("_k")

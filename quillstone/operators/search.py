@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.scalars import cosine
+from quillstone.storage import materialize
 
 
 def similar_to(vectors: DataFrame, key: str, vector: str, query: object, top: int = 5, condition: Column | None = None) -> DataFrame:
@@ -25,41 +26,40 @@ def unit(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, top: int = 3, least: float = 0.0, block: int = 512) -> DataFrame:
     """(query, key, score): the top vectors for each row of a stated query set, exactly.
 
-    Queries are taken in blocks of at most block rows, each multiplied with all vectors batch by batch; a task keeps the
-    best of its own rows only, so what is shuffled is top rows for each query and task.
+    Queries and vectors are packed into blocks, and each block of queries is multiplied with each block of vectors; a pair
+    of blocks gives at most top rows for each query. Nothing goes through the driver, and no row is shuffled but these.
     """
     import numpy as np
     import pandas as pd
 
-    spark, parts = vectors.sparkSession, []
-    asked = unit(queries, key, vector).toPandas()
     kind = dict(vectors.dtypes)[key]
-    for start in range(0, len(asked), block):
-        some = asked.iloc[start : start + block]
-        shared = spark.sparkContext.broadcast((some[key].to_numpy(), np.stack(some["v"].to_numpy())))
 
-        def best(batches, shared=shared):
-            names, q = shared.value
-            held_s, held_k = np.full((len(names), 0), -2.0), np.zeros((len(names), 0), object)
+    def pack(size: int):
+        def run(batches):
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                s = q @ np.stack(pdf["v"].to_numpy()).T
-                ids = pdf[key].to_numpy()
+                for start in range(0, len(pdf), size):
+                    some = pdf.iloc[start : start + size]
+                    yield pd.DataFrame({"ids": [some[key].to_numpy(np.int64).tobytes()], "m": [np.stack(some["v"].to_numpy()).astype(np.float64).tobytes()]})
+
+        return run
+
+    asked = unit(queries, key, vector).mapInPandas(pack(block), "ids binary, m binary").withColumnsRenamed({"ids": "q_ids", "m": "q"})
+    # Written, so that a block is packed once however many pairs it is in.
+    packed = materialize(unit(vectors, key, vector).mapInPandas(pack(4096), "ids binary, m binary"), "vector-blocks")
+    pairs = packed.crossJoin(materialize(asked, "query-blocks"))
+
+    def best(batches):
+        for pdf in batches:
+            for ids, m, q_ids, q in pdf[["ids", "m", "q_ids", "q"]].itertuples(index=False):
+                ids, names = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
+                s = np.frombuffer(q).reshape(len(names), -1) @ np.frombuffer(m).reshape(len(ids), -1).T
                 s = np.where(names[:, None] == ids[None, :], -2.0, s)
-                held_s = np.concatenate([held_s, s], axis=1)
-                held_k = np.concatenate([held_k, np.broadcast_to(ids, s.shape).astype(object)], axis=1)
-                order = np.lexsort((held_k.astype(np.int64), -held_s), axis=1)[:, :top]
-                held_s, held_k = np.take_along_axis(held_s, order, 1), np.take_along_axis(held_k, order, 1)
-            rows = [(n, int(k), float(s)) for n, ks, ss in zip(names, held_k, held_s, strict=True) for k, s in zip(ks, ss, strict=True) if s > -1.5]
-            yield pd.DataFrame(rows, columns=["query", key, "score"]).astype({"query": "int64", key: "int64", "score": "float64"})
-
-        parts.append(unit(vectors, key, vector).mapInPandas(best, f"query {kind}, {key} {kind}, score double"))
-    if not parts:
-        return spark.createDataFrame([], f"query {kind}, {key} {kind}, score double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+                order = np.lexsort((np.broadcast_to(ids, s.shape), -s.round(9)), axis=1)[:, :top]
+                scores = np.take_along_axis(s, order, 1)
+                keep = scores > -1.5
+                yield pd.DataFrame({"query": np.repeat(names, keep.sum(axis=1)), key: ids[order][keep], "score": scores[keep]})
+
+    out = pairs.mapInPandas(best, f"query {kind}, {key} {kind}, score double")
     out = out.withColumn("score", F.round("score", 5)).where(F.col("score") >= least)
     return out.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))).where(F.col("r") <= top).drop("r")
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.quantiles import quantiles
 from quillstone.functions import distributions as D
 from quillstone.functions.scalars import change
 from quillstone.operators.overlap import ranked
@@ -62,17 +63,17 @@ def _compare(rows: DataFrame, outcome: str, high: Column, low: Column) -> DataFr
 def quartile_experiment(df: DataFrame, driver: str, outcome: str) -> DataFrame:
     """Outcome above the driver's third quartile against below its first."""
     rows = df.select(F.col(driver).cast("double").alias("x"), F.col(outcome).alias("y")).dropna()
-    q = rows.agg(F.percentile("x", 0.25).alias("q1"), F.percentile("x", 0.75).alias("q3"))
-    return _compare(rows.crossJoin(F.broadcast(q)), "y", F.col("x") >= F.col("q3"), F.col("x") <= F.col("q1"))
+    q1, q3 = (F.lit(q).cast("double") for q in quantiles(rows, ["x"], [0.25, 0.75])["x"])
+    return _compare(rows, "y", F.col("x") >= q3, F.col("x") <= q1)
 
 
 def threshold_experiments(df: DataFrame, driver: str, outcome: str) -> DataFrame:
     """Above against below each of the three smallest of: quartiles, median, mean, mean + sd (rounded to two places)."""
     rows = df.select(F.col(driver).cast("double").alias("x"), F.col(outcome).cast("double").alias("y")).dropna()
-    r = rows.agg(F.percentile("x", [0.25, 0.5, 0.75]).alias("q"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).first()
+    r, q = rows.agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).first(), quantiles(rows, ["x"], [0.25, 0.5, 0.75])["x"]
     if r.m is None:
         return rows.sparkSession.createDataFrame([], "threshold double, n_above long, n_below long, m_above double, m_below double")
-    cuts = sorted({round(v, 2) for v in (*r.q, r.m, r.m + (r.s or 0.0))})[:3]
+    cuts = sorted({round(v, 2) for v in (*q, r.m, r.m + (r.s or 0.0))})[:3]
     cells = [F.struct(F.lit(c).alias("threshold"), F.count_if(F.col("x") > c).alias("n_above"), F.count_if(F.col("x") <= c).alias("n_below"), F.round(F.avg(F.when(F.col("x") > c, F.col("y"))), 4).alias("m_above"), F.round(F.avg(F.when(F.col("x") <= c, F.col("y"))), 4).alias("m_below")) for c in cuts]
     return rows.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("p")).select("p.*")
 

@@ -54,7 +54,9 @@ class Rule:
                 bound = part
             else:
                 shared = [v for v in columns if v in bound.columns]
-                bound = bound.join(part, shared) if shared else bound.crossJoin(part)
+                if not shared:
+                    raise ValueError(f"{self.name}: no variable of {terms} stands in the patterns before it")
+                bound = bound.join(part, shared)
         c = F.least(*(F.col(f"_c{k}") for k in range(len(self.body)))) if len(self.body) > 1 else F.col("_c0")
         made = [F.col(f"`{v}`") if v.startswith("?") else F.lit(v) for v in self.head]
         return bound.select(*(x.alias(n) for x, n in zip(made, SPO, strict=True)), (c * self.confidence).alias("confidence"), F.lit(self.name).alias("rule"))
@@ -191,8 +193,8 @@ def graph_statistics(triples: DataFrame) -> DataFrame:
     return triples.agg(F.count("*").alias("facts"), F.count_distinct("subject").alias("subjects"), F.count_distinct("predicate").alias("predicates"), F.count_distinct("object").alias("objects"))
 
 
-def lineage(edges: DataFrame, start: str, downstream: bool = True, most: int = 10) -> DataFrame:
-    """(node, depth): columns that a column feeds, or that feed it; edges are (source, target)."""
+def lineage(edges: DataFrame, start: str, downstream: bool = True, most: int = 10_000) -> DataFrame:
+    """(node, depth): columns that a column feeds, or that feed it, however far; edges are (source, target)."""
     near, far = ("source", "target") if downstream else ("target", "source")
     spark = edges.sparkSession
     seen = spark.createDataFrame([(start, 0)], "node string, depth int")
@@ -201,9 +203,9 @@ def lineage(edges: DataFrame, start: str, downstream: bool = True, most: int = 1
         step = edges.join(F.broadcast(front) if k == 1 else front, F.col(near) == F.col("node")).select(F.col(far).alias("node")).distinct()
         front = materialize(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(k)), "lineage")
         if front.isEmpty():
-            break
+            return seen.where("depth > 0")
         seen = materialize(seen.unionByName(front), "lineage")
-    return seen.where("depth > 0")
+    raise RuntimeError(f"there are columns at more than {most} steps")
 
 
 def impact(edges: DataFrame, start: str) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -206,5 +206,5 @@ def chain_breaks(log: DataFrame, order: str, link: str, digest: str) -> DataFram
 
 
 def frequency(changes: DataFrame, key: str) -> DataFrame:
-    w = Window.partitionBy(F.lit(1))
-    return changes.groupBy(key).agg(F.count("*").alias("n")).withColumn("mean", F.avg("n").over(w))
+    g = changes.groupBy(key).agg(F.count("*").alias("n"))
+    return g.crossJoin(F.broadcast(g.agg(F.avg("n").alias("mean"))))

@@ -13,22 +13,22 @@ from quillstone.plans.registry import register
 from quillstone.sources import writers
 from quillstone.storage import read_table
 
-_EDGES = "(SELECT DISTINCT 'p' || (l_partkey % 97) AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_orderkey % 50 = 0)"
+_EDGES = "(SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem)"
 _U = f"WITH RECURSIVE e AS (SELECT a, b FROM {_EDGES} UNION SELECT b, a FROM {_EDGES}) "
 SCHEMA_EDGES = [(k.from_table, k.to_table) for k in KEYS]
 
 
 def _edges(spark, sf_dir):
-    l = read_table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
-    return l.select(F.concat(F.lit("p"), F.col("l_partkey") % 97).alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
+    """Parts and the suppliers they came from."""
+    return read_table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
 
 
 def _groups(spark, sf_dir):
-    """Orders' customers linked in small groups."""
-    return read_table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"))
+    """Orders and their customers: a component for each customer that has orders."""
+    return read_table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("b"))
 
 
-@register("gr_02_components", "SELECT c_custkey AS node, greatest((c_custkey // 7) * 7 + (CASE WHEN c_custkey % 7 = 0 THEN -6 ELSE 1 END), 1) AS component FROM (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0 UNION SELECT c_custkey + 1 FROM customer WHERE c_custkey % 7 <> 0) x")
+@register("gr_02_components", "SELECT 'o' || o_orderkey AS node, 'c' || o_custkey AS component FROM orders UNION ALL SELECT DISTINCT 'c' || o_custkey, 'c' || o_custkey FROM orders")
 def components(spark, sf_dir):
     return G.components(_groups(spark, sf_dir))
 
@@ -58,7 +58,7 @@ def degree(spark, sf_dir):
     return G.degree(_edges(spark, sf_dir))
 
 
-@register("gr_12_pagerank")
+@register("gr_12_pagerank", _U + ", g AS (SELECT a, b, count(*) OVER (PARTITION BY a) AS d FROM e), n AS (SELECT count(DISTINCT a)::DOUBLE AS n FROM e), r AS (SELECT 0 AS k, a AS node, 1 / n AS rank FROM (SELECT DISTINCT a FROM e), n UNION ALL SELECT any_value(r.k) + 1, g.b, any_value(0.15 / n) + 0.85 * sum(rank / d) FROM r JOIN g ON g.a = r.node, n WHERE r.k < 20 GROUP BY g.b) SELECT node, round(rank, 6) AS rank FROM r WHERE k = 20")
 def pagerank(spark, sf_dir):
     return G.pagerank(_edges(spark, sf_dir)).select("node", F.round("rank", 6).alias("rank"))
 
@@ -69,12 +69,12 @@ def hits(spark, sf_dir):
     return found.select("node", F.round("hub", 5).alias("hub"), F.round("authority", 5).alias("authority"))
 
 
-@register("gr_10_label_propagation")
+@register("gr_10_label_propagation", _U + ", l AS (SELECT 0 AS k, a AS node, a AS label FROM (SELECT DISTINCT a FROM e) UNION ALL SELECT k + 1, a, label FROM (SELECT l.k, e.a, l.label, count(*) AS n FROM l JOIN e ON e.b = l.node WHERE l.k < 4 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, label) = 1) SELECT node, label FROM l WHERE k = 4")
 def labels(spark, sf_dir):
     return G.label_propagation(_edges(spark, sf_dir), 4)
 
 
-@register("gr_10_modularity")
+@register("gr_10_modularity", "SELECT round(1 - sum(n * n) / sum(n) ** 2, 6) AS modularity FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)")
 def modularity(spark, sf_dir):
     e = _groups(spark, sf_dir)
     return G.modularity(e, G.components(e).withColumnRenamed("component", "label"))
@@ -90,22 +90,24 @@ def betweenness(spark, sf_dir):
     return spark.createDataFrame(sorted(G.SchemaGraph(SCHEMA_EDGES).betweenness().items()), "node string, score double")
 
 
-@register("gr_14_closeness", _U + ", d AS (SELECT 's1' AS node, 0 AS k UNION SELECT e.b, d.k + 1 FROM d JOIN e ON e.a = d.node WHERE d.k < 10), m AS (SELECT node, min(k) AS k FROM d GROUP BY 1) SELECT 's1' AS node, round(count(*) / sum(k), 6) AS closeness FROM m WHERE k > 0")
+@register("gr_14_closeness", _U + ", d AS (SELECT 's' || s_suppkey AS source, 's' || s_suppkey AS node, 0 AS k FROM supplier WHERE s_suppkey % 20 = 0 UNION SELECT d.source, e.b, d.k + 1 FROM d JOIN e ON e.a = d.node WHERE d.k < 8), m AS (SELECT source, node, min(k) AS k FROM d GROUP BY 1, 2) SELECT source AS node, round(count(*) / sum(k), 6) AS closeness FROM m WHERE k > 0 GROUP BY 1")
 def closeness(spark, sf_dir):
-    return G.closeness(_edges(spark, sf_dir), spark.createDataFrame([("s1",)], "source string"))
+    """Of the suppliers whose key is divisible by 20, over the whole graph."""
+    asked = read_table(spark, sf_dir, "supplier").where("s_suppkey % 20 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("source"))
+    return G.closeness(_edges(spark, sf_dir), asked)
 
 
-def _half(spark, sf_dir, rest):
-    return read_table(spark, sf_dir, "lineitem").where(f"l_orderkey % 3 <> {rest}").select((F.col("l_partkey") % 50).alias("a"), (F.col("l_suppkey") % 50 + 50).alias("b")).distinct()
+def _returned(spark, sf_dir, flag):
+    return read_table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag).select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
 
 
-def _half_sql(rest):
-    return f"SELECT DISTINCT l_partkey % 50 AS a, l_suppkey % 50 + 50 AS b FROM lineitem WHERE l_orderkey % 3 <> {rest}"
+def _returned_sql(flag):
+    return f"SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_returnflag = '{flag}'"
 
 
-@register("gr_16_graph_similarity", f"WITH x AS ({_half_sql(0)}), y AS ({_half_sql(1)}) SELECT round((SELECT count(*) FROM (SELECT * FROM x INTERSECT SELECT * FROM y)) / (SELECT count(*) FROM (SELECT * FROM x UNION SELECT * FROM y)), 6) AS jaccard")
+@register("gr_16_graph_similarity", f"WITH x AS ({_returned_sql('R')}), y AS ({_returned_sql('A')}) SELECT round((SELECT count(*) FROM (SELECT * FROM x INTERSECT SELECT * FROM y)) / (SELECT count(*) FROM (SELECT * FROM x UNION SELECT * FROM y)), 6) AS jaccard")
 def similarity(spark, sf_dir):
-    return G.graph_similarity(_half(spark, sf_dir, 0), _half(spark, sf_dir, 1))
+    return G.graph_similarity(_returned(spark, sf_dir, "R"), _returned(spark, sf_dir, "A"))
 
 
 @register("gr_18_coexistence", "SELECT 'doc_id' AS a, 'lang' AS b, round(avg((doc_id IS NOT NULL AND lang IS NOT NULL)::INT), 6) AS share FROM documents UNION ALL SELECT 'doc_id', 'source', round(avg((doc_id IS NOT NULL AND source IS NOT NULL)::INT), 6) FROM documents UNION ALL SELECT 'lang', 'source', round(avg((lang IS NOT NULL AND source IS NOT NULL)::INT), 6) FROM documents")
@@ -163,9 +165,9 @@ def nearest(spark, sf_dir):
     return search.nearest(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 3)
 
 
-@register("gr_23_text_search", "SELECT p_partkey, (contains(t, 'brass'))::INT + (contains(t, 'steel'))::INT AS score FROM (SELECT p_partkey, lower(p_name || ' ' || p_type) AS t FROM part) WHERE contains(t, 'brass') OR contains(t, 'steel') ORDER BY 2 DESC, 1 LIMIT 10")
+@register("gr_23_text_search", "SELECT p_partkey, (contains(t, 'ring'))::INT + (contains(t, 'economy'))::INT AS score FROM (SELECT p_partkey, lower(p_name || ' ' || p_type) AS t FROM part) WHERE contains(t, 'ring') OR contains(t, 'economy') ORDER BY 2 DESC, 1 LIMIT 10")
 def text(spark, sf_dir):
-    return search.text_search(read_table(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_type"], ["brass", "steel"])
+    return search.text_search(read_table(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_type"], ["ring", "economy"])
 
 
 # Facts: nations, regions and customers.

@@ -52,10 +52,11 @@ def join_keys(spark, sf_dir):
 _SIM = "1 - levenshtein(a, b) / greatest(length(a), length(b))"
 
 
-@register("join_08_fuzzy", f"SELECT a, b, round({_SIM}, 6) AS similarity FROM (SELECT DISTINCT lower(c_name) AS a FROM customer WHERE c_custkey <= 300), (SELECT DISTINCT lower(c_name) AS b FROM customer WHERE c_custkey > 300) WHERE {_SIM} >= 0.9")
+@register("join_08_fuzzy", f"SELECT a, b, round({_SIM}, 6) AS similarity FROM (SELECT DISTINCT lower(c_name) AS a FROM customer), (SELECT DISTINCT lower(c_name) AS b FROM customer) WHERE a < b AND {_SIM} >= 0.9")
 def fuzzy(spark, sf_dir):
-    names = read_table(spark, sf_dir, "customer")
-    return O.fuzzy_matches(names.where("c_custkey <= 300").select(F.lower("c_name").alias("value")), names.where("c_custkey > 300").select(F.lower("c_name").alias("value")), 0.9)
+    """All customers' names against all others."""
+    names = read_table(spark, sf_dir, "customer").select(F.lower("c_name").alias("value"))
+    return O.fuzzy_matches(names, names, 0.9, below=True)
 
 
 @register("join_09_positional", "SELECT c_custkey, s_suppkey, round(c_acctbal + s_acctbal, 2) AS both FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) AS r FROM customer) JOIN (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS r FROM supplier) USING (r)")
@@ -81,22 +82,33 @@ def value_sets(spark, sf_dir):
 _KEY_COLUMNS = {"orders": ["o_orderkey", "o_custkey"], "customer": ["c_custkey", "c_nationkey"], "nation": ["n_nationkey", "n_regionkey"], "region": ["r_regionkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]}
 
 
+def _pair_sql(t, c, u, d):
+    return f"SELECT '{t}' AS from_table, '{c}' AS from_column, '{u}' AS to_table, '{d}' AS to_column, (SELECT count(DISTINCT {c}) FROM {t} WHERE {c} IN (SELECT {d} FROM {u})) AS common, (SELECT count(DISTINCT {c}) FROM {t}) AS size_f, (SELECT count(DISTINCT {d}) FROM {u}) AS size_p, (SELECT count(DISTINCT {c}) / count({c}) FROM {t}) AS own, (SELECT count(DISTINCT {d}) / count({d}) FROM {u}) AS uniqueness"
+
+
+#: All ordered pairs of key columns of the same name behind the table's prefix, with what their values say.
+PAIR_SQL = "SELECT *, common / size_f AS inclusion, common / (size_f + size_p - common) AS jaccard FROM (" + " UNION ALL ".join(_pair_sql(t, c, u, d) for t, cs in _KEY_COLUMNS.items() for c in cs for u, ds in _KEY_COLUMNS.items() for d in ds if t != u and c.split("_", 1)[1] == d.split("_", 1)[1]) + ")"
+#: The foreign keys among them.
+FK_SQL = f"SELECT *, round(0.3325 + 0.45 * inclusion + 0.1 * uniqueness + 0.1, 4) AS score FROM ({PAIR_SQL}) WHERE uniqueness >= 0.99 AND inclusion >= 0.8"
+LABEL_SQL = "CASE WHEN score >= 0.9 THEN 'certain' WHEN score >= 0.75 THEN 'high' WHEN score >= 0.6 THEN 'medium' ELSE 'low' END"
+
+
 @register("fk_01_primary_keys", " UNION ALL ".join(f"SELECT '{t}.{c}' AS col FROM {t} HAVING count(*) > 0 AND count(DISTINCT {c}) = count(*)" for t, cs in _KEY_COLUMNS.items() for c in cs))
 def primary(spark, sf_dir):
     return K.primary_keys(tables_of(spark, sf_dir))
 
 
-@register("fk_05_foreign_keys", "SELECT unnest(['l_orderkey', 'l_partkey', 'l_suppkey', 'o_custkey', 'c_nationkey', 's_nationkey', 'n_regionkey']) AS from_column, unnest(['o_orderkey', 'p_partkey', 's_suppkey', 'c_custkey', 'n_nationkey', 'n_nationkey', 'r_regionkey']) AS to_column")
+@register("fk_05_foreign_keys", f"SELECT from_column, to_column FROM ({FK_SQL})")
 def foreign(spark, sf_dir):
     return K.foreign_keys(tables_of(spark, sf_dir)).select("from_column", "to_column")
 
 
-@register("fk_09_scores")
+@register("fk_09_scores", f"SELECT from_table, from_column, to_table, to_column, 0.95::DOUBLE AS name_score, round(inclusion, 6) AS inclusion, round(uniqueness, 6) AS uniqueness, score, {LABEL_SQL} AS confidence FROM ({FK_SQL})")
 def scores(spark, sf_dir):
     return K.foreign_keys(tables_of(spark, sf_dir))
 
 
-@register("fk_20_without_transitive")
+@register("fk_20_without_transitive", f"SELECT from_table, from_column, to_table, to_column FROM ({FK_SQL})")
 def transitive(spark, sf_dir):
     return K.without_transitive(K.foreign_keys(tables_of(spark, sf_dir))).select("from_table", "from_column", "to_table", "to_column")
 
@@ -111,12 +123,12 @@ def five_signals(spark, sf_dir):
     return K.signals(read_table(spark, sf_dir, "orders"), "o_custkey", read_table(spark, sf_dir, "customer"), "c_custkey", "orders", "customer")
 
 
-@register("fk_15_direction")
+@register("fk_15_direction", f"SELECT round(0.8 * (uniqueness - own) + 0.7 * (common / size_f - common / size_p) + sign((SELECT count(o_custkey) FROM orders) - (SELECT count(c_custkey) FROM customer)) * 0.5, 6) AS margin, 'a_to_b' AS direction FROM ({PAIR_SQL}) WHERE from_column = 'o_custkey' AND to_column = 'c_custkey'")
 def direction(spark, sf_dir):
     return K.direction(read_table(spark, sf_dir, "orders"), "o_custkey", read_table(spark, sf_dir, "customer"), "c_custkey")
 
 
-@register("fk_18_validation", "SELECT round(count(DISTINCT o_custkey) / (SELECT count(*) FROM customer), 6) AS jaccard, 1.0::DOUBLE AS containment FROM orders")
+@register("fk_18_validation", f"SELECT round(jaccard, 6) AS jaccard, round(inclusion, 6) AS containment FROM ({PAIR_SQL}) WHERE from_column = 'o_custkey' AND to_column = 'c_custkey'")
 def validation(spark, sf_dir):
     found = O.overlaps(_index(spark, sf_dir)).where("col_a = 'customer.c_custkey' and col_b = 'orders.o_custkey'")
     return found.select("jaccard", F.col("b_in_a").alias("containment"))
@@ -134,7 +146,7 @@ def composite_unique(spark, sf_dir):
     return K.composite_uniqueness(read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@register("fk_25_composite_keys")
+@register("fk_25_composite_keys", "SELECT columns, size FROM (SELECT 'l_orderkey' AS columns, 1 AS size, count(DISTINCT l_orderkey) = count(*) AS u FROM lineitem UNION ALL SELECT 'l_partkey', 1, count(DISTINCT l_partkey) = count(*) FROM lineitem UNION ALL SELECT 'l_orderkey,l_partkey', 2, count(DISTINCT (l_orderkey, l_partkey)) = count(*) FROM lineitem UNION ALL SELECT 'l_orderkey,l_linenumber', 2, count(DISTINCT (l_orderkey, l_linenumber)) = count(*) FROM lineitem UNION ALL SELECT 'l_orderkey,l_suppkey', 2, count(DISTINCT (l_orderkey, l_suppkey)) = count(*) FROM lineitem UNION ALL SELECT 'l_partkey,l_suppkey', 2, count(DISTINCT (l_partkey, l_suppkey)) = count(*) FROM lineitem UNION ALL SELECT 'l_partkey,l_linenumber', 2, count(DISTINCT (l_partkey, l_linenumber)) = count(*) FROM lineitem UNION ALL SELECT 'l_orderkey,l_partkey,l_suppkey', 3, count(DISTINCT (l_orderkey, l_partkey, l_suppkey)) = count(*) FROM lineitem UNION ALL SELECT 'l_orderkey,l_partkey,l_linenumber', 3, count(DISTINCT (l_orderkey, l_partkey, l_linenumber)) = count(*) FROM lineitem UNION ALL SELECT 'l_orderkey,l_suppkey,l_linenumber', 3, count(DISTINCT (l_orderkey, l_suppkey, l_linenumber)) = count(*) FROM lineitem UNION ALL SELECT 'l_partkey,l_suppkey,l_linenumber', 3, count(DISTINCT (l_partkey, l_suppkey, l_linenumber)) = count(*) FROM lineitem) WHERE u")
 def composite(spark, sf_dir):
     return K.composite_keys(read_table(spark, sf_dir, "lineitem"))
 
@@ -146,7 +158,7 @@ def _tree(spark, sf_dir):
     return read_table(spark, sf_dir, "events").select(F.col("event_id").alias("node_id"), F.when(F.col("event_id") != 0, F.floor(F.col("event_id") / 3)).alias("parent_id"))
 
 
-@register("fk_27_hierarchy_inclusion", "SELECT count(*) AS n, count(*) AS found, 1.0::DOUBLE AS inclusion FROM (SELECT DISTINCT event_id // 3 FROM events WHERE event_id <> 0)")
+@register("fk_27_hierarchy_inclusion", "SELECT count(*) AS n, count(e.event_id) AS found, round(count(e.event_id) / count(*), 6) AS inclusion FROM (SELECT DISTINCT event_id // 3 AS p FROM events WHERE event_id <> 0) LEFT JOIN events e ON e.event_id = p")
 def hierarchy_inclusion(spark, sf_dir):
     tree = _tree(spark, sf_dir)
     return O.inclusion(tree, "parent_id", tree, "node_id")
@@ -174,7 +186,10 @@ def prefix(spark, sf_dir):
     return K.matched_prefix(c, "c_name", c, "c_name")
 
 
-@register("fk_06_adaptive_threshold", "SELECT 0.35::DOUBLE AS threshold")
+_FILLED = " UNION ALL ".join(f"SELECT count(*) AS n, count({c}) AS k FROM {t}" for t, cs in _KEY_COLUMNS.items() for c in cs)
+
+
+@register("fk_06_adaptive_threshold", f"SELECT 0.3 + CASE WHEN share > 0.9 THEN 0.05 WHEN share > 0.7 THEN 0 WHEN share > 0.5 THEN -0.05 ELSE -0.1 END::DOUBLE AS threshold FROM (SELECT sum(k) / sum(n) AS share FROM ({_FILLED}))")
 def threshold(spark, sf_dir):
     return spark.range(1).select(F.lit(round(K.adaptive_threshold(tables_of(spark, sf_dir)), 6)).alias("threshold"))
 

@@ -19,7 +19,7 @@ from quillstone.operators import stats as S
 from quillstone.operators import triples as T
 from quillstone.operators import versioning as V
 from quillstone.operators.objects import ObjectTypes
-from quillstone.plans.linking import tables_of
+from quillstone.plans.linking import FK_SQL, LABEL_SQL, tables_of
 from quillstone.plans.registry import register
 from quillstone.sources import readers
 from quillstone.storage import read_table, scratch_path
@@ -108,7 +108,7 @@ def mappings(spark, sf_dir):
     return spark.createDataFrame(R.column_mappings(tables_of(spark, sf_dir)), "a string, b string, kind string, confidence double")
 
 
-@register("fk_10_confidence", "SELECT unnest(['l_orderkey', 'l_partkey', 'l_suppkey', 'o_custkey', 'c_nationkey', 's_nationkey', 'n_regionkey']) AS from_column, 'certain' AS confidence")
+@register("fk_10_confidence", f"SELECT from_column, {LABEL_SQL} AS confidence FROM ({FK_SQL})")
 def confidence(spark, sf_dir):
     return K.foreign_keys(tables_of(spark, sf_dir)).select("from_column", "confidence")
 
@@ -130,7 +130,7 @@ def column_match(spark, sf_dir):
     return spark.createDataFrame(E.column_matches(t["orders"].columns, t["customer"].columns, 0.4), "a string, b string, score double")
 
 
-@register("fk_31_integrated", "SELECT 'single' AS kind, unnest(['lineitem.l_orderkey', 'lineitem.l_partkey', 'lineitem.l_suppkey', 'orders.o_custkey', 'customer.c_nationkey', 'supplier.s_nationkey', 'nation.n_regionkey']) AS source, unnest(['orders.o_orderkey', 'part.p_partkey', 'supplier.s_suppkey', 'customer.c_custkey', 'nation.n_nationkey', 'nation.n_nationkey', 'region.r_regionkey']) AS target")
+@register("fk_31_integrated", f"SELECT 'single' AS kind, from_table || '.' || from_column AS source, to_table || '.' || to_column AS target FROM ({FK_SQL})")
 def integrated(spark, sf_dir):
     return R.integrated_keys(tables_of(spark, sf_dir)).select("kind", "source", "target")
 
@@ -168,9 +168,9 @@ def pair_similarity(spark, sf_dir):
     return E.pair_similarity(pairs, n, "n_nationkey", "n_name", [])
 
 
-@register("kb_02_forward_chaining", "SELECT 'o:' || o_orderkey AS subject, 'n:' || c_nationkey AS object, 0.81::DOUBLE AS confidence FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 500")
+@register("kb_02_forward_chaining", "SELECT 'o:' || o_orderkey AS subject, 'n:' || c_nationkey AS object, 0.81::DOUBLE AS confidence FROM orders JOIN customer ON o_custkey = c_custkey ")
 def forward(spark, sf_dir):
-    o = orders(spark, sf_dir).where("o_orderkey < 500").select(F.concat(F.lit("o:"), "o_orderkey").alias("subject"), F.lit("by").alias("predicate"), F.concat(F.lit("c:"), "o_custkey").alias("object"))
+    o = orders(spark, sf_dir).select(F.concat(F.lit("o:"), "o_orderkey").alias("subject"), F.lit("by").alias("predicate"), F.concat(F.lit("c:"), "o_custkey").alias("object"))
     c = customer(spark, sf_dir).select(F.concat(F.lit("c:"), "c_custkey"), F.lit("in"), F.concat(F.lit("n:"), "c_nationkey"))
     facts = o.union(c).withColumn("confidence", F.lit(0.9))
     found = T.infer(facts, [T.Rule("from", (("?o", "by", "?c"), ("?c", "in", "?n")), ("?o", "from", "?n"), 0.9)])

@@ -118,11 +118,19 @@ def debounced(hits: DataFrame, by: str, time: str = "ts", seconds: int = 60, ord
     return hits.withColumn("_g", gap).where(F.col("_g").isNull() | (F.col("_g") > seconds)).drop("_g")
 
 
-def chain(events: DataFrame, start: str, key: str = "event_id", cause: str = "cause_id", most: int = 50) -> DataFrame:
-    """An event and what caused it, step by step back."""
-    spark = events.sparkSession
-    events.select(F.col(key).alias("id"), F.col(cause).alias("cause")).createOrReplaceTempView("_chain_events")
-    return spark.sql(f"WITH RECURSIVE c AS (SELECT id, cause, 0 AS depth FROM _chain_events WHERE id = {start!r} UNION ALL SELECT e.id, e.cause, c.depth + 1 FROM c JOIN _chain_events e ON e.id = c.cause WHERE c.depth < {most}) SELECT id, depth FROM c")
+def chain(events: DataFrame, start: str, key: str = "event_id", cause: str = "cause_id", most: int = 1000) -> DataFrame:
+    """An event and what caused it, step by step back; a chain of over most steps (a cycle) is an error."""
+    known = events.select(F.col(key).alias("id"), F.col(cause).alias("cause"))
+    out, at = [], start
+    while at is not None:
+        found = known.where(F.col("id") == at).first()
+        if found is None:
+            break
+        if len(out) > most:
+            raise RuntimeError(f"the chain has over {most} steps")
+        out.append((found.id, len(out)))
+        at = found.cause
+    return events.sparkSession.createDataFrame(out, known.select("id", F.lit(0).alias("depth")).schema)
 
 
 def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:

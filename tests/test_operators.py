@@ -236,3 +236,43 @@ def test_rounds_go_on_until_nothing_changes(spark):
     deep = [(k, k - 1 if k else None) for k in range(150)] + [(500, 501), (501, 500), (502, 501)]
     got = {r.node: (r.root, r.depth) for r in keys.hierarchy(spark, spark.createDataFrame(deep, "c long, p long"), "c", "p").collect()}
     assert got == {**{k: (0, k) for k in range(150)}, **dict.fromkeys((500, 501, 502), (None, None))}
+
+
+def test_quantiles_are_exact_however_few_values_are_gathered(spark):
+    import numpy as np
+
+    from quillstone.operators import quantiles as Qn
+
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=3000).round(3), np.r_[np.zeros(2500), rng.integers(0, 5, 500)]
+    df = spark.createDataFrame([(float(x), float(y), None) for x, y in zip(a, b, strict=True)], "a double, b double, c double").repartition(3)
+    ps = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    for gather in (10**6, 50, 1):
+        got = Qn.quantiles(df, ["a", "b", "c"], ps, gather)
+        assert np.allclose(got["a"], np.quantile(a, ps)) and np.allclose(got["b"], np.quantile(b, ps)) and got["c"] == [None] * len(ps)
+        ranks = Qn.order_statistics(df, {"a": (F.col("a"), [0, 7, 2999])}, interpolate=False, gather=gather)["a"]
+        assert ranks == [float(np.sort(a)[k]) for k in (0, 7, 2999)]
+
+
+def test_fuzzy_matches_equal_brute_force(spark):
+    import random
+
+    from quillstone.operators.overlap import fuzzy_matches
+
+    rng = random.Random(3)
+
+    def far(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(now[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+            last = now
+        return last[-1]
+
+    words = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(80)} | {"ab" * 20, "ab" * 19 + "a", "ba" * 20, "ab" * 15 + "xyz" + "ab" * 5}
+    for limit in (0.6, 0.75, 0.9):
+        df = spark.createDataFrame([(w,) for w in words], "value string").repartition(2)
+        got = {(r.a, r.b) for r in fuzzy_matches(df, df, limit, below=True).collect()}
+        want = {(a, b) for a in words for b in words if a < b and 1 - far(a, b) / max(len(a), len(b)) >= limit - 1e-9}
+        assert got == want
