@@ -42,7 +42,7 @@ def order_statistics(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]
                 done.pop(key)
                 open_.pop(key)
         if done:
-            cells = [F.percentile(_inside(k[0], b), (k[1] - b[2]) / max(b[3] - 1, 1)) for k, b in done.items()]
+            cells = [F.expr(f"percentile_disc({(k[1] - b[2] + 0.5) / b[3]!r}D) WITHIN GROUP (ORDER BY {_inside_sql(k[0], b)})") for k, b in done.items()]
             for key, value in zip(done, rows.agg(*cells).first(), strict=True):
                 need[key] = value
                 open_.pop(key)
@@ -67,11 +67,14 @@ def order_statistics(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]
     return out
 
 
+def _inside_sql(i: int, bracket: tuple) -> str:
+    """The values inside a bracket, null for others."""
+    lo, hi = bracket[:2]
+    return f"c{i}" if lo == -math.inf else f"CASE WHEN c{i} >= {lo!r}D AND c{i} <= {hi!r}D THEN c{i} END"
+
+
 def _inside(i: int, bracket: tuple) -> Column:
-    c = F.col(f"c{i}")
-    if bracket[0] == -math.inf:
-        return c
-    return F.when((c >= bracket[0]) & (c <= bracket[1]), c)
+    return F.expr(_inside_sql(i, bracket))
 
 
 def quantiles(df: DataFrame, columns: list[str], probabilities: list[float], gather: int | None = None) -> dict[str, list[float | None]]:
