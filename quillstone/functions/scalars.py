@@ -210,3 +210,11 @@ def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
     """Matching-blocks ratio of two texts."""
     for a, b in pairs:
         yield pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def json_in_text(c: Column) -> Column:
+    """The JSON object or list inside a text: code fences gone, from the first bracket to the last, without commas before a closing one; null if it cannot be read."""
+    plain = F.regexp_replace(c, r"```[a-zA-Z]*", "")
+    inner = F.regexp_extract(plain, r"(?s)(\{.*\}|\[.*\])", 1)
+    mended = F.regexp_replace(inner, r",\s*([}\]])", "$1")
+    return F.when((inner != "") & F.try_parse_json(mended).isNotNull(), mended)

@@ -301,3 +301,39 @@ class SchemaGraph:
                 root[max(x, y)] = min(x, y)
                 out.append((0.0, 1.0 - w))
         return out
+
+
+def column_cloud(df: DataFrame) -> DataFrame:
+    """(column, distinct, filled, length): each column of a table as a point of three shares and sizes, in one pass."""
+    cells = [F.struct(F.lit(c).alias("column"), F.round(F.count_distinct(c) / F.count("*"), 6).alias("distinct"), F.round(F.count(c) / F.count("*"), 6).alias("filled"), F.round(F.avg(F.length(F.col(c).cast("string"))), 6).alias("length")) for c in df.columns]
+    return df.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("p")).select("p.*")
+
+
+def bottleneck(x: list[tuple[float, float]], y: list[tuple[float, float]]) -> float:
+    """Distance of two persistence diagrams: the least longest step of a matching in which points may also go to the diagonal."""
+    n, m = len(x), len(y)
+    far = lambda p, q: max(abs(p[0] - q[0]), abs(p[1] - q[1]))
+    to_line = lambda p: abs(p[1] - p[0]) / 2
+    size = n + m
+    cost = [[far(x[i], y[j]) if i < n and j < m else to_line(x[i]) if i < n else to_line(y[j]) if j < m else 0.0 for j in range(size)] for i in range(size)]
+
+    def matched(limit: float) -> bool:
+        of: list[int | None] = [None] * size
+
+        def place(i: int, seen: set[int]) -> bool:
+            for j in range(size):
+                if cost[i][j] <= limit and j not in seen:
+                    seen.add(j)
+                    if of[j] is None or place(of[j], seen):
+                        of[j] = i
+                        return True
+            return False
+
+        return all(place(i, set()) for i in range(size))
+
+    steps = sorted({c for row in cost for c in row})
+    low, high = 0, len(steps) - 1
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if matched(steps[mid]) else (mid + 1, high)
+    return steps[low] if steps else 0.0

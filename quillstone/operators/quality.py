@@ -285,3 +285,18 @@ def default_shape(df: DataFrame, name: str) -> Shape:
         elif "phone" in low:
             out.append((c, "pattern", r"[\d\s\-+()]{7,}$"))
     return Shape(name, tuple(out))
+
+
+def anomaly_insights(df: DataFrame, columns: list[str], key: str, least: int = 100, share: float = 0.01) -> DataFrame:
+    """Columns with at least least values of which over share are named by a detector: how many, and the fences that say so."""
+    spark, out = df.sparkSession, []
+    quartiles = quantiles(df, columns, [0.25, 0.75, 0.99])
+    counts = df.agg(*(F.count(c).alias(c) for c in columns)).first()
+    for c in columns:
+        if counts[c] < least:
+            continue
+        q1, q3, p99 = quartiles[c]
+        n = votes(df, c, key).count()
+        if n > share * counts[c]:
+            out.append((c, n, round(n / counts[c], 6), round(q1 - 1.5 * (q3 - q1), 4), round(q3 + 1.5 * (q3 - q1), 4), round(p99, 4)))
+    return spark.createDataFrame(out, "column string, n long, share double, low double, high double, p99 double")

@@ -107,3 +107,11 @@ def entities(tables: dict[str, DataFrame]) -> DataFrame:
     spark: SparkSession = next(iter(tables.values())).sparkSession
     rows = [(naming.singular(t), "table", t) for t in tables] + [(naming.base(c), "column", f"{t}.{c}") for t, df in tables.items() for c in df.columns if naming.is_key(c) and naming.base(c)]
     return spark.createDataFrame(sorted(set(rows)), "entity string, kind string, source string")
+
+
+def kpi_estimates(rows: DataFrame, targets: dict[str, tuple[float, float]], full: int = 1000) -> DataFrame:
+    """(kpi, estimate, rows): from a baseline towards a target, by how many rows there are to go by. An assumption, not a measurement."""
+    n = rows.agg(F.count("*").alias("n"))
+    cells = F.array(*(F.struct(F.lit(k).alias("kpi"), F.lit(float(b)).alias("b"), F.lit(float(t)).alias("t")) for k, (b, t) in targets.items()))
+    made = n.select("n", F.explode(cells).alias("x")).select("n", "x.*")
+    return made.select("kpi", F.round(F.col("b") + (F.col("t") - F.col("b")) * F.least(F.lit(1.0), F.col("n") / full), 6).alias("estimate"), F.col("n").alias("rows"))

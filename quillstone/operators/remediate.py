@@ -118,3 +118,34 @@ def load_rules(df: DataFrame, rate_columns: list[str] = (), count_columns: list[
     """Opt-in hard rules: rates over 100 are capped, negative counts become null."""
     made = {c: F.when(F.col(c) > 100, 100.0).otherwise(F.col(c)) for c in rate_columns} | {c: F.when(F.col(c) >= 0, F.col(c)) for c in count_columns}
     return df.withColumns(made) if made else df
+
+
+class Remediation:
+    """Issues of a table as actions that are approved, applied or rejected, and undone; the table before each is kept."""
+
+    def __init__(self, df: DataFrame):
+        self.versions, self.state = [df], {}
+
+    @property
+    def table(self) -> DataFrame:
+        return self.versions[-1]
+
+    def approve(self, name: str) -> None:
+        self.state[name] = "approved"
+
+    def reject(self, name: str) -> None:
+        self.state[name] = "rejected"
+
+    def apply(self, name: str, change) -> None:
+        """An approved action; others raise."""
+        if self.state.get(name) != "approved":
+            raise ValueError(f"{name} is not approved")
+        self.versions.append(change(self.table))
+        self.state[name] = "applied"
+
+    def rollback(self, name: str) -> None:
+        """Undoes the last action, which must be this one."""
+        if self.state.get(name) != "applied" or len(self.versions) < 2:
+            raise ValueError(f"{name} is not applied")
+        self.versions.pop()
+        self.state[name] = "rolled back"

@@ -19,3 +19,13 @@ def stratified(df: DataFrame, by: str, key: str, size: int = 5000, numeric: list
         for c in numeric:
             test = test | (F.col(c) < F.get(f"_q_{c}", F.lit(0))) | (F.col(c) > F.get(f"_q_{c}", F.lit(1)))
     return picked.where(test).select(*df.columns)
+
+
+def load_sample(df: DataFrame, by: str, key: str, size: int = 1000, least: int = 5, seed: int = 42) -> DataFrame:
+    """What is kept of a table at load: about size rows, of each stratum its share and at least least."""
+    return stratified(df, by, key, size, (), seed, least)
+
+
+def samples(tables: dict[str, tuple[DataFrame, str]], size: int = 5000, seed: int = 42) -> dict[str, DataFrame]:
+    """At most size rows of each table, by the least hashes of its key; small tables whole."""
+    return {t: df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(size) for t, (df, key) in tables.items()}

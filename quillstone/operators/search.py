@@ -69,3 +69,10 @@ def text_search(df: DataFrame, key: str, columns: list[str], words: list[str], t
     text = F.lower(F.concat_ws(" ", *columns))
     score = sum((F.contains(text, F.lit(w.lower())).cast("int") for w in words), F.lit(0))
     return df.select(key, score.alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(top)
+
+
+def inner_product(vectors: DataFrame, key: str, vector: str, query: list[float], top: int = 5) -> DataFrame:
+    """The rows with the largest inner product with a vector, exactly."""
+    q = F.array(*(F.lit(float(x)) for x in query))
+    score = F.aggregate(F.zip_with(F.col(vector), q, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    return vectors.select(key, F.round(score, 5).alias("score")).orderBy(F.desc("score"), key).limit(top)

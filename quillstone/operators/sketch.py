@@ -56,3 +56,32 @@ def merged_estimate(df: DataFrame, by: str, column: str, p: int = 14) -> DataFra
     """The estimate over all groups from a sketch for each group, merged."""
     parts = df.groupBy(by).agg(F.hll_sketch_agg(F.col(column).cast("string"), F.lit(p)).alias("s"))
     return parts.agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("estimate"))
+
+
+def buckets(signatures: DataFrame, key: str, bands: int = 16) -> DataFrame:
+    """(key, band, bucket): where each signature stands in a banded index."""
+    size = F.size("signature") / bands
+    cut = lambda i: F.xxhash64(F.slice("signature", (i * size).cast("int") + 1, size.cast("int")))
+    return signatures.select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), cut)).alias("band", "bucket"))
+
+
+def ask(signatures: DataFrame, key: str, asked: DataFrame, bands: int = 16, least: float = 0.5) -> DataFrame:
+    """(query, key, similarity): items that share a bucket with a signature asked for (columns query, signature) and are alike."""
+    of_query = buckets(asked.select(F.col("query").alias(key), "signature"), key, bands).withColumnRenamed(key, "query")
+    met = buckets(signatures, key, bands).join(of_query, ["band", "bucket"]).select("query", key).distinct()
+    j = met.join(signatures, key).join(asked.select("query", F.col("signature").alias("_q")), "query")
+    return j.select("query", key, F.round(estimated_jaccard(F.col("signature"), F.col("_q")), 6).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def similar_columns(tables: dict[str, DataFrame], columns: dict[str, list[str]], n: int = 256, least: float = 0.5) -> DataFrame:
+    """(a, b, similarity) of columns of different tables by signatures of their values."""
+    from quillstone.operators.overlap import inverted_index
+
+    s = minhash(inverted_index(tables, columns), "col", "value", n)
+    b = buckets(s, "col", n // 2)
+    # Columns are few, so all of a bucket's pairs may be formed.
+    met = b.withColumnRenamed("col", "a").join(b.withColumnRenamed("col", "b"), ["band", "bucket"]).where("a < b").select("a", "b").distinct()
+    table = lambda c: F.split_part(c, F.lit("."), F.lit(1))
+    x, y = s.select(F.col("col").alias("a"), F.col("signature").alias("_x")), s.select(F.col("col").alias("b"), F.col("signature").alias("_y"))
+    found = met.where(table("a") != table("b")).join(x, "a").join(y, "b")
+    return found.select("a", "b", F.round(estimated_jaccard(F.col("_x"), F.col("_y")), 6).alias("similarity")).where(F.col("similarity") >= least)

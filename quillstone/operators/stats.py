@@ -313,3 +313,36 @@ def bootstrap_means(df: DataFrame, group: str, column: str, draws: int = 500, se
             yield pd.DataFrame({"group": pdf[group].astype(str), "low": np.percentile(draws_, 2.5, axis=1), "high": np.percentile(draws_, 97.5, axis=1)})
 
     return g.where("n > 1").mapInPandas(run, "group string, low double, high double")
+
+
+def significant_experiments(df: DataFrame, columns: list[str], top: int = 10, least: float = 0.2) -> DataFrame:
+    """The quartile experiment of each of the most correlated pairs; those whose effect is at least small."""
+    pairs = correlations(df, columns).orderBy(F.desc(F.abs("r")), "a", "b").limit(top).collect()  # a report of top pairs
+    out = None
+    for p in pairs:
+        one = quartile_experiment(df, p.a, p.b).withColumns({"driver": F.lit(p.a), "outcome": F.lit(p.b)})
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("there are no pairs of columns")
+    return out.where(F.abs("d") >= least)
+
+
+def what_if_impacts(df: DataFrame, changes: dict[str, Column], limit: float = 0.05, top: int = 20) -> DataFrame:
+    """(column, before, after, change, kind): the effect of changed columns on their means, the largest first; within 5 % it is neutral."""
+    row = df.agg(*(x for k, (c, made) in enumerate(changes.items()) for x in (F.avg(c).alias(f"b{k}"), F.avg(made).alias(f"a{k}"), F.stddev_pop(made).alias(f"s{k}"))))
+    cells = [F.struct(F.lit(c).alias("column"), F.round(f"b{k}", 4).alias("before"), F.round(f"a{k}", 4).alias("after"), F.round(f"s{k}", 4).alias("sd"), F.round((F.col(f"a{k}") - F.col(f"b{k}")) / F.abs(f"b{k}"), 6).alias("change")) for k, c in enumerate(changes)]
+    out = row.select(F.explode(F.array(*cells)).alias("p")).select("p.*")
+    kind = F.when(F.col("change") > limit, "positive").when(F.col("change") < -limit, "negative").otherwise("neutral")
+    return out.withColumn("kind", kind).orderBy(F.desc(F.abs("change")), "column").limit(top)
+
+
+#: Factors of the usual scenarios and how likely each is.
+SCENARIO_FACTORS = (("conservative", 0.5, 0.3), ("moderate", 1.0, 0.5), ("optimistic", 1.5, 0.2))
+
+
+def improvement_scenarios(df: DataFrame, column: str, improvement: float = 0.15, months: int = 12) -> DataFrame:
+    """(scenario, month, value): the column's mean as it would rise in even steps to each scenario's improvement."""
+    base = df.agg(F.avg(column).alias("m"))
+    cells = F.array(*(F.struct(F.lit(n).alias("scenario"), F.lit(f).alias("factor"), F.lit(p).alias("likelihood")) for n, f, p in SCENARIO_FACTORS))
+    rows = base.select("m", F.explode(cells).alias("x")).select("m", "x.*", F.explode(F.sequence(F.lit(1), F.lit(months))).alias("month"))
+    return rows.select("scenario", "likelihood", "month", F.round(F.col("m") * (1 + improvement * F.col("factor") * F.col("month") / months), 4).alias("value"))

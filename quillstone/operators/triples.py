@@ -213,3 +213,30 @@ def impact(edges: DataFrame, start: str) -> DataFrame:
     return found.agg(F.count("*").alias("columns"), F.count_distinct(F.split_part("node", F.lit("."), F.lit(1))).alias("tables"), F.coalesce(F.max("depth"), F.lit(0)).alias("depth"))
 
 
+def prove(triples: DataFrame, rules: list[Rule], goal: tuple[str, str, str]) -> DataFrame:
+    """Facts that answer a goal (names with ? are free), working backwards: only rules that lead to its predicate, and facts that those read."""
+    wanted, used = {goal[1]}, []
+    grown = True
+    while grown:
+        grown = False
+        for r in rules:
+            free = r.head[1].startswith("?") or any(w.startswith("?") for w in wanted)
+            if r not in used and (free or r.head[1] in wanted):
+                used.append(r)
+                wanted |= {p for _, p, _ in r.body}
+                grown = True
+    facts = triples if any(w.startswith("?") for w in wanted) else triples.where(F.col("predicate").isin(*wanted))
+    found = infer(facts, used) if used else with_confidence(facts).select(*SPO, "confidence", "rule")
+    return pattern(found, *goal)
+
+
+def lineage_edges(found: DataFrame) -> DataFrame:
+    """(source, target) from foreign keys: a key feeds the columns that refer to it."""
+    return found.select(F.concat_ws(".", "to_table", "to_column").alias("source"), F.concat_ws(".", "from_table", "from_column").alias("target"))
+
+
+#: Rules over what tables hold beside RDFS and OWL: places are inherited along parts, suppliers of parts serve those that order them.
+DOMAIN_RULES = [
+    Rule("located", (("?x", "locatedIn", "?y"), ("?y", "partOf", "?z")), ("?x", "locatedIn", "?z"), 0.9),
+    Rule("serves", (("?s", "supplies", "?p"), ("?o", "contains", "?p")), ("?s", "serves", "?o"), 0.8),
+]

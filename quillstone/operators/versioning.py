@@ -163,6 +163,20 @@ class Repository:
         seen = {e["version"] for e in self.history(a, 1 << 30)}
         return next((e["version"] for e in self.history(b, 1 << 30) if e["version"] in seen), None)
 
+    def branches(self) -> list[tuple[str, str | None, bool]]:
+        """(branch, head, whether it is the current one)."""
+        return [(b, v, b == self.branch) for b, v in sorted(self.heads.items())]
+
+    def compare(self, a: str, b: str) -> dict[str, object]:
+        """The last common version, and how many versions either branch has beyond it."""
+        base = self.common(a, b)
+
+        def beyond(branch: str) -> int:
+            versions = [e["version"] for e in self.history(branch, 1 << 30)]
+            return versions.index(base) if base in versions else len(versions)
+
+        return {"common": base, "ahead": beyond(a), "behind": beyond(b)}
+
     def merge(self, source: str, target: str, keys: dict[str, list[str]], prefer: str = "target", message: str = "merge") -> tuple[str, dict[str, int]]:
         """Merges source into target: fast forward if it can, else by rows and columns. Returns the version and conflicts by table."""
         base = self.common(source, target)
@@ -208,3 +222,28 @@ def chain_breaks(log: DataFrame, order: str, link: str, digest: str) -> DataFram
 def frequency(changes: DataFrame, key: str) -> DataFrame:
     g = changes.groupBy(key).agg(F.count("*").alias("n"))
     return g.crossJoin(F.broadcast(g.agg(F.avg("n").alias("mean"))))
+
+
+class EvidenceChain:
+    """Findings in order, each linked to the one before by a SHA-256 digest."""
+
+    def __init__(self):
+        self.blocks: list[tuple[int, str, str, str, str, str]] = []
+
+    def add(self, phase: str, agent: str, finding: str) -> str:
+        import hashlib
+
+        previous = self.blocks[-1][5] if self.blocks else ""
+        body = "|".join((str(len(self.blocks)), phase, agent, finding, previous))
+        self.blocks.append((len(self.blocks), phase, agent, finding, previous, hashlib.sha256(body.encode()).hexdigest()))
+        return self.blocks[-1][5]
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.blocks, "place long, phase string, agent string, finding string, previous string, digest string")
+
+
+def evidence_breaks(chain: DataFrame) -> DataFrame:
+    """Places of a chain's blocks whose digest is not that of their content, or whose link is not the digest before."""
+    made = F.sha2(F.concat_ws("|", F.col("place").cast("string"), "phase", "agent", "finding", "previous"), 256)
+    wrong = chain.where(made != F.col("digest")).select("place")
+    return wrong.union(chain_breaks(chain, "place", "previous", "digest")).distinct()

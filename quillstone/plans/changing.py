@@ -235,21 +235,19 @@ def json_fields(spark, sf_dir):
 # Entities.
 
 
-def _people(spark, sf_dir):
-    c = customer(spark, sf_dir)
-    typo = c.where("c_custkey % 50 = 0").select((F.col("c_custkey") + 1_000_000).alias("id"), F.concat(F.col("c_name"), F.lit("x")).alias("name"), F.col("c_mktsegment").alias("segment"))
-    return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")).union(typo)
+def _products(spark, sf_dir):
+    """Parts by all that names them: many share a name, and many names are alike."""
+    return part(spark, sf_dir).select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name"))
 
 
 @register("er_04_resolve")
 def resolved(spark, sf_dir):
-    named = _people(spark, sf_dir).withColumn("name", F.concat_ws(" ", F.md5((F.col("id") % 1_000_000).cast("string")), "name"))
-    return E.resolve(named, "id", "name", ["segment"], 0.95, 0.6)
+    return E.resolve(_products(spark, sf_dir), "id", "name", [], 0.98, 0.7)
 
 
-@register("er_08_clusters", "SELECT c_custkey AS cluster, 2::BIGINT AS n, c_custkey AS first FROM customer WHERE c_custkey % 50 = 0")
+@register("er_08_clusters", "SELECT min(p_partkey) AS cluster, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY lower(p_name || ' ' || p_brand || ' ' || p_type) HAVING count(*) > 1")
 def clusters(spark, sf_dir):
-    return E.clusters(resolved(spark, sf_dir), "id")
+    return E.clusters(E.resolve(_products(spark, sf_dir), "id", "name", [], 1.0, 0.9), "id")
 
 
 @register("er_15_alignment_quality", "SELECT 0.5::DOUBLE AS precision, 0.333333::DOUBLE AS recall, 0.4::DOUBLE AS f1")

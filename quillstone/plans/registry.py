@@ -36,7 +36,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 #: Modules that register queries when they are imported.
-AREAS = ("objects", "profiling", "linking", "checking", "insights", "statistics", "knowledge", "changing", "relations")
+AREAS = ("objects", "profiling", "linking", "checking", "insights", "statistics", "knowledge", "changing", "relations", "discovering", "running", "measuring")
 
 
 def _load() -> None:

@@ -159,7 +159,7 @@ def intent(question: str, columns: dict[str, list[str]]) -> dict[str, object]:
         return any(re.search(rf"\b{re.escape(x)}(s|es)?\b", low) for x in {name.lower(), plain, plain.rstrip("s")} if len(x) > 2)
 
     tables = [t for t in columns if named(t)]
-    aggregate = next((a for a, words in AGGREGATE_WORDS.items() if any(w in low for w in words)), None)
+    aggregate = next((a for a, words in AGGREGATE_WORDS.items() if any(re.search(rf"\b{w}\b", low) if w.isascii() else w in low for w in words)), None)
     top = _TOP.search(question)
     return {"aggregate": aggregate, "limit": int(top[1]) if top else None, "tables": tables, "columns": {t: [c for c in columns[t] if named(c)] for t in tables}}
 

@@ -194,7 +194,11 @@ def read_jdbc(spark: SparkSession, url: str, table: str, filters: Mapping[str, o
 
 def read_kafka(spark: SparkSession, servers: str, topics: str) -> DataFrame:
     """Topics as a stream of events; a value that is no JSON object becomes {"value": it}; ids are topic-partition-offset."""
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topics).option("startingOffsets", "latest").load()
+    return kafka_events(spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topics).option("startingOffsets", "latest").load())
+
+
+def kafka_events(raw: DataFrame) -> DataFrame:
+    """Events of Kafka's rows (topic, partition, offset, timestamp, key, value), a stream's or a table's."""
     text = F.col("value").cast("string")
     payload = F.coalesce(F.from_json(text, "map<string,string>"), F.create_map(F.lit("value"), text))
     return raw.select(F.concat_ws("-", "topic", "partition", "offset").alias("event_id"), F.col("topic").alias("source"), "timestamp", payload.alias("payload"), F.col("key").cast("string").alias("partition_key"))
@@ -204,3 +208,32 @@ def stream_parquet(spark: SparkSession, path: str, schema=None, max_files: int =
     """Files of a folder as a stream, as tests and replays use it."""
     schema = schema or spark.read.parquet(path).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+
+
+def instances(df: DataFrame, filters: Mapping[str, object] | None = None, order: Iterable[str] = (), limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Rows of a table by equality filters, a page of them if asked; filters go down to the source, pages need an order."""
+    for column, value in (filters or {}).items():
+        df = df.where(F.col(column) == value)
+    if (limit is not None or offset) and not list(order):
+        raise ValueError("a page needs an order")
+    df = df.orderBy(*order) if list(order) else df
+    df = df.offset(offset) if offset else df
+    return df.limit(limit) if limit is not None else df
+
+
+def find_table(spark: SparkSession, folder: str, name: str, suffixes: tuple[str, ...] = ("csv", "json", "parquet")) -> DataFrame:
+    """The table of a name anywhere below a folder; the first path in order if there are several."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    queue, found = [root], []
+    while queue:
+        for s in files.listStatus(queue.pop()):
+            stem, _, suffix = s.getPath().getName().rpartition(".")
+            if stem == name and suffix in suffixes:
+                found.append(s.getPath().toString())
+            elif s.isDirectory():
+                queue.append(s.getPath())
+    if not found:
+        raise KeyError(f"no table {name} below {folder}")
+    return read_file(spark, min(found))

@@ -69,3 +69,33 @@ def webhook(url: str, timeout: float = 10.0) -> Callable[[DataFrame, int], None]
             urllib.request.urlopen(urllib.request.Request(url, line.encode(), {"Content-Type": "application/json"}), timeout=timeout)
 
     return post
+
+
+class UpsertSink:
+    """A table in a folder that micro-batches are merged into by key. Each batch writes a version named by its number, so a
+    batch that runs again after a failure writes the same version, and readers see whole versions only."""
+
+    def __init__(self, spark, path: str, key: list[str], order: list[str]):
+        self.spark, self.path, self.key, self.order, self.version = spark, path.rstrip("/"), key, order, None
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        place = F.struct(*self.order)
+        rest = [c for c in batch.columns if c not in self.key]
+        last = batch.groupBy(*self.key).agg(F.max_by(F.struct(*rest), place).alias("_r")).select(*self.key, "_r.*")
+        known = self.table()
+        (last if known is None else upsert(known, last, self.key)).write.mode("overwrite").parquet(f"{self.path}/v{number}")
+        self.version = number
+
+    def table(self) -> DataFrame | None:
+        return None if self.version is None else self.spark.read.parquet(f"{self.path}/v{self.version}")
+
+
+def markdown(title: str, sections: Mapping[str, DataFrame], rows: int = 20) -> list[str]:
+    """Lines of a report: a table for each section, its first rows only (a report is to be read)."""
+    out = [f"# {title}"]
+    for name, df in sections.items():
+        shown = df.limit(rows + 1).collect()
+        out += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+        out += ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in shown[:rows]]
+        out += ["", f"(first {rows} rows)"] if len(shown) > rows else []
+    return out

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.scalars import wildcard
+
 #: Comparison of a threshold trigger.
 COMPARE = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b}
 
@@ -138,3 +140,52 @@ def run_to_end(stream: DataFrame, name: str, checkpoint: str, mode: str = "appen
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def expired(windows: DataFrame, now: Column) -> DataFrame:
+    """Windows that have ended by a time: what a watermark at that time would close."""
+    return windows.where(F.col("end") <= now)
+
+
+def rolling_iqr(events: DataFrame, key: str = "user_id", order: list[str] = ("ts", "event_id"), value: str = "value", last: int = 100, least: int = 10, k: float = 1.5) -> DataFrame:
+    """Values outside the quartile fences of the last values of their key, themselves included; a window holds at most last values."""
+    near = Window.partitionBy(key).orderBy(*order).rowsBetween(-(last - 1), 0)
+    rows = events.where(F.col(value).isNotNull())
+    t = rows.select("event_id", key, value, F.count(value).over(near).alias("_n"), F.percentile(value, 0.25).over(near).alias("_a"), F.percentile(value, 0.75).over(near).alias("_b"))
+    reach = k * (F.col("_b") - F.col("_a"))
+    return t.where((F.col("_n") >= least) & ((F.col(value) < F.col("_a") - reach) | (F.col(value) > F.col("_b") + reach))).select("event_id", key, value)
+
+
+class EventBus:
+    """Subscriptions by name pattern (* is one dotted segment, alone it is everything), priority and condition."""
+
+    def __init__(self):
+        self.subscriptions: list[tuple[str, str, int, Column | None]] = []
+
+    def subscribe(self, name: str, pattern: str, priority: int = 0, condition: Column | None = None) -> EventBus:
+        self.subscriptions.append((name, pattern, priority, condition))
+        return self
+
+    def dispatch(self, events: DataFrame, key: str = "event_id", kind: str = "event_type") -> DataFrame:
+        """(key, subscriber, place): who gets an event, the highest priority first, then by name."""
+        cells = []
+        for name, pattern, _, condition in sorted(self.subscriptions, key=lambda s: (-s[2], s[0])):
+            hit = F.col(kind).rlike(wildcard(pattern))
+            cells.append(F.when(hit if condition is None else hit & condition, F.lit(name)))
+        found = events.select(key, F.posexplode(F.array_compact(F.array(*cells))).alias("place", "subscriber"))
+        return found.select(key, "subscriber", (F.col("place") + 1).alias("place"))
+
+
+def engine(events: DataFrame, rules: dict[str, Column], kpis: DataFrame, size: str = "5 minutes", limit: float = 2.0) -> dict[str, DataFrame]:
+    """One query for each concern on a shared source: anomalies, windows, rules that fire, KPIs that are violated."""
+    return {
+        "anomaly": rolling_anomalies(events, limit=limit),
+        "window": tumbling(events, size),
+        "rule": fired(events, rules),
+        "kpi": kpi_violations(events.select("event_id", F.col("event_type").alias("name"), "value"), kpis),
+    }
+
+
+def run_batches(stream: DataFrame, handler, checkpoint: str) -> None:
+    """Hands what a stream holds to a handler (batch, batch id), micro-batch by micro-batch, until nothing is left."""
+    stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
