@@ -242,7 +242,7 @@ def _products(spark, sf_dir):
 
 @register("er_04_resolve")
 def resolved(spark, sf_dir):
-    return E.resolve(_products(spark, sf_dir), "id", "name", [], 0.98, 0.7)
+    return E.resolve(_products(spark, sf_dir), "id", "name", [], 0.98, 0.85)
 
 
 @register("er_08_clusters", "SELECT min(p_partkey) AS cluster, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY lower(p_name || ' ' || p_brand || ' ' || p_type) HAVING count(*) > 1")
