@@ -314,7 +314,9 @@ def verified(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]
 
 
 SKETCH_WORDS = 4  # of 64 bits
-_RANGES = 64  # in which the slots of shingles are counted
+_RANGES = 64  # in which the slots of shingles are counted, at least
+_COUNTED = 1 << 21  # shingles that a task counts before it hands them on
+_FULL = np.uint64(1 << 31)  # counts stop here
 
 
 def shingle_levels(texts: DataFrame, shingle: int) -> tuple[np.ndarray, int]:
@@ -325,30 +327,58 @@ def shingle_levels(texts: DataFrame, shingle: int) -> tuple[np.ndarray, int]:
     """
     words = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     slots = min(bitmaps.bits_for(words, 1), bitmaps.MAX_BITS // 2)
-    shift, width = np.uint64(64 - (slots.bit_length() - 1)), slots // _RANGES
+    # A range gets some million shingles, however many there are in all; a common one comes once from a task's count.
+    ranges = _RANGES
+    while ranges < slots // 1024 and ranges << 22 < words:
+        ranges *= 2
+    shift, width = np.uint64(64 - (slots.bit_length() - 1)), slots // ranges
     levels = [2, 8 + 2 * words // slots, 64 + 2 * words // slots]
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counts(held: list[np.ndarray]) -> pa.RecordBatch:
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            ends = np.searchsorted(at, np.arange(1, ranges + 1) * width)
+            rows = []
+            for k in np.nonzero(np.diff(ends, prepend=0))[0].tolist():
+                part = slice(ends[k - 1] if k else 0, ends[k])
+                once = n[part] == 1
+                rows.append((k, at[part][once].tobytes(), np.concatenate([at[part][~once], n[part][~once].astype(np.uint32)]).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["range", "once", "several"])
+
+        held, size = [], 0
         for batch in batches:
             found = [shingle_hashes(t, shingle) for t in batch.column(0).to_pylist()]
             at = np.concatenate([np.zeros(0, np.int64), *(np.array(x, np.int64) for x in found)]).view(np.uint64) >> shift
-            at = np.sort(at.astype(np.uint32))
-            ends = np.searchsorted(at, np.arange(1, _RANGES + 1) * width)
-            parts = [(k, part.tobytes()) for k, part in enumerate(np.split(at, ends[:-1])) if len(part)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], ["range", "slots"])
+            held.append(at.astype(np.uint32))
+            size += len(at)
+            if size >= _COUNTED:
+                yield counts(held)
+                held, size = [], 0
+        if held:
+            yield counts(held)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        def done() -> pa.RecordBatch:
+            planes = b"".join(np.packbits(total >= least, bitorder="little").tobytes() for least in levels)
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([planes], pa.binary())], ["range", "bits"])
+
+        key, total = None, np.zeros(0, np.uint64)
         for batch in batches:
-            for k, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                counts = held.setdefault(k, np.zeros(width, np.uint32))
-                at, n = np.unique(np.frombuffer(part.as_buffer(), np.uint32) - np.uint32(k * width), return_counts=True)
-                counts[at] += n.astype(np.uint32)
-        for k, counts in held.items():
-            planes = b"".join(np.packbits(counts >= least, bitorder="little").tobytes() for least in levels)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([planes], pa.binary())], ["range", "bits"])
-
-    rows = texts.select("text").mapInArrow(placed, "range long, slots binary").repartition("range").mapInArrow(counted, "range long, bits binary")
+            for k, once, several in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if k != key:
+                    if key is not None:
+                        yield done()
+                    key, total = k, np.zeros(width, np.uint64)
+                at = np.frombuffer(once.as_buffer(), np.uint32) - np.uint32(k * width)
+                total[at] += np.uint64(1)
+                at, n = np.frombuffer(several.as_buffer(), np.uint32).reshape(2, -1)
+                at = at - np.uint32(k * width)
+                total[at] = np.minimum(total[at] + n, _FULL)
+        if key is not None:
+            yield done()
+
+    rows = texts.select("text").mapInArrow(placed, "range long, once binary, several binary")
+    rows = rows.repartition("range").sortWithinPartitions("range").mapInArrow(counted, "range long, bits binary")
     bitmap = np.zeros((len(levels), slots // 8), np.uint8)
     for k, bits in rows.toLocalIterator():
         bitmap[:, k * width // 8 : (k + 1) * width // 8] = np.frombuffer(bits, np.uint8).reshape(len(levels), -1)

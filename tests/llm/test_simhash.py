@@ -180,3 +180,21 @@ def test_no_near_copy_is_missed_whatever_the_edit(spark, monkeypatch, limit, slo
         root[max(x, y)] = min(x, y)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.doc_id for r in simhash.keep_one(df, bucket_limit=limit).collect()} == {i for i in root if find(i) == i}
+
+
+def test_levels_count_every_shingle(spark, monkeypatch):
+    """Common and rare shingles, counted in small parts and many ranges: levels are those of a plain count by slot."""
+    rng = random.Random(12)
+    texts = [" ".join(["the", "same", "opening", "line", "here"] + [rng.choice("abcdefgh") + str(rng.randint(0, 30)) for _ in range(rng.randint(0, 60))]) for _ in range(300)] + ["", None]
+    df = spark.createDataFrame([(t.encode() if t is not None else None,) for t in texts], "text binary").repartition(3)
+    for counted, ranges in ((1 << 21, 64), (50, 256)):
+        monkeypatch.setattr(simhash, "_COUNTED", counted)
+        monkeypatch.setattr(simhash, "_RANGES", ranges)
+        bitmap, slots = simhash.shingle_levels(df, 5)
+        words = sum(len((t or "").encode()) for t in texts) // 6
+        counts = np.zeros(slots, int)
+        for t in texts:
+            hashes = np.array(simhash.shingle_hashes((t or "").encode(), 5), np.int64).view(np.uint64)
+            np.add.at(counts, (hashes >> np.uint64(64 - (slots.bit_length() - 1))).astype(int), 1)
+        for plane, least in zip(bitmap, (2, 8 + 2 * words // slots, 64 + 2 * words // slots), strict=True):
+            assert (np.unpackbits(plane, bitorder="little").astype(bool) == (counts >= least)).all()
