@@ -315,6 +315,7 @@ def verified(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]
 
 SKETCH_WORDS = 4  # of 64 bits
 _RANGES = 64  # in which the slots of shingles are counted, at least
+_RANGE = 1 << 18  # shingles of a range, about
 _COUNTED = 1 << 21  # shingles that a task counts before it hands them on
 _FULL = np.uint64(1 << 31)  # counts stop here
 
@@ -327,9 +328,10 @@ def shingle_levels(texts: DataFrame, shingle: int) -> tuple[np.ndarray, int]:
     """
     words = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     slots = min(bitmaps.bits_for(words, 1), bitmaps.MAX_BITS // 2)
-    # A range gets some million shingles, however many there are in all; a common one comes once from a task's count.
+    # A range gets a few hundred thousand shingles, however many there are in all, so tasks have many ranges of like size;
+    # a common one comes once from a task's count.
     ranges = _RANGES
-    while ranges < slots // 1024 and ranges << 22 < words:
+    while ranges < slots // 4096 and ranges * _RANGE < words:
         ranges *= 2
     shift, width = np.uint64(64 - (slots.bit_length() - 1)), slots // ranges
     levels = [2, 8 + 2 * words // slots, 64 + 2 * words // slots]
