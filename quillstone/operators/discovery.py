@@ -5,7 +5,7 @@ Names, of which there are few, are handled on the driver; everything about value
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -160,6 +160,27 @@ def false_positive(a: str, b: str) -> str | None:
     return kinds[0] if kinds else None
 
 
+def judged(found: DataFrame, judge: Callable[[dict], tuple[str, float]] | None = None) -> DataFrame:
+    """Foreign keys that were found, with (verdict, confidence) of a judge, a callable that is given a row.
+
+    Keys that their columns' kinds rule out are rejected without asking. Without a judge, values and names decide:
+    strong from an inclusion of .9 and names of .8 on, weak from an inclusion of .7 on, else none. A key is a row here,
+    so there are few.
+    """
+
+    def plain(row: dict) -> tuple[str, float]:
+        names = naming.name_similarity(row["from_column"], row["to_column"], row["to_table"])
+        if row["inclusion"] >= 0.9 and names >= 0.8:
+            return "strong", min(0.9, row["score"])
+        return ("weak", min(0.7, row["score"])) if row["inclusion"] >= 0.7 else ("none", row["score"])
+
+    rows = []
+    for r in found.select(*EVIDENCE, "inclusion", "score").collect():
+        out = ("rejected", 0.95) if false_positive(r.from_column, r.to_column) else (judge or plain)(r.asDict())
+        rows.append((*r[:4], out[0], float(out[1])))
+    return found.sparkSession.createDataFrame(rows, ", ".join(f"{c} string" for c in EVIDENCE) + ", verdict string, confidence double")
+
+
 def reference(column: str, tables: Iterable[str]) -> tuple[str, str] | None:
     """(table, kind) that a column's words refer to: the last word that names a table; kind by a verb, a parent word or plain."""
     words, stems = naming.parts(column), {naming.singular(naming.snake(t)): t for t in tables}

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.storage import materialize
+
 
 def transitions(events: DataFrame, case: str, step: str, order: list[str]) -> DataFrame:
     """(source, target, n, seconds): which step follows which within a case, how often and after how long on average."""
@@ -130,6 +133,50 @@ class Stages:
         return df
 
 
+@dataclass
+class Task:
+    """Work on the results of other tasks; it is tried again if it fails."""
+
+    work: Callable[..., DataFrame]
+    needs: tuple[str, ...] = ()
+    retries: int = 0
+
+
+def run_tasks(tasks: Mapping[str, Task], together: int = 10) -> tuple[dict[str, DataFrame], list[tuple[str, int, int, str]]]:
+    """Results of tasks, each given the results it needs in that order, and a log (task, layer, attempts, state).
+
+    Tasks of a layer run together, as many as ``together`` at once; their results are written, so nothing runs twice. What
+    needs a task that failed is skipped, all else goes on.
+    """
+    found: dict[str, DataFrame] = {}
+    log: list[tuple[str, int, int, str]] = []
+
+    def attempt(name: str) -> tuple[DataFrame | None, int, str]:
+        task = tasks[name]
+        if any(n not in found for n in task.needs):
+            return None, 0, "skipped"
+        for k in range(1, task.retries + 2):
+            try:
+                return materialize(task.work(*(found[n] for n in task.needs)), "task"), k, "done"
+            except Exception as why:  # the log tells what a task met
+                state = "failed: " + str(why).splitlines()[0]
+        return None, task.retries + 1, state
+
+    for place, names in enumerate(layers({name: list(task.needs) for name, task in tasks.items()})):
+        with ThreadPoolExecutor(together) as pool:
+            made = list(pool.map(attempt, names))
+        for name, (df, attempts, state) in zip(names, made, strict=True):
+            log.append((name, place, attempts, state))
+            if df is not None:
+                found[name] = df
+    return found, log
+
+
+def report(found: Mapping[str, DataFrame]) -> DataFrame:
+    """(finding, n): how many rows each task left."""
+    return reduce(DataFrame.unionByName, (df.agg(F.lit(name).alias("finding"), F.count("*").alias("n")) for name, df in found.items()))
+
+
 def gates(findings: Mapping[str, DataFrame], required: Mapping[str, Mapping[str, int]]) -> DataFrame:
     """(phase, finding, n, passed): whether each phase left at least the rows of each finding that the next needs."""
     spark = next(iter(findings.values())).sparkSession

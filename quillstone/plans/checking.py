@@ -126,7 +126,7 @@ def pairs(spark, sf_dir):
     return Q.violations(_line(spark, sf_dir), Q.Shape("line", (("l_tax", "less_than", "l_discount"),)), "l_orderkey").select("l_orderkey", "column", "constraint")
 
 
-@register("dq_27_default_shape")
+@register("dq_27_default_shape", "SELECT c AS \"column\", unnest(['min_count', 'min_inclusive']) AS \"constraint\", unnest(['1', '0']) AS value FROM (SELECT unnest(['c_custkey', 'c_nationkey']) AS c) UNION ALL SELECT 'c_name', 'min_length', '1'")
 def default(spark, sf_dir):
     found = Q.default_shape(read_table(spark, sf_dir, "customer"), "customer")
     return spark.createDataFrame([(c, n, str(v)) for c, n, v in found.constraints], "column string, constraint string, value string")
@@ -202,7 +202,7 @@ def impact(spark, sf_dir):
     return R.impact(read_table(spark, sf_dir, "part").where("p_size > 40"), {"lineitem": (_line(spark, sf_dir), "l_partkey")}, "p_partkey")
 
 
-@register("rem_15_remediate")
+@register("rem_15_remediate", "SELECT count(*) AS n, count(*) AS filled, 'missing:p_retailprice:fill_mean,missing:p_brand:fill_default' AS done FROM part")
 def remediate(spark, sf_dir):
     df, done = R.remediate(_holes(spark, sf_dir))
     return df.agg(F.count("*").alias("n"), F.count("p_retailprice").alias("filled"), F.lit(",".join(f"{k}:{c}:{s}" for k, c, s in done)).alias("done"))

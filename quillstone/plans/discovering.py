@@ -149,6 +149,16 @@ def heuristic(spark, sf_dir):
     return spark.createDataFrame(found, "column string, kind string")
 
 
+@register("fk_40_judged", f"SELECT {_ENDS}, CASE WHEN inclusion >= 0.9 THEN 'strong' ELSE 'weak' END AS verdict, least(CASE WHEN inclusion >= 0.9 THEN 0.9 ELSE 0.7 END, score)::DOUBLE AS confidence FROM ({FK_SQL})")
+def judged(spark, sf_dir):
+    return D.judged(K.foreign_keys(tables_of(spark, sf_dir)))
+
+
+@register("fk_40_asked", f"SELECT {_ENDS}, CASE WHEN to_table = 'nation' THEN 'strong' ELSE 'none' END AS verdict, 0.5::DOUBLE AS confidence FROM ({FK_SQL})")
+def asked(spark, sf_dir):
+    return D.judged(K.foreign_keys(tables_of(spark, sf_dir)), lambda row: ("strong" if row["to_table"] == "nation" else "none", 0.5))
+
+
 @register("fk_41_resolver", "SELECT unnest(['cust_id', 'buyer_id', 'main_supplier_id', 'parent_id', 'price']) AS fk, unnest([0.95, 0.85, 0.75, 0.85, 0.0]::DOUBLE[]) AS confidence, unnest(['same entity', 'synonym', 'compound', 'parent', 'no key']) AS reason")
 def resolver(spark, sf_dir):
     asked = [("cust_id", "orders", "id", "customers"), ("buyer_id", "orders", "customer_id", "customers"), ("main_supplier_id", "parts", "supplier_id", "suppliers"), ("parent_id", "parts", "part_id", "parts"), ("price", "orders", "id", "customers")]

@@ -147,6 +147,6 @@ def consolidate(spark, sf_dir):
     return I.consolidate(_found(spark, sf_dir))
 
 
-@register("agg_43_by_severity")
+@register("agg_43_by_severity", "SELECT p_brand AS \"column\", round(avg(p_retailprice), 4) AS score, CASE WHEN round(avg(p_retailprice), 4) > 1500 THEN 'high' ELSE 'low' END AS severity FROM part GROUP BY 1 ORDER BY severity, 1")
 def severity(spark, sf_dir):
     return I.by_severity(_found(spark, sf_dir).select("column", "score", F.when(F.col("score") > 1500, "high").otherwise("low").alias("severity")))

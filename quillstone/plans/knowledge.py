@@ -8,7 +8,7 @@ from quillstone.operators import graph as G
 from quillstone.operators import search
 from quillstone.operators import triples as T
 from quillstone.plans.linking import tables_of
-from quillstone.plans.objects import KEYS
+from quillstone.plans.objects import KEYS, LINKS_SQL
 from quillstone.plans.registry import register
 from quillstone.sources import writers
 from quillstone.storage import read_table
@@ -85,7 +85,7 @@ def louvain(spark, sf_dir):
     return spark.createDataFrame(sorted(G.SchemaGraph(SCHEMA_EDGES).louvain().items()), "node string, community string")
 
 
-@register("gr_13_betweenness")
+@register("gr_13_betweenness", f"WITH RECURSIVE {LINKS_SQL}, e AS (SELECT a, b FROM k UNION SELECT b, a FROM k), p AS (SELECT a, b, [a, b] AS path FROM e UNION ALL SELECT p.a, e.b, list_append(path, e.b) FROM p JOIN e ON p.b = e.a WHERE NOT list_contains(path, e.b)), s AS (SELECT * FROM p QUALIFY len(path) = min(len(path)) OVER (PARTITION BY a, b)), w AS (SELECT path, 1 / count(*) OVER (PARTITION BY a, b) AS w FROM s), n AS (SELECT unnest(path[2:len(path) - 1]) AS node, w FROM w) SELECT t.node, coalesce(sum(w) / 2, 0)::DOUBLE AS score FROM (SELECT DISTINCT a AS node FROM e) AS t LEFT JOIN n USING (node) GROUP BY 1")
 def betweenness(spark, sf_dir):
     return spark.createDataFrame(sorted(G.SchemaGraph(SCHEMA_EDGES).betweenness().items()), "node string, score double")
 
@@ -303,7 +303,7 @@ def ntriples(spark, sf_dir):
     return writers.ntriples(T.of_rows(read_table(spark, sf_dir, "region"), "r_regionkey", "region", {"r_name": "ex:name"}).where("predicate = 'ex:name'"), _PREFIXES)
 
 
-@register("src_24_turtle")
+@register("src_24_turtle", "SELECT 0 AS part, unnest(['@prefix ex: <http://example.org/> .', '@prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .']) AS value UNION ALL SELECT 1, unnest(['ex:region/' || r_regionkey || ' rdf:type ex:region .', 'ex:region/' || r_regionkey || ' name \"' || r_name || '\" .']) FROM region")
 def turtle(spark, sf_dir):
     return writers.turtle(row_facts(spark, sf_dir), _PREFIXES)
 

@@ -134,7 +134,7 @@ def validation(spark, sf_dir):
     return found.select("jaccard", F.col("b_in_a").alias("containment"))
 
 
-@register("fk_25_composite_foreign_key")
+@register("fk_25_composite_foreign_key", "WITH p AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), m AS (SELECT count(*) AS n, count(q.l_partkey) AS found FROM p LEFT JOIN p AS q USING (l_partkey, l_suppkey)), u AS (SELECT count(DISTINCT (l_partkey, l_suppkey)) / count(*) AS u FROM p) SELECT n, found, round(found / n, 6) AS inclusion, round(u, 6) AS uniqueness, round(0.5 * found / n + 0.3 * u + 0.2, 6) AS score FROM m, u")
 def composite_fk(spark, sf_dir):
     line = read_table(spark, sf_dir, "lineitem")
     pairs = line.select("l_partkey", "l_suppkey").distinct()
@@ -169,7 +169,7 @@ def hierarchy(spark, sf_dir):
     return K.hierarchy(spark, _tree(spark, sf_dir), "node_id", "parent_id")
 
 
-@register("fk_29_temporal")
+@register("fk_29_temporal", "SELECT unnest(['price_history', 'stock_snapshot', 'users']) AS \"table\", unnest(['type2', 'snapshot', 'type3']) AS kind")
 def temporal(spark, sf_dir):
     shapes = {"price_history": ["id", "valid_from", "valid_to"], "stock_snapshot": ["sku", "snapshot_date"], "users": ["id", "previous_email"]}
     return spark.createDataFrame([(t, naming.temporal_kind(c)) for t, c in shapes.items()], "table string, kind string")

@@ -20,6 +20,8 @@ KEYS = [
 ]
 PRIMARY = {"orders": "o_orderkey", "customer": "c_custkey", "nation": "n_nationkey", "region": "r_regionkey", "supplier": "s_suppkey", "part": "p_partkey", "lineitem": "l_orderkey"}
 STAR = tuple(PRIMARY)
+#: The links as a common table expression k(a, b, via), for SQL that walks them.
+LINKS_SQL = "k(a, b, via) AS (VALUES " + ", ".join(f"('{k.from_table}', '{k.to_table}', '{k.from_table}.{k.from_column}')" for k in KEYS) + ")"
 
 
 def star(spark, sf_dir) -> ObjectTypes:
@@ -120,7 +122,7 @@ def bind(spark, sf_dir):
     return S.SqlRunner(spark).execute("SELECT n_name FROM nation WHERE n_regionkey = ?", [2])
 
 
-@register("sql_03_validate")
+@register("sql_03_validate", "SELECT unnest(['SELECT * FROM orders JOIN customer ON o_custkey = c_custkey', 'SELECT nothing FROM orders', 'SELEC 1']) AS sql, unnest([true, false, false]) AS valid, unnest(['customer,orders', '', '']) AS tables")
 def validate(spark, sf_dir):
     views(spark, sf_dir)
     runner = S.SqlRunner(spark)
@@ -128,7 +130,7 @@ def validate(spark, sf_dir):
     return spark.createDataFrame([(k, r["valid"], ",".join(r["tables"])) for k, r in ((t, runner.validate(t)) for t in tests)], "sql string, valid boolean, tables string")
 
 
-@register("sql_04_preview")
+@register("sql_04_preview", "SELECT * FROM region ORDER BY r_regionkey LIMIT 5")
 def preview(spark, sf_dir):
     views(spark, sf_dir)
     return S.SqlRunner(spark).preview("region")
@@ -153,7 +155,7 @@ def connect(spark, sf_dir):
     return S.join_along(tables, "part", S.JoinPaths(KEYS).connect(["part", "supplier"])).where("p_size = 1").groupBy("p_brand", "s_name").agg(F.count("*").alias("n"))
 
 
-@register("sql_11_all_paths")
+@register("sql_11_all_paths", f"WITH RECURSIVE {LINKS_SQL}, e AS (SELECT a, b, via FROM k UNION SELECT b, a, via FROM k), p AS (SELECT a, b, [a, b] AS seen, via AS path, 1 AS hops FROM e WHERE a = 'orders' UNION ALL SELECT p.a, e.b, list_append(seen, e.b), path || ' > ' || via, hops + 1 FROM p JOIN e ON p.b = e.a WHERE NOT list_contains(seen, e.b) AND hops < 4) SELECT hops, path FROM p WHERE b = 'nation'")
 def all_paths(spark, sf_dir):
     paths = S.JoinPaths(KEYS).all("orders", "nation", 4)
     return spark.createDataFrame([(len(p), " > ".join(f"{k.from_table}.{k.from_column}" for k in p)) for p in paths], "hops int, path string")
@@ -171,7 +173,7 @@ def join_clause(spark, sf_dir):
     return spark.sql("SELECT count(*) AS n FROM " + S.join_sql("nation", S.JoinPaths(KEYS).find("nation", "region")))
 
 
-@register("sql_14_related")
+@register("sql_14_related", f"WITH {LINKS_SQL} SELECT a AS \"table\", b AS related FROM k UNION SELECT b, a FROM k")
 def related(spark, sf_dir):
     paths = S.JoinPaths(KEYS)
     return spark.createDataFrame([(t, r) for t in STAR for r in paths.related(t)], "table string, related string")

@@ -24,14 +24,14 @@ def column_profile(spark, sf_dir):
     return P.profile(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
 
 
-@register("agg_03_table_analysis")
+@register("agg_03_table_analysis", "SELECT round((1 - 0.3 * (k < 0.95)::INT + 1 - 0.3 * (n < 0.95)::INT + 3) / 5, 6) AS score, '3NF' AS form, 5 AS n_columns FROM (SELECT count(DISTINCT c_custkey) / count(c_custkey) AS k, count(DISTINCT c_nationkey) / count(c_nationkey) AS n FROM customer)")
 def analysis(spark, sf_dir):
     df = read_table(spark, sf_dir, "customer")
     keys = P.key_candidates(df)
     return P.quality_score(df).withColumn("form", F.lit(P.normal_form(df, keys))).withColumn("n_columns", F.lit(len(df.columns)))
 
 
-@register("agg_04_type_inference")
+@register("agg_04_type_inference", "SELECT unnest(['event_type', 'props']) AS \"column\", 'string' AS inferred, unnest(['status', NULL]) AS meaning")
 def inference(spark, sf_dir):
     return P.inferred(read_table(spark, sf_dir, "events"))
 

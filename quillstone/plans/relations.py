@@ -44,7 +44,7 @@ def boolean_columns(spark, sf_dir):
     return row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("b")) for c in df.columns))).alias("x")).where("x.b").select("x.column")
 
 
-@register("agg_24_segment_driver")
+@register("agg_24_segment_driver", "WITH g AS (SELECT o_orderstatus AS category, avg(o_totalprice) AS m FROM orders GROUP BY 1 HAVING count(*) >= 10) SELECT 'o_totalprice' AS metric, count(*) AS groups, arg_max(category, m) AS best, arg_min(category, m) AS worst, round(max(m), 4) AS hi, round(min(m), 4) AS lo, round(max(m) / min(m), 4) AS ratio, CASE WHEN max(m) / min(m) >= 2 THEN 'significant' WHEN max(m) / min(m) < 1.2 THEN 'no_effect' ELSE 'moderate' END AS effect FROM g")
 def segment_driver(spark, sf_dir):
     df = orders(spark, sf_dir)
     return I.segment_gaps(df, P.categorical_columns(df)[0], ["o_totalprice"])
@@ -124,7 +124,7 @@ def groups(spark, sf_dir):
     return spark.createDataFrame([(k, len(v)) for k, v in found.items()], "prefix string, n int")
 
 
-@register("fk_24_column_match")
+@register("fk_24_column_match", "SELECT 'o_custkey' AS a, 'c_custkey' AS b, 1.0::DOUBLE AS score")
 def column_match(spark, sf_dir):
     t = tables_of(spark, sf_dir, ("orders", "customer"))
     return spark.createDataFrame(E.column_matches(t["orders"].columns, t["customer"].columns, 0.4), "a string, b string, score double")
@@ -135,7 +135,7 @@ def integrated(spark, sf_dir):
     return R.integrated_keys(tables_of(spark, sf_dir)).select("kind", "source", "target")
 
 
-@register("fk_42_likely_columns")
+@register("fk_42_likely_columns", "SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderdate', 'o_orderpriority']) AS \"column\"")
 def likely(spark, sf_dir):
     return R.likely_key_columns(orders(spark, sf_dir))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.operators import fusion as U
+from quillstone.operators import keys as K
+from quillstone.operators import overlap as O
 from quillstone.operators import process as C
 from quillstone.operators import remediate as R
 from quillstone.operators import triples as T
@@ -13,7 +15,7 @@ from quillstone.operators.objects import OPERATORS, ObjectTypes
 from quillstone.plans import sql as S
 from quillstone.plans.changing import _DIFF, _KEY, _new, _old
 from quillstone.plans.knowledge import _facts
-from quillstone.plans.linking import tables_of
+from quillstone.plans.linking import FK_SQL, tables_of
 from quillstone.plans.objects import STAR, star
 from quillstone.plans.registry import register
 from quillstone.sources import readers, writers
@@ -481,6 +483,57 @@ def stages(spark, sf_dir):
     return df.agg(F.count("*").alias("n"), F.lit(",".join(seen)).alias("hooks"))
 
 
+@register("src_14_context", "SELECT 'nation' AS \"table\", true AS loaded, count(*) AS n FROM nation UNION ALL SELECT 'places', true, count(*) FROM region UNION ALL SELECT 'lost', false, 0")
+def context(spark, sf_dir):
+    catalog = readers.Catalog(spark)
+    done = catalog.load_each({"nation": f"{sf_dir}/nation.parquet", "lost": f"{sf_dir}/lost.parquet", "places": region(spark, sf_dir)})
+    rows = [spark.sql(f"SELECT '{t}' AS `table`, true AS loaded, count(*) AS n FROM {t}" if why is None else f"SELECT '{t}' AS `table`, false AS loaded, 0L AS n") for t, why in done]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+def _discovery(spark, sf_dir):
+    """What the platform finds out of tables: their columns, keys, and rows whose keys lead nowhere."""
+    tables = tables_of(spark, sf_dir)
+    columns = spark.createDataFrame([(t, c, k) for t, df in tables.items() for c, k in df.dtypes], "table string, column string, kind string")
+    return {
+        "report": C.Task(lambda keys, kept: keys.select("from_table").union(kept.select(F.lit("orders"))), ("keys", "orphans")),
+        "columns": C.Task(lambda: columns),
+        "keys": C.Task(lambda columns: K.foreign_keys({r.table: tables[r.table] for r in columns.select("table").distinct().collect()}), ("columns",), 1),
+        "orphans": C.Task(lambda keys: O.orphans(tables["orders"], "o_custkey", tables["customer"], "c_custkey"), ("keys",)),
+    }
+
+
+_ORPHANS = "(SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))"
+
+
+@register("ctl_01_platform", f"SELECT 'columns' AS finding, (SELECT count(*) FROM information_schema.columns WHERE table_name IN {STAR}) AS n UNION ALL SELECT 'keys', (SELECT count(*) FROM ({FK_SQL})) UNION ALL SELECT 'orphans', {_ORPHANS} UNION ALL SELECT 'report', (SELECT count(*) FROM ({FK_SQL})) + {_ORPHANS}")
+def platform(spark, sf_dir):
+    found, _ = C.run_tasks(_discovery(spark, sf_dir))
+    return C.report(found)
+
+
+@register("ctl_03_orchestrated", "SELECT unnest(['load', 'count', 'broken', 'after', 'shaky']) AS task, unnest([0, 1, 1, 2, 0]) AS layer, unnest([1, 1, 2, 0, 2]) AS attempts, unnest(['done', 'done', 'failed', 'skipped', 'done']) AS state")
+def orchestrated(spark, sf_dir):
+    """One task fails for good, one at first only; what needs the former is skipped."""
+    tried = []
+
+    def shaky():
+        tried.append(1)
+        if len(tried) == 1:
+            raise OSError("not yet")
+        return nation(spark, sf_dir)
+
+    tasks = {
+        "load": C.Task(lambda: orders(spark, sf_dir)),
+        "count": C.Task(lambda df: df.groupBy("o_orderstatus").count(), ("load",)),
+        "broken": C.Task(lambda df: df.select("nothing"), ("load",), 1),
+        "after": C.Task(lambda df: df, ("broken",)),
+        "shaky": C.Task(shaky, (), 1),
+    }
+    _, log = C.run_tasks(tasks)
+    return spark.createDataFrame([(t, k, n, s.split(":")[0]) for t, k, n, s in log], "task string, layer int, attempts int, state string")
+
+
 _NEEDS = {"load": [], "profile": ["load"], "keys": ["load"], "repair": ["profile"], "report": ["keys", "repair"]}
 
 

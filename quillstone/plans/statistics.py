@@ -80,7 +80,7 @@ def effects(spark, sf_dir):
     return S.treatment_effects(line(spark, sf_dir), F.col("l_discount") > 0.05, "l_extendedprice", [F.col("l_quantity"), F.col("l_tax")])
 
 
-@register("stat_14_conditional_effects")
+@register("stat_14_conditional_effects", "WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) FILTER (l_discount > 0.05) - regr_slope(l_extendedprice, l_quantity) FILTER (l_discount <= 0.05) AS s, regr_intercept(l_extendedprice, l_quantity) FILTER (l_discount > 0.05) - regr_intercept(l_extendedprice, l_quantity) FILTER (l_discount <= 0.05) AS i FROM lineitem) SELECT l_returnflag, round(avg(i + s * l_quantity), 4) AS effect FROM lineitem, m GROUP BY 1")
 def cate(spark, sf_dir):
     rows = line(spark, sf_dir)
     effect = S.conditional_effects(rows, F.col("l_discount") > 0.05, "l_extendedprice", [F.col("l_quantity")])
@@ -102,9 +102,11 @@ def granger(spark, sf_dir):
     return S.granger(daily, "k", "n", "v")
 
 
-@register("stat_17_causal_skeleton")
+@register("stat_17_causal_skeleton", "SELECT unnest(['l_extendedprice', 'l_discount']) AS a, 'net' AS b")
 def skeleton(spark, sf_dir):
-    return spark.createDataFrame(S.causal_skeleton(line(spark, sf_dir), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]) or [("", "")], "a string, b string").where("a <> ''")
+    """Prices and discounts are drawn apart and make the net price; taxes have no part in it."""
+    rows = line(spark, sf_dir).withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return spark.createDataFrame(S.causal_skeleton(rows, ["l_extendedprice", "l_discount", "l_tax", "net"]), "a string, b string")
 
 
 @register("stat_19_kolmogorov_smirnov", "WITH a AS (SELECT o_totalprice AS v, count(*) AS p FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_totalprice AS v, count(*) AS q FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), u AS (SELECT v, coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM a FULL JOIN b USING (v)) SELECT round(max(abs(cp / np - cq / nq)), 6) AS ks FROM (SELECT sum(p) OVER (ORDER BY v) AS cp, sum(q) OVER (ORDER BY v) AS cq, sum(p) OVER () AS np, sum(q) OVER () AS nq FROM u)")
@@ -181,7 +183,7 @@ def acf(spark, sf_dir):
     return T.autocorrelation(_daily(spark, sf_dir), [1, 2, 7, 24])
 
 
-@register("ts_03_seasonality")
+@register("ts_03_seasonality", _DAYS + _ACF.replace("[1, 2, 7, 24]", "range(1, 31)") + ", p AS (SELECT lag AS k, round(x, 6) AS r, lag(round(x, 6)) OVER (ORDER BY c.lag) AS before, lead(round(x, 6)) OVER (ORDER BY c.lag) AS after FROM c) SELECT 'all' AS series, k::INTEGER AS period, r FROM p WHERE k >= 2 AND r > before AND r >= after AND r > 0.01 ORDER BY r DESC, k LIMIT 1")
 def seasonality(spark, sf_dir):
     return T.seasonality(_daily(spark, sf_dir), 30, 0.01)
 

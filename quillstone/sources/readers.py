@@ -140,6 +140,17 @@ class Catalog:
             self.add(name, df)
         return self
 
+    def load_each(self, sources: Mapping[str, DataFrame | str]) -> list[tuple[str, str | None]]:
+        """Adds tables, or files by their paths; (name, error) of each in order. A source that fails stops no other one."""
+        out: list[tuple[str, str | None]] = []
+        for name, source in sources.items():
+            try:
+                self.add(name, read_file(self.spark, source) if isinstance(source, str) else source)
+                out.append((name, None))
+            except Exception as why:  # whatever a reader meets is the source's finding
+                out.append((name, str(why).splitlines()[0]))
+        return out
+
     def load_file(self, path: str) -> DataFrame:
         stem = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
         return self.add(stem, read_file(self.spark, path))
