@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import bitmaps
 from quillstone.llm.components import components
-from quillstone.storage import materialize, read_table, ship
+from quillstone.storage import materialize, read_table, release, ship
 
 SEGMENTS = (22, 21, 21)
 GOLAY = 0b110001110101  # generator polynomial of the [23, 12, 7] code
@@ -329,8 +329,8 @@ def shingle_levels(texts: DataFrame, shingle: int) -> tuple[np.ndarray, int]:
     words = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     slots = min(bitmaps.bits_for(words, 1), bitmaps.MAX_BITS // 2)
     # A range gets a few hundred thousand shingles, however many there are in all, so tasks have many ranges of like size;
-    # a common one comes once from a task's count.
-    ranges = _RANGES
+    # a common one comes once from a task's count. A place within a range fits in two bytes.
+    ranges = max(_RANGES, slots >> 16)
     while ranges < slots // 4096 and ranges * _RANGE < words:
         ranges *= 2
     shift, width = np.uint64(64 - (slots.bit_length() - 1)), slots // ranges
@@ -339,12 +339,14 @@ def shingle_levels(texts: DataFrame, shingle: int) -> tuple[np.ndarray, int]:
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counts(held: list[np.ndarray]) -> pa.RecordBatch:
             at, n = np.unique(np.concatenate(held), return_counts=True)
-            ends = np.searchsorted(at, np.arange(1, ranges + 1) * width)
+            once, several, times = at[n == 1], at[n > 1], n[n > 1].astype(np.uint32)
+            edges = np.arange(ranges + 1) * width
+            a, b = np.searchsorted(once, edges), np.searchsorted(several, edges)
+            once, several = ((x % np.uint32(width)).astype(np.uint16) for x in (once, several))
             rows = []
-            for k in np.nonzero(np.diff(ends, prepend=0))[0].tolist():
-                part = slice(ends[k - 1] if k else 0, ends[k])
-                once = n[part] == 1
-                rows.append((k, at[part][once].tobytes(), np.concatenate([at[part][~once], n[part][~once].astype(np.uint32)]).tobytes()))
+            for k in np.nonzero((np.diff(a) > 0) | (np.diff(b) > 0))[0].tolist():
+                part = slice(b[k], b[k + 1])
+                rows.append((k, once[a[k] : a[k + 1]].tobytes(), several[part].tobytes() + times[part].tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["range", "once", "several"])
 
         held, size = [], 0
@@ -371,10 +373,9 @@ def shingle_levels(texts: DataFrame, shingle: int) -> tuple[np.ndarray, int]:
                     if key is not None:
                         yield done()
                     key, total = k, np.zeros(width, np.uint64)
-                at = np.frombuffer(once.as_buffer(), np.uint32) - np.uint32(k * width)
-                total[at] += np.uint64(1)
-                at, n = np.frombuffer(several.as_buffer(), np.uint32).reshape(2, -1)
-                at = at - np.uint32(k * width)
+                total[np.frombuffer(once.as_buffer(), np.uint16)] += np.uint64(1)
+                several = several.as_buffer()
+                at, n = np.frombuffer(several, np.uint16, several.size // 6), np.frombuffer(several, np.uint32, several.size // 6, several.size // 3)
                 total[at] = np.minimum(total[at] + n, _FULL)
         if key is not None:
             yield done()
@@ -415,6 +416,7 @@ def near_links(df: DataFrame, id_col: str, text_col: str, shingle: int, similari
     ship(df.sparkSession)
     texts = df.select(F.xxhash64(id_col, F.xxhash64(text_col)).alias("node"), F.col(text_col).cast("binary").alias("text"))
     bitmap, slots = shingle_levels(texts, shingle)
+    release(df.sparkSession)  # of the counts, before the candidates are shuffled
     shift, told = np.uint64(64 - (slots.bit_length() - 1)), df.sparkSession.sparkContext.broadcast(bitmap.tobytes())
     names, n_levels = [f"s{k}" for k in range(SKETCH_WORDS)], len(bitmap)
 
