@@ -72,18 +72,20 @@ def webhook(url: str, timeout: float = 10.0) -> Callable[[DataFrame, int], None]
 
 
 class UpsertSink:
-    """A table in a folder that micro-batches are merged into by key. Each batch writes a version named by its number, so a
-    batch that runs again after a failure writes the same version, and readers see whole versions only."""
+    """A table in a folder that micro-batches are merged into by key. Of a key's rows that with the greatest order stays,
+    whichever batch it comes in. Each batch writes a version named by its number, so a batch that runs again after a failure
+    writes the same version, and readers see whole versions only."""
 
     def __init__(self, spark, path: str, key: list[str], order: list[str]):
         self.spark, self.path, self.key, self.order, self.version = spark, path.rstrip("/"), key, order, None
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         place = F.struct(*self.order)
-        rest = [c for c in batch.columns if c not in self.key]
-        last = batch.groupBy(*self.key).agg(F.max_by(F.struct(*rest), place).alias("_r")).select(*self.key, "_r.*")
         known = self.table()
-        (last if known is None else upsert(known, last, self.key)).write.mode("overwrite").parquet(f"{self.path}/v{number}")
+        rows = batch if known is None else known.unionByName(batch, allowMissingColumns=True)
+        rest = [c for c in rows.columns if c not in self.key]
+        last = rows.groupBy(*self.key).agg(F.max_by(F.struct(*rest), place).alias("_r")).select(*self.key, "_r.*")
+        last.write.mode("overwrite").parquet(f"{self.path}/v{number}")
         self.version = number
 
     def table(self) -> DataFrame | None:

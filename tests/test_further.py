@@ -181,6 +181,16 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
         readers.find_table(spark, f"file://{tmp_path}", "nowhere")
 
 
+def test_batches_may_come_in_any_order(spark, tmp_path):
+    """src_22: files of a stream are read by their time of writing, which need not be the rows' order."""
+    batches = [[(1, 5, "new"), (2, 1, "old"), (None, 4, "n")], [(1, 3, "late"), (2, 2, "new"), (None, 2, "late")], [(1, 4, "late"), (3, 1, "x")]]
+    for order in ([0, 1, 2], [2, 1, 0], [1, 2, 0]):
+        sink = writers.UpsertSink(spark, f"file://{tmp_path}/t{order[0]}", ["k"], ["at"])
+        for number, k in enumerate(order):
+            sink(spark.createDataFrame(batches[k], "k int, at int, v string"), number)
+        assert sorted(((r.k or 0, r.at, r.v) for r in sink.table().collect())) == [(0, 4, "n"), (1, 5, "new"), (2, 2, "new"), (3, 1, "x")]
+
+
 def test_windows_that_have_ended(spark):
     w = spark.createDataFrame([(1, 5), (2, 9)], "start int, end int")
     assert [r.start for r in W.expired(w, F.lit(5)).collect()] == [1]
