@@ -12,8 +12,8 @@
   those it has reached. A bucket over ``bucket_limit`` is dealt into blocks, and all pairs of blocks are searched in
   separate groups, so every link is found whatever the bucket's size.
 * **Wider similarity.** ``keep_one`` finds near copies by the Jaccard similarity of word shingles, which at 0.8 is about
-  10 of 64 bits and out of the keys' reach. It takes a prefix filter over the shingles, which misses no pair, and decides
-  by the shingles themselves.
+  10 of 64 bits. Fingerprints that meet by their keys give its first candidates; a prefix filter over the shingles, which
+  misses no pair, is the exact way to those that differ in more bits. The shingles themselves decide about both.
 * **Groups.** Equal fingerprints are one node from the start; components come from star rounds over the forest.
 
 Defined cases: a null text is empty; a text without words has fingerprint 0, which links like any other; a text of
@@ -181,7 +181,7 @@ _SHORT = 32  # longest run for which all links are listed
 
 
 def _link(batches: Iterator[pa.RecordBatch], max_bits: int, limit: int, apart=bits_apart) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp), or (key, fp, id, further parts of fp), sorted by key: links of ids as (a, b), and (key, n) for buckets over the limit, which are left."""
+    """Rows (key, fp), or (key, fp, id, further words of fp), sorted by key: links of ids as (a, b), and (key, n) for buckets over the limit, which are left."""
 
     def rows(a, b, key=None, n=None):
         if key is None:
@@ -206,11 +206,12 @@ def _link(batches: Iterator[pa.RecordBatch], max_bits: int, limit: int, apart=bi
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [c.to_numpy() for c in batch.columns]
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if len(columns) == 2:
             fresh = (columns[0], columns[1].view(np.uint64), columns[1])
         else:
-            fresh = (columns[0], np.stack([columns[1], *columns[3:]], axis=1).view(np.uint64), columns[2])
+            words = np.frombuffer(b"".join(columns[3]), np.int64).reshape(len(columns[0]), -1)
+            fresh = (columns[0], np.concatenate([columns[1][:, None], words], axis=1).view(np.uint64), columns[2])
         now = fresh if held is None else tuple(np.concatenate(x) for x in zip(held, fresh, strict=True))
         if extra and now[0][-1] != now[0][0]:  # the bucket that was over the limit has ended
             first = int(np.searchsorted(now[0], now[0][0], "right"))
@@ -241,7 +242,7 @@ def _keys(fps: DataFrame) -> DataFrame:
 
 
 def _search(keyed: DataFrame, max_bits: int, bucket_limit: int, apart=bits_apart) -> DataFrame:
-    """Links (a, b) within the buckets of rows (key, fp) or (key, fp, id, further parts of fp)."""
+    """Links (a, b) within the buckets of rows (key, fp) or (key, fp, id, further words of fp)."""
 
     def searched(rows: DataFrame, limit: int) -> DataFrame:
         return rows.repartition("key").sortWithinPartitions("key", rows.columns[min(2, len(rows.columns) - 1)]).mapInArrow(lambda batches: _link(batches, max_bits, limit, apart), LINKS)
@@ -313,20 +314,26 @@ def verified(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]
     return out
 
 
-SKETCH_WORDS = 4  # of 64 bits
+SKETCH_WORDS = 4  # of 64 bits, of sets in the first tier; each further tier has four times as many
+TIERS = (400, 1600, 6400, 25600)  # shingles from which on a set is in the next tier
 _RANGES = 64  # in which the slots of shingles are counted, at least
 _RANGE = 1 << 18  # shingles of a range, about
 _COUNTED = 1 << 21  # shingles that a task counts before it hands them on
 _FULL = np.uint64(1 << 31)  # counts stop here
 
 
-def shingle_levels(texts: DataFrame, shingle: int) -> tuple[np.ndarray, int]:
+def words_of(texts: DataFrame) -> int:
+    """About how many words all texts have."""
+    return (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+
+
+def shingle_levels(texts: DataFrame, shingle: int, words: int | None = None) -> tuple[np.ndarray, int]:
     """How common the shingles of each slot are, as bitmaps (one a level) of their counts, and the number of slots.
 
     Shingles that share a slot by chance count together; a slot below the first level has one row's shingle only. The
     later levels only order the shingles, so that passages many rows have come last.
     """
-    words = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    words = words_of(texts) if words is None else words
     slots = min(bitmaps.bits_for(words, 1), bitmaps.MAX_BITS // 2)
     # A range gets a few hundred thousand shingles, however many there are in all, so tasks have many ranges of like size;
     # a common one comes once from a task's count. A place within a range fits in two bytes.
@@ -400,48 +407,172 @@ def prefix(hashes: np.ndarray, bitmap: np.ndarray, shift: np.uint64, similarity:
     return hashes[order[level[order] > 0]]
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
+def sketch(hashes: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
     """Bit i is whether an odd number of shingles fall on it."""
-    odd = np.bincount((hashes & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    odd = np.bincount((hashes & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
-def near_links(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, bucket_limit: int) -> DataFrame:
-    """Links (a, b) of nodes, xxhash64(identifier, text hash), with the components of all links of that Jaccard similarity.
+def tiers_of(n: int, similarity: float) -> range:
+    """The tiers of sets up to 1 / similarity times as large: two sets that may be alike are both in that of the larger."""
+    return range(int(np.searchsorted(TIERS, n, "right")), int(np.searchsorted(TIERS, int(n / similarity + _SLACK), "right")) + 1)
+
 
-    Candidates share a shingle of their prefixes and have sizes and sketches that allow the similarity, so no pair is missed.
-    They hang together in blocks, and the shingle sets of a block's members are compared exactly; a block over the limit is
-    dealt into parts, all pairs of which are compared. Neither step writes out a block's pairs.
+def shared(keys: np.ndarray, nodes: np.ndarray, told: np.ndarray, last: bool) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]:
+    """(bucket, node) of the keys that several nodes have, and what is left for later rows of the same range.
+
+    The last time, keys with the same nodes give one bucket, named by a hash of these; before, keys are buckets of their
+    own, and one row of each stays that is told already.
     """
-    ship(df.sparkSession)
-    texts = df.select(F.xxhash64(id_col, F.xxhash64(text_col)).alias("node"), F.col(text_col).cast("binary").alias("text"))
-    bitmap, slots = shingle_levels(texts, shingle)
-    release(df.sparkSession)  # of the counts, before the candidates are shuffled
-    shift, told = np.uint64(64 - (slots.bit_length() - 1)), df.sparkSession.sparkContext.broadcast(bitmap.tobytes())
-    names, n_levels = [f"s{k}" for k in range(SKETCH_WORDS)], len(bitmap)
+    order = np.lexsort((~told, nodes, keys))  # of equal rows the told one is first
+    keys, nodes, told = keys[order], nodes[order], told[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    keys, nodes, told = keys[fresh], nodes[fresh], told[fresh]
+    starts = np.nonzero(np.r_[True, keys[1:] != keys[:-1]])[0] if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(keys)])
+    known = np.logical_or.reduceat(told, starts) if len(starts) else np.zeros(0, bool)
+    if not last:
+        out = np.repeat((sizes > 1) | known, sizes) & ~told
+        told = told | np.repeat(sizes > 1, sizes)
+        stay = np.ones(len(keys), bool)
+        stay[np.repeat(known | (sizes > 1), sizes)] = False
+        stay[starts] = True
+        return (keys[out], nodes[out]), (keys[stay], nodes[stay], told[stay])
+    single = np.repeat(known, sizes) & ~told
+    several = ~known & (sizes > 1)
+    mixed = nodes.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    mixed ^= mixed >> np.uint64(31)
+    names = np.add.reduceat(mixed, starts) if len(starts) else mixed
+    _, at = np.unique(names[several], return_index=True)
+    kept = np.zeros(len(starts), bool)
+    kept[np.nonzero(several)[0][at]] = True
+    rows = np.repeat(kept, sizes)
+    return (np.concatenate([keys[single], np.repeat(names, sizes)[rows]]), np.concatenate([nodes[single], nodes[rows]])), (keys[:0], nodes[:0], told[:0])
+
+
+def meetings(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(key, node): buckets of the nodes that share a shingle of their prefixes, one for all shingles that the same nodes share.
+
+    Prefixes go to ranges of hashes as arrays, 16 bytes a shingle; only shingles that several nodes have leave them.
+    """
+    words = words_of(texts)
+    bitmap, slots = shingle_levels(texts, shingle, words)
+    release(texts.sparkSession)  # of the counts, before the prefixes are shuffled
+    shift, told, n_levels = np.uint64(64 - (slots.bit_length() - 1)), texts.sparkSession.sparkContext.broadcast(bitmap.tobytes()), len(bitmap)
+    ranges = _RANGES
+    while ranges * _RANGE < (1 - similarity) * words and ranges < 1 << 16:
+        ranges *= 2
+    down, held_most = np.uint64(64 - (ranges.bit_length() - 1)), _COUNTED
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+            keys, nodes = np.concatenate(keys), np.concatenate(nodes)
+            order = np.argsort(keys)
+            keys, nodes = keys[order], nodes[order]
+            ends = np.searchsorted(keys >> down, np.arange(ranges + 1, dtype=np.uint64))
+            rows = [(k, keys[ends[k] : ends[k + 1]].tobytes(), nodes[ends[k] : ends[k + 1]].tobytes()) for k in np.nonzero(np.diff(ends))[0].tolist()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["range", "keys", "nodes"])
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(told.value, np.uint8).reshape(n_levels, -1)
+        keys, nodes, size = [], [], 0
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = prefix(np.array(shingle_hashes(text, shingle), np.int64).view(np.uint64), levels, shift, similarity)
+                keys.append(found)
+                nodes.append(np.full(len(found), node, np.int64))
+                size += len(found)
+            if size >= held_most // 2:
+                yield parts(keys, nodes)
+                keys, nodes, size = [], [], 0
+        if size:
+            yield parts(keys, nodes)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1])], ["key", "node"])
+
+        now, held, size = None, [], 0
         for batch in batches:
-            keys, rows, nodes = [np.zeros(0, np.uint64)], [np.zeros((0, SKETCH_WORDS + 2), np.int64)], batch.column(0).to_numpy()
-            for node, text in zip(nodes, batch.column(1).to_pylist(), strict=True):
+            for k, keys, nodes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if held and (k != now or size >= held_most):
+                    found, left = shared(*(np.concatenate(x) for x in zip(*held, strict=True)), k != now)
+                    yield rows(found)
+                    held, size = [left], 0
+                part = np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(nodes.as_buffer(), np.int64)
+                held.append((*part, np.zeros(len(part[0]), bool)))
+                now, size = k, size + len(part[0])
+        if held:
+            yield rows(shared(*(np.concatenate(x) for x in zip(*held, strict=True)), True)[0])
+
+    dealt = texts.mapInArrow(placed, "range long, keys binary, nodes binary").repartition("range").sortWithinPartitions("range")
+    return materialize(dealt.mapInArrow(met, "key long, node long").distinct(), "near-meetings")
+
+
+def _held(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """The texts of nodes, and by chance some more."""
+    bits = bitmaps.bits_for(n)
+    return bitmaps.flagged(texts, F.xxhash64("node"), bitmaps.bitmap(nodes, F.xxhash64("node"), bits), bits, "held").where("held").select("node", "text")
+
+
+def shingle_links(texts: DataFrame, shingle: int, similarity: float, bucket_limit: int) -> list[DataFrame]:
+    """Links (a, b), in parts, that join all nodes of that Jaccard similarity, by the shingles of their prefixes.
+
+    Sizes and sketches that rule the similarity out make no link; a sketch is wide enough for the size of its tier's sets
+    to tell unlike ones apart, so that chance meetings of long texts do not hang together.
+    """
+    met = meetings(texts, shingle, similarity)
+    release(texts.sparkSession)
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes = np.array(shingle_hashes(text, shingle), np.int64).view(np.uint64)
-                found = prefix(hashes, levels, shift, similarity)
-                if len(found):
-                    keys.append(found)
-                    rows.append(np.repeat(np.concatenate([[len(hashes), node], sketch(hashes)])[None, :], len(found), axis=0))
-            made = np.concatenate(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in made.T)], ["key", "fp", "id", *names])
+                rows += [(node, t, len(hashes), sketch(hashes, SKETCH_WORDS << 2 * t).tobytes()) for t in tiers_of(len(hashes), similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["node", "tier", "fp", "sketch"])
+
+    sketches = materialize(_held(texts, met, met.count()).mapInArrow(sketched, "node long, tier int, fp long, sketch binary"), "near-sketches")
 
     def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return sketches_apart(x, y, similarity)
 
-    schema = "key long, fp long, id long, " + ", ".join(f"{c} long" for c in names)
-    candidates = _search(texts.mapInArrow(keyed, schema), 0, bucket_limit, apart)
+    out = []
+    for tier in sorted(r.tier for r in sketches.select("tier").distinct().collect()):
+        rows = met.join(sketches.where(F.col("tier") == tier), "node").select("key", "fp", F.col("node").alias("id"), "sketch")
+        out.append(_search(rows, 0, max(min(bucket_limit, 1024), bucket_limit >> tier), apart))
+    return out
+
+
+def fingerprint_links(df: DataFrame, id_col: str, text_col: str, shingle: int, bucket_limit: int) -> DataFrame:
+    """Links (a, b) that join the nodes whose fingerprints links of at most MAX_BITS join; texts without words have none."""
+    rows = materialize(fingerprints(df, id_col, text_col, shingle).where("fp <> 0").select(F.xxhash64("id", "th").alias("node"), "fp"), "near-fingerprints")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("node").alias("least")), "near-fingerprint-nodes")
+    roots = components(links(nodes, MAX_BITS, bucket_limit)).withColumnRenamed("node", "fp")
+    placed = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    named = placed.join(nodes.select(F.col("fp").alias("root"), "least"), "root").select("fp", "least")
+    return rows.join(named, "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+
+
+def near_links(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, bucket_limit: int) -> DataFrame:
+    """Links (a, b) of nodes, xxhash64(identifier, text hash), with the components of all links of that Jaccard similarity.
+
+    Candidates have fingerprints that meet by the Golay keys, or share a shingle of their prefixes and have sizes and
+    sketches that allow the similarity, so no pair is missed. They hang together in blocks, and the shingle sets of a
+    block's members are compared exactly; a block over the limit is dealt into parts, all pairs of which are compared.
+    No step writes out a block's pairs.
+    """
+    ship(df.sparkSession)
+    texts = df.select(F.xxhash64(id_col, F.xxhash64(text_col)).alias("node"), F.col(text_col).cast("binary").alias("text"))
+    candidates = materialize(fingerprint_links(df, id_col, text_col, shingle, bucket_limit), "near-candidates")
+    release(df.sparkSession)
+    for part in shingle_links(texts, shingle, similarity, bucket_limit):
+        candidates = candidates.union(part)
     found = components(candidates)
     blocks = found.union(found.select(F.col("root").alias("node"), "root").distinct())
-    bits = bitmaps.bits_for(blocks.count())
-    held = bitmaps.flagged(texts, F.xxhash64("node"), bitmaps.bitmap(blocks, F.xxhash64("node"), bits), bits, "held").where("held").select("node", "text")
+    held = _held(texts, blocks, blocks.count())
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
