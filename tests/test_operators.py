@@ -276,3 +276,25 @@ def test_fuzzy_matches_equal_brute_force(spark):
         got = {(r.a, r.b) for r in fuzzy_matches(df, df, limit, below=True).collect()}
         want = {(a, b) for a in words for b in words if a < b and 1 - far(a, b) / max(len(a), len(b)) >= limit - 1e-9}
         assert got == want
+
+
+def test_closeness_of_sources_in_several_blocks(spark, monkeypatch):
+    """gr_14: one row of a node holds 64 sources here; every source counts over the whole graph."""
+    monkeypatch.setattr(G, "_WORDS", 1)
+    links = [(k, (7 * k + 3) % 90) for k in range(90)] + [(k, k // 2) for k in range(1, 90)] + [(200, 201)]
+    near = {}
+    for a, b in links:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want, sources = {}, [*range(80), 200, 999]
+    for s in sources:
+        reached, front, k = {s: 0}, [s], 0
+        while front:
+            k += 1
+            front = [y for y in {y for x in front for y in near.get(x, ())} if y not in reached]
+            reached.update(dict.fromkeys(front, k))
+        if len(reached) > 1:
+            want[s] = round((len(reached) - 1) / sum(reached.values()), 6)
+    got = G.closeness(spark.createDataFrame(links, "a long, b long"), spark.createDataFrame([(s,) for s in [*sources, 5]], "source long"))
+    assert {r.node: r.closeness for r in got.collect()} == want
