@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,24 +51,66 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
 def numeric_statistics(df: DataFrame, digits: int = 4) -> DataFrame:
     """Exact aggregates of each numeric column, rounded: n, sum, mean, sd (sample), min, max, quartiles, distinct values.
 
-    Distinct values come from the columns' value counts, quartiles from brackets (``quantiles``), so no task holds a
-    column's values.
+    A column is read once, for its value counts; everything else comes from these, which are dealt by ranges of values, so
+    no task holds a column's values.
     """
-    from quillstone.operators.quantiles import quantiles
+    from quillstone.storage import materialize
 
     names = numeric_columns(df)
-    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("x")) for c in names))
-    counts = df.select(F.explode(cells).alias("p")).select("p.*").where("x is not null").groupBy("column", "x").agg(F.count("*").alias("k"))
+    spark = df.sparkSession
+    counts = None
+    for i, c in enumerate(names):
+        one = df.select(F.col(f"`{c}`").cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("k")).select(F.lit(i).alias("i"), "x", "k")
+        counts = one if counts is None else counts.unionByName(one)
+    spine = spark.createDataFrame(list(enumerate(names)), "i int, column string")
+    if counts is None:
+        counts = spark.createDataFrame([], "i int, x double, k long")
+    counts = materialize(counts.repartitionByRange("i", "x").withColumn("part", F.spark_partition_id()), "value-counts")
     x, k = F.col("x"), F.col("k")
-    made = counts.groupBy("column").agg(F.sum("k").alias("n"), F.sum(x * k).alias("sum"), F.min("x").alias("min"), F.max("x").alias("max"), F.count("*").alias("distinct"))
-    wide = df.agg(*(F.stddev_samp(F.col(f"`{c}`").cast("double")).alias(c) for c in names))
-    sd = wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("sd")) for c in names))).alias("p")).select("p.*")
+    made = counts.groupBy("i", "part").agg(F.sum("k").alias("n"), F.sum(x * k).alias("sum"), F.min("x").alias("min"), F.max("x").alias("max"), F.count("*").alias("distinct"))
+    parts = materialize(made, "value-count-parts")
+    made = parts.groupBy("i").agg(*(f(c).alias(c) for f, c in ((F.sum, "n"), (F.sum, "sum"), (F.min, "min"), (F.max, "max"), (F.sum, "distinct"))))
+    made = materialize(made, "value-count-sums")
+    mean = made.select("i", F.col("n").alias("_n"), (F.col("sum") / F.col("n")).alias("_mean"))
+    off = F.col("x") - F.col("_mean")
+    sd = counts.join(F.broadcast(mean), "i").groupBy("i").agg(F.sum(off * off * k).alias("s"), F.max("_n").alias("_n")).select("i", F.when(F.col("_n") > 1, F.sqrt(F.col("s") / (F.col("_n") - 1))).alias("sd"))
+    quartiles = spark.createDataFrame(_quartiles(counts, parts), "i int, q array<double>")
     r = lambda c: F.round(c, digits)
-    quartiles = df.sparkSession.createDataFrame([(c, q) for c, q in quantiles(df, names, [0.25, 0.5, 0.75]).items()], "column string, q array<double>")
-    out = sd.join(made, "column", "left").join(F.broadcast(quartiles), "column", "left")
+    out = F.broadcast(spine).join(F.broadcast(made), "i", "left").join(F.broadcast(sd), "i", "left").join(F.broadcast(quartiles), "i", "left")
     return out.select("column", F.coalesce("n", F.lit(0)).alias("n"), r("sum").alias("sum"), r(F.col("sum") / F.col("n")).alias("mean"), r("sd").alias("sd"), r("min").alias("min"), r("max").alias("max"), r(F.col("q")[0]).alias("q25"), r(F.col("q")[1]).alias("median"), r(F.col("q")[2]).alias("q75"), F.coalesce("distinct", F.lit(0)).alias("distinct"))
 
 
+def _quartiles(counts: DataFrame, parts: DataFrame) -> list[tuple[int, list[float]]]:
+    """Quartiles, interpolated, from value counts (i, part, x, k): parts with their sums n follow each other in order of x."""
+    sums: dict[int, list[tuple[int, int]]] = {}
+    for row in parts.select("i", "part", "n").collect():
+        sums.setdefault(row.i, []).append((row.part, row.n))
+    wanted, found = [], {}
+    for i, sizes in sums.items():
+        places = [(sum(n for _, n in sizes) - 1) * p for p in (0.25, 0.5, 0.75)]
+        for at in sorted({f(p) for p in places for f in (math.floor, math.ceil)}):
+            below = 0
+            for part, n in sorted(sizes):
+                if at < below + n:
+                    wanted.append((i, part, at, at - below))
+                    break
+                below += n
+    if wanted:
+        asked = F.broadcast(counts.sparkSession.createDataFrame(wanted, "i int, part int, place long, inside long"))
+        held = counts.join(asked.select("i", "part").distinct(), ["i", "part"], "left_semi").withColumn("upto", F.sum("k").over(Window.partitionBy("i", "part").orderBy("x")))
+        hits = held.join(asked, ["i", "part"]).where("inside < upto and inside >= upto - k")
+        found = {(r.i, r.place): r.x for r in hits.select("i", "place", "x").collect()}
+    out = []
+    for i, sizes in sums.items():
+        total, q = sum(n for _, n in sizes), []
+        for p in (0.25, 0.5, 0.75):
+            at = (total - 1) * p
+            a, b, share = found[i, math.floor(at)], found[i, math.ceil(at)], at - math.floor(at)
+            q.append(a if share == 0 else a * (1 - share) + b * share)
+        out.append((i, q))
+    return out
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     total = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
     return total.crossJoin(F.broadcast(df.agg(F.count("*").alias("_n")))).withColumn("share", F.round(F.col("n") / F.col("_n"), 6)).drop("_n")

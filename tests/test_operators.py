@@ -298,3 +298,18 @@ def test_closeness_of_sources_in_several_blocks(spark, monkeypatch):
             want[s] = round((len(reached) - 1) / sum(reached.values()), 6)
     got = G.closeness(spark.createDataFrame(links, "a long, b long"), spark.createDataFrame([(s,) for s in [*sources, 5]], "source long"))
     assert {r.node: r.closeness for r in got.collect()} == want
+
+
+def test_statistics_come_from_value_counts(spark, monkeypatch):
+    """agg_09: quartiles take no passes of their own over the table; columns of one value, of none and of repeats."""
+    from quillstone.operators import profile as P
+    from quillstone.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "order_statistics", None)
+    rows = [(float(k % 7), k * 0.5 if k % 3 else None, None, 4) for k in range(1, 101)]
+    got = {r.column: r for r in P.numeric_statistics(spark.createDataFrame(rows, "a double, b double, c double, d int").repartition(3)).collect()}
+    for c, i in (("a", 0), ("b", 1), ("d", 3)):
+        x = np.array([r[i] for r in rows if r[i] is not None], float)
+        want = [len(x), x.sum(), x.mean(), x.std(ddof=1), x.min(), x.max(), *np.quantile(x, [0.25, 0.5, 0.75]), len(set(x.tolist()))]
+        assert list(got[c])[1:] == pytest.approx(want, abs=1e-4)
+    assert list(got["c"])[1:] == [0, *[None] * 8, 0]
